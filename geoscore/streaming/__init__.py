@@ -1,0 +1,5 @@
+"""No streaming operators: the work this library covers is batch only.
+
+The column functions in ``geoscore.functions`` are stateless expressions and can be used in a streaming
+``select`` as they are; the operators that sort, rank or search need a bounded table.
+"""
