@@ -29,7 +29,13 @@ def fixed_breaks(c: Column, breaks: Sequence[float]) -> Column:
 
 def flag(condition: Column) -> Column:
     """1/0, NULL where the condition is unknown."""
-    return F.when(condition, 1).when(~condition, 0)
+    return condition.cast("int")
+
+
+def round_even(c: Column, digits: int = 0) -> Column:
+    """Halves to even, on the scaled double itself."""
+    scale = float(10 ** digits)
+    return F.rint(c * F.lit(scale)) / F.lit(scale) if digits else F.rint(c)
 
 
 def ordinal(c: Column, levels: Sequence[str], reverse: bool = False) -> Column:

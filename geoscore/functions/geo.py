@@ -26,7 +26,7 @@ def unit_vector(lat: Column, lon: Column) -> dict[str, Column]:
 
 def snap(c: Column, step: float = 1.0) -> Column:
     """Nearest multiple of ``step``, halves to even."""
-    return F.bround(c / F.lit(step)) * F.lit(step)
+    return F.rint(c / F.lit(step)) * F.lit(step)
 
 
 def shifted(lat: Column, lon: Column, condition: Column, dlat: float, dlon: float) -> tuple[Column, Column]:

@@ -6,33 +6,30 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from geoscore.functions.binning import round_even
+
 
 def to_fahrenheit(c: Column) -> Column:
-    return F.bround(F.lit(1.8) * c + F.lit(32.0), 2)
+    return round_even(F.lit(1.8) * c + F.lit(32.0), 2)
 
 
 def to_celsius(f: Column) -> Column:
-    return F.bround((f - F.lit(32.0)) * F.lit(5.0) / F.lit(9.0), 2)
+    return round_even((f - F.lit(32.0)) * F.lit(5.0) / F.lit(9.0), 2)
 
 
 def heat_index(temp: Column, rh: Column) -> Column:
     """Heat index in Celsius by the published National Weather Service formula; NULL for humidity outside 0-100."""
     t = to_fahrenheit(temp)
     simple = F.lit(0.5) * (F.lit(61.0) + (t - 68.0) * 1.2 + rh * 0.094 + t)
-    # Fixed values of the published regression and its two adjustments.
-    full = (
-        F.lit(-42.379) + 2.04901523 * t + 10.14333127 * rh - 0.22475541 * t * rh
-        - 6.83783e-3 * t * t - 5.481717e-2 * rh * rh + 1.22874e-3 * t * t * rh
-        + 8.5282e-4 * t * rh * rh - 1.99e-6 * t * t * rh * rh
-    )
+    # Fixed values of the published regression and its two adjustments, gathered by powers of the temperature.
+    constant = F.lit(-42.379) + rh * (F.lit(10.14333127) - 5.481717e-2 * rh)
+    linear = F.lit(2.04901523) + rh * (F.lit(-0.22475541) + 8.5282e-4 * rh)
+    square = F.lit(-6.83783e-3) + rh * (F.lit(1.22874e-3) - 1.99e-6 * rh)
+    full = constant + t * (linear + t * square)
     dry = (13.0 - rh) / 4.0 * F.sqrt(F.greatest((17.0 - F.abs(t - 95.0)) / 17.0, F.lit(0.0)))
     damp = (rh - 85.0) / 10.0 * ((87.0 - t) / 5.0)
-    adjusted = (
-        F.when((rh <= 13) & t.between(80, 112), full - dry)
-        .when((rh > 85) & t.between(80, 87), full + damp)
-        .otherwise(full)
-    )
-    index = F.when(t <= 40, t).when(simple > 79, adjusted).otherwise(simple)
+    adjustment = F.when((rh <= 13) & t.between(80, 112), -dry).when((rh > 85) & t.between(80, 87), damp).otherwise(0.0)
+    index = F.when(t <= 40, t).when(simple > 79, full + adjustment).otherwise(simple)
     return F.when(rh.between(0, 100), to_celsius(index))
 
 
@@ -74,6 +71,6 @@ def excess_degree_days(low: Column, high: Column, base: float = 18.0) -> Column:
     hot = F.when(unknown, none).when(low >= b, mid).when(high <= b, F.lit(0.0)).otherwise(crossing_hot)
     cold = F.when(unknown, none).when(low >= b, F.lit(0.0)).when(high <= b, -mid).otherwise(crossing_hot - mid)
     return F.struct(
-        F.bround(hot, 2).alias("edd_hot"), F.bround(cold, 2).alias("edd_cold"),
-        F.bround(hot + cold, 2).alias("edd_total"),
+        round_even(hot, 2).alias("edd_hot"), round_even(cold, 2).alias("edd_cold"),
+        round_even(hot + cold, 2).alias("edd_total"),
     )

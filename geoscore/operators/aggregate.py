@@ -148,7 +148,7 @@ def normalized_composition(df: DataFrame, entity: str, year: str, classes: Seque
     )
     everything = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
     scaled = totals.withColumn("_sum", everything).withColumns(
-        {c: F.bround(F.col(c) / F.col("_sum") * YEAR_DAYS) for c in parts}
+        {c: F.rint(F.col(c) / F.col("_sum") * YEAR_DAYS) for c in parts}
     )
     surplus = (F.col("unknown") == 0) & (F.col("remainder") > 0)
     return scaled.withColumn("remainder", everything - YEAR_DAYS).withColumns({
@@ -159,7 +159,8 @@ def normalized_composition(df: DataFrame, entity: str, year: str, classes: Seque
 
 def class_share(df: DataFrame, entity: str, cls: str, name: str = "n") -> DataFrame:
     """Days per class scaled to 365 per entity; rows without a class are left out."""
-    counts = df.where(F.col(cls).isNotNull()).groupBy(entity, cls).agg(F.count(F.lit(1)).alias("_n"))
+    # The NULL group is dropped by its count: a test on the class itself would be pushed down and worked out twice.
+    counts = df.groupBy(entity, cls).agg(F.count(cls).alias("_n")).where(F.col("_n") > 0)
     per_entity = Window.partitionBy(entity)  # one row per class
     return counts.select(entity, cls, (F.lit(float(YEAR_DAYS)) * F.col("_n") / F.sum("_n").over(per_entity)).alias(name))
 
