@@ -8,10 +8,9 @@ from geoscore.functions.geo import snap
 from geoscore.operators import impute as I, reshape as S, series as T
 from geoscore.operators.spatial import cell_join as cell_join_op, region_lookup
 from geoscore.plans.bindings import (
-    BOX_SQL, CUST_SQL, SDAY_SQL, SUPP_SQL, customers, nation_boxes, station_days, supplier_days, suppliers,
+    BOX_SQL, CUST_SQL, SDAY_SQL, SUPP_SQL, customers, nation_boxes, supplier_days, suppliers,
 )
 from geoscore.plans.composites import assemble
-from geoscore.plans.queries_rank import REVENUE_SQL, customer_totals
 from geoscore.plans.registry import query, r, rounded, table
 
 

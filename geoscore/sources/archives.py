@@ -44,7 +44,7 @@ def read_station_years(spark: SparkSession, root: str, years: Sequence[int], sch
 
 def _members(content: bytes) -> Iterator[tuple[str, int, str]]:
     """Lines of all text members of one archive, in order, without unpacking it to disk."""
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
         for member in archive:
             if member.isfile():
                 handle = archive.extractfile(member)
