@@ -17,7 +17,7 @@ from geoscore.functions.geo import haversine_km, unit_vector
 from geoscore.operators.skew import HOT_FLOOR, salted_join
 from geoscore.session import store_once
 
-LEAF = 64  # a cell with no more locations than this is not split
+LEAF = 32  # a cell with no more locations than this is not split
 GRID_BITS = 32  # the finest grid has this many halvings of the extent
 
 
@@ -48,7 +48,7 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
     ``queries`` has one row per (by, dims); ``locations`` one row per (by, dims) with a point ``count``. ``within``
     maps extra coordinate columns, present on both sides, to the query column that limits the gap in them (closed);
     those columns and limits belong to the query's key. Result: the query's key columns prefixed ``_q_``, the
-    ``payload`` of the location, ``_d`` (squared distance, or the largest gap for ``chebyshev``) and the count.
+    ``payload`` of the location and its coordinates prefixed ``_l_``, ``_d`` (squared distance, or the largest gap for ``chebyshev``) and the count.
     """
     by, dims, within = list(by), list(dims), dict(within or {})
     boxed = list(dict.fromkeys([*dims, *within]))
@@ -131,26 +131,30 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
         roots = start.crossJoin(F.broadcast(tops))  # without groups the top of the pyramid is one row
     frontier = prune(roots)
     for level in range(depth):
-        # Hot parents (all queries share the first) are met by a bounded number of children: the child side is small
-        # at the top, where Spark broadcasts it, and below that a skewed parent is split by the adaptive skew join.
-        parent = ["_p" + c for c in cells]
+        # A hot parent (at the top all queries share one) meets a bounded number of children. The child side is small
+        # at the top, where Spark broadcasts it; below that a skewed parent is split by the adaptive skew join.
         children = nodes.where(F.col("_level") == level + 1).select(
-            *[F.col(c).alias("_q_" + c) for c in by],
-            *[F.shiftright(c, bits).alias("_p" + c) for c in cells], *node_cols,
+            *[F.col(c).alias("_k_" + c) for c in by], *[F.shiftright(c, bits).alias("_p" + c) for c in cells],
+            F.lit(True).alias("_open"), *[F.col(c).alias("_n_" + c) for c in node_cols],
         )
-        open_cells = frontier.where((F.col("_level") == level) & (F.col("_locs") > leaf))
-        done = frontier.where((F.col("_level") < level) | (F.col("_locs") <= leaf))
-        opened = open_cells.select(*q_cols, *[F.col(c).alias("_p" + c) for c in cells]).join(
-            children, [*["_q_" + c for c in by], *parent]
-        ).select(*q_cols, *node_cols)
-        frontier = store_once(prune(done.unionByName(opened)), "frontier")
+        opened = frontier.withColumn("_open", (F.col("_level") == level) & (F.col("_locs") > leaf))
+        same = opened["_open"] == children["_open"]
+        for c in by:
+            same = same & (opened["_q_" + c] == children["_k_" + c])
+        for c in cells:
+            same = same & (opened[c] == children["_p" + c])
+        stepped = opened.join(children, same, "left").select(
+            *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols]
+        )
+        frontier = prune(stepped)
+    frontier = store_once(frontier, "frontier")
 
     at_leaf = frontier.select(*q_cols, *[F.col("_q_" + c).alias(c) for c in by], "_level", *cells)
     placed = grid(stored, range(depth + 1)).select(
         *by, "_level", *cells, *[F.col(c).alias("_l_" + c) for c in boxed], "_n",
         *[F.col(c).alias("_pl_" + c) for c in payload],
     )
-    pairs = salted_join(at_leaf, placed, [*by, "_level", *cells], floor)
+    pairs = salted_join(at_leaf, placed, [*by, "_level", *cells], floor, right_bounded=True)
     for c, limit in within.items():
         pairs = pairs.where(F.abs(F.col("_l_" + c) - F.col("_q_" + c)) <= F.col("_q_" + limit))
     pairs = pairs.withColumn("_d", _total([F.abs(F.col("_l_" + d) - F.col("_q_" + d)) for d in dims], metric))
@@ -158,20 +162,16 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
     level_with = Window.partitionBy(*q_cols, "_d")
     closer = F.sum("_n").over(upto) - F.sum("_n").over(level_with)
     return pairs.withColumn("_closer", closer).where(F.col("_closer") < k).select(
-        *q_cols, *[F.col("_pl_" + c).alias(c) for c in payload], "_d", "_n"
+        *q_cols, *["_l_" + c for c in boxed], *[F.col("_pl_" + c).alias(c) for c in payload], "_d", "_n"
     )
 
 
-def _first_ids(points: DataFrame, at: Sequence[str], point_id: str, k: int, pieces: int = 64) -> DataFrame:
-    """One row per location with its count and its k smallest ids, found piece by piece so that a location that
-    holds a large part of the table is never sorted in one task."""
-    piece = F.pmod(F.xxhash64(point_id), F.lit(pieces))
-    inner = Window.partitionBy(*at, "_piece").orderBy(point_id)
-    outer = Window.partitionBy(*at).orderBy(point_id)
+def _first_ids(points: DataFrame, at: Sequence[str], point_id: str, k: int) -> DataFrame:
+    """One row per location with its count and its k smallest ids. The rank limit is applied inside each task before
+    the shuffle, so a location that holds a large part of the table sends on k ids per task."""
+    order = Window.partitionBy(*at).orderBy(point_id)
     few = (
-        points.select(*at, point_id).withColumn("_piece", piece)
-        .withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k)
-        .withColumn("_r", F.row_number().over(outer)).where(F.col("_r") <= k)
+        points.select(*at, point_id).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
         .groupBy(*at).agg(F.sort_array(F.collect_list(point_id)).alias("_ids"))
     )
     return points.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).join(few, list(at))
@@ -179,15 +179,16 @@ def _first_ids(points: DataFrame, at: Sequence[str], point_id: str, k: int, piec
 
 def knn_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, k: int, dims: Sequence[str],
              by: Sequence[str] = (), metric: str = "euclid", within: Mapping[str, str] | None = None,
-             leaf: int = LEAF, floor: int = HOT_FLOOR) -> DataFrame:
+             leaf: int = LEAF, floor: int = HOT_FLOOR, coordinates: bool = False) -> DataFrame:
     """(query id, point id, distance, rank): the k nearest points of every query, ties by point id.
 
-    Plain straight-line distance on the unscaled columns. Queries with no point at all are absent.
+    Plain straight-line distance on the unscaled columns. Queries with no point at all are absent. ``coordinates``
+    adds the query's (``_q_``) and the point's (``_l_``) coordinate columns.
     """
     by, dims, within = list(by), list(dims), dict(within or {})
     at = list(dict.fromkeys([*by, *dims, *within]))
     key = list(dict.fromkeys([*at, *within.values()]))
-    known_q = queries.select(query_id, *key).dropna(subset=key)
+    known_q = store_once(queries.select(query_id, *key).dropna(subset=key), "queries")
     known_p = points.select(point_id, *at).dropna(subset=at)
     found = nearest_locations(
         known_q.select(*key).distinct(), _first_ids(known_p, at, point_id, k), k, dims, by, metric, within,
@@ -198,10 +199,12 @@ def knn_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str
         found.withColumn(point_id, F.explode("_ids"))
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .withColumn("distance", F.sqrt("_d") if metric == "euclid" else F.col("_d"))
-        .select(*["_q_" + c for c in key], point_id, "distance", "rank")
+        .select(*["_q_" + c for c in key], *["_l_" + c for c in at if c not in by], point_id, "distance", "rank")
     )
     keyed = known_q.withColumnsRenamed({c: "_q_" + c for c in key})
-    return salted_join(keyed, ranked, ["_q_" + c for c in key], floor).select(query_id, point_id, "distance", "rank")
+    return salted_join(keyed, ranked, ["_q_" + c for c in key], floor, right_bounded=True).select(
+        query_id, point_id, "distance", "rank", *(["_q_" + c for c in key] + ["_l_" + c for c in at if c not in by] if coordinates else [])
+    )
 
 
 def nearest_feature(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
@@ -218,12 +221,10 @@ def _closest_in_box(queries: DataFrame, points: DataFrame, query_id: str, point_
                     lon: str, leaf: int) -> DataFrame:
     near = knn_join(
         _on_sphere(queries, lat, lon), _on_sphere(points, lat, lon), query_id, point_id, 1, ["_x", "_y", "_z"],
-        within={lat: radius, lon: radius}, leaf=leaf,
-    ).select(query_id, point_id)
-    a = queries.select(query_id, F.col(lat).alias("_lat1"), F.col(lon).alias("_lon1"), F.col(radius).alias("radius"))
-    b = points.select(point_id, F.col(lat).alias("_lat2"), F.col(lon).alias("_lon2"))
-    distance = haversine_km(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2"))
-    return near.join(a, query_id).join(b, point_id).select(query_id, point_id, distance.alias("distance"), "radius")
+        within={lat: radius, lon: radius}, leaf=leaf, coordinates=True,
+    )
+    distance = haversine_km(F.col("_q_" + lat), F.col("_q_" + lon), F.col("_l_" + lat), F.col("_l_" + lon))
+    return near.select(query_id, point_id, distance.alias("distance"), F.col("_q_" + radius).alias("radius"))
 
 
 def bbox_nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, radius_deg: float,
@@ -243,7 +244,7 @@ def expanding_nearest_join(queries: DataFrame, points: DataFrame, query_id: str,
     gap = knn_join(queries, points, query_id, point_id, 1, [lat, lon], metric="chebyshev", leaf=leaf) \
         .select(query_id, F.col("distance").alias("_gap"))
     steps = F.array(*[F.lit(float(r)) for r in sorted(radii)])
-    limited = queries.join(gap, query_id).withColumn(
+    limited = store_once(queries.select(query_id, lat, lon).join(gap, query_id).withColumn(
         "_radius", F.array_min(F.filter(steps, lambda r: r >= F.col("_gap")))
-    ).where(F.col("_radius").isNotNull())
+    ).where(F.col("_radius").isNotNull()), "limited")
     return _closest_in_box(limited, points, query_id, point_id, "_radius", lat, lon, leaf)

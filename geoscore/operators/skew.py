@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoscore.session import store_once
 
-# A key is hot when it has more rows than both this floor and 1/MAX_HOT of its table, so a table has fewer
-# than MAX_HOT hot keys and the list of them may be broadcast.
+# A key with more rows than this floor is hot. Only the MAX_HOT largest are looked at, so the list of them may be
+# broadcast; any key that holds more than 1/MAX_HOT of a table is among them.
 HOT_FLOOR = 1_000_000
 MAX_HOT = 1024
+MAX_PIECES = 4096
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -34,13 +35,9 @@ def _key_named(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fan_out(counts: DataFrame, keys: Sequence[str], count: str, name: str, floor: int = HOT_FLOOR) -> DataFrame:
-    """Hot keys of a key/count table with the number of pieces each should be cut into (fewer than MAX_HOT rows)."""
-    limited = with_scalars(
-        counts, F.greatest(F.lit(floor), F.ceil(F.sum(count) / F.lit(MAX_HOT))).alias("_limit")
-    )
-    return limited.where(F.col(count) > F.col("_limit")).select(
-        *keys, F.ceil(F.col(count) / F.col("_limit")).cast("int").alias(name)
-    )
+    """The hot keys of a key/count table (at most MAX_HOT) with the number of pieces each should be cut into."""
+    hot = counts.where(F.col(count) > floor).orderBy(F.col(count).desc()).limit(MAX_HOT)
+    return hot.select(*keys, F.least(F.ceil(F.col(count) / F.lit(floor)), F.lit(MAX_PIECES)).cast("int").alias(name))
 
 
 def _pieces(df: DataFrame, hot: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
@@ -75,32 +72,35 @@ def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str], count: str | N
     return left.join(right, condition, how).drop("_piece", "_copy", *["_k_" + k for k in keys])
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR) -> DataFrame:
-    """Inner equi-join where both sides may have hot keys.
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR,
+                right_bounded: bool = False) -> DataFrame:
+    """Inner equi-join whose hot keys are cut into independent pieces.
 
-    A key with ``a`` pieces on the left and ``b`` on the right becomes ``a*b`` independent tasks. The two sides must
-    not share column names other than the keys.
+    A key with ``a`` pieces on the left and ``b`` on the right becomes ``a*b`` tasks. ``right_bounded`` says that the
+    right side has few rows per key, so only the left is counted. Counting reads the key columns once more, so a
+    costly input should be stored first. The two sides must not share column names other than the keys.
     """
     keys = list(keys)
-    hot_left = fan_out(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", "_fl", floor)
-    hot_right = fan_out(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", "_fr", floor)
-    hot = hot_left.join(hot_right, keys, "full").select(
-        *keys, F.coalesce("_fl", F.lit(1)).alias("_fl"), F.coalesce("_fr", F.lit(1)).alias("_fr")
-    )
 
-    def spread(df: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
-        return (
-            _pieces(df, hot, keys, False)
-            .withColumn(own_salt, F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col(own)).cast("int"), F.lit(0)))
-            .withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
-            .drop("_fl", "_fr")
-        )
-
-    return (
-        spread(left, "_fl", "_fr", "_sl", "_sr")
-        .join(spread(right, "_fr", "_fl", "_sr", "_sl"), [*keys, "_sl", "_sr"])
-        .drop("_sl", "_sr")
-    )
+    def hot(df: DataFrame, name: str) -> DataFrame:
+        return fan_out(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", name, floor)
+
+    def salt(df: DataFrame, pieces: str, name: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(*df.columns), F.col(pieces)).cast("int")
+        return df.withColumn(name, F.coalesce(own, F.lit(0)))
+
+    def copies(df: DataFrame, pieces: str, name: str) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1)))
+
+    if right_bounded:
+        cut = hot(left, "_fl")
+        a = salt(_pieces(left, cut, keys, False), "_fl", "_sl").drop("_fl")
+        b = copies(_pieces(right, cut, keys, False), "_fl", "_sl").drop("_fl")
+        return a.join(b, [*keys, "_sl"]).drop("_sl")
+    cut = hot(left, "_fl").join(hot(right, "_fr"), keys, "full")
+    a = copies(salt(_pieces(left, cut, keys, False), "_fl", "_sl"), "_fr", "_sr").drop("_fl", "_fr")
+    b = copies(salt(_pieces(right, cut, keys, False), "_fr", "_sr"), "_fl", "_sl").drop("_fl", "_fr")
+    return a.join(b, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
 
 
 def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
