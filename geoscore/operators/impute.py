@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoscore.operators.neighbours import LEAF, nearest_locations
+from geoscore.operators.neighbours import nearest_locations
 from geoscore.operators.skew import HOT_FLOOR, attach
 
 
@@ -46,7 +46,7 @@ def impute_linear(df: DataFrame, by: Sequence[str], value: str, x1: str = "yday"
 
 
 def impute_knn(df: DataFrame, by: Sequence[str], value: str, dims: Sequence[str] = ("yday", "year"), k: int = 4,
-               name: str = "predicted", leaf: int = LEAF, floor: int = HOT_FLOOR, how: str = "inner") -> DataFrame:
+               name: str = "predicted", leaf: int | None = None, floor: int = HOT_FLOOR, how: str = "inner") -> DataFrame:
     """Missing rows with the mean of the k nearest known ones of their group, all ties at the k-th place included.
 
     Distance is straight-line on the unscaled columns. Without ``by`` the whole table is one pool. Groups without
@@ -63,7 +63,7 @@ def impute_knn(df: DataFrame, by: Sequence[str], value: str, dims: Sequence[str]
 
 
 def impute_knn_pooled(df: DataFrame, targets: Sequence[str], dims: Sequence[str] = ("lat", "lon", "yday", "year"),
-                      k: int = 5, leaf: int = LEAF, floor: int = HOT_FLOOR) -> DataFrame:
+                      k: int = 5, leaf: int | None = None, floor: int = HOT_FLOOR) -> DataFrame:
     """Fill each target column from the k nearest rows, over all places, where that column is known."""
     for target in targets:
         filled = impute_knn(df, [], target, dims, k, "_p", leaf, floor, "left").withColumn(target, F.col("_p")).drop("_p")

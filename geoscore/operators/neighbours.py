@@ -17,7 +17,7 @@ from geoscore.functions.geo import haversine_km, unit_vector
 from geoscore.operators.skew import HOT_FLOOR, salted_join
 from geoscore.session import store_once
 
-LEAF = 32  # a cell with no more locations than this is not split
+LEVELS_PER_STORE = 2  # steps down between two written frontiers, which keeps plans short
 GRID_BITS = 32  # the finest grid has this many halvings of the extent
 
 
@@ -42,7 +42,7 @@ def _farthest(dims: Sequence[str], metric: str) -> Column:
 
 def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Sequence[str], by: Sequence[str] = (),
                       metric: str = "euclid", within: Mapping[str, str] | None = None, payload: Sequence[str] = (),
-                      count: str = "_n", leaf: int = LEAF, floor: int = HOT_FLOOR) -> DataFrame:
+                      count: str = "_n", leaf: int | None = None, floor: int = HOT_FLOOR) -> DataFrame:
     """Per query location: every location with fewer than ``k`` points strictly nearer, so ties at the end all stay.
 
     ``queries`` has one row per (by, dims); ``locations`` one row per (by, dims) with a point ``count``. ``within``
@@ -56,7 +56,8 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
         locations.select(*by, *boxed, F.col(count).cast("bigint").alias("_n"), *[c for c in payload if c not in [*by, *boxed]]),
         "locations",
     )
-    bits = 2 if len(dims) <= 2 else 1  # halvings per step down
+    bits = 2 if len(dims) <= 3 else 1  # halvings per step down
+    leaf = leaf or 8 << len(dims)  # a cell with no more locations than this is not split
     max_level = GRID_BITS // bits
 
     # The extent is 2 numbers per dimension; the same width on every axis keeps cells square.
@@ -85,20 +86,20 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
             *[F.min(c).alias("_min_" + c) for c in boxed], *[F.max(c).alias("_max_" + c) for c in boxed],
         )
 
-    # Count two levels at a time, and only as deep as some cell is still crowded.
-    parts, depth = [], -1
-    crowded = True
-    while crowded and depth < max_level:
-        levels = [i for i in (depth + 1, depth + 2) if i <= max_level]
+    # Count a few levels at a time, and only as deep as some cell is still crowded.
+    parts: list[DataFrame] = []
+    depth, counted = 0, -1
+    while depth > counted and counted < max_level:
+        levels = [i for i in range(counted + 1, counted + (3 if parts else 4)) if i <= max_level]
         source = stored
         if parts:
-            busy = parts[-1].where((F.col("_level") == depth) & (F.col("_locs") > leaf)).select(*by, *cells)
-            keyed = stored.withColumns({"_c_" + d: cell(d, F.lit(depth)) for d in dims})
+            busy = parts[-1].where((F.col("_level") == counted) & (F.col("_locs") > leaf)).select(*by, *cells)
+            keyed = stored.withColumns({"_c_" + d: cell(d, F.lit(counted)) for d in dims})
             source = keyed.join(busy, [*by, *cells], "left_semi").drop(*cells)
-        part = store_once(count_cells(source, levels), "cells")
-        parts.append(part)
-        depth = levels[-1]
-        crowded = bool(part.where((F.col("_level") == depth) & (F.col("_locs") > leaf)).take(1))
+        parts.append(store_once(count_cells(source, levels), "cells"))
+        counted = levels[-1]
+        deepest = parts[-1].where(F.col("_locs") > leaf).agg(F.max("_level")).first()[0]
+        depth = min(deepest + 1, max_level) if deepest is not None else depth
     nodes = reduce(lambda a, b: a.unionByName(b), parts)
 
     key = [*by, *boxed, *within.values()]
@@ -147,7 +148,8 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
             *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols]
         )
         frontier = prune(stepped)
-    frontier = store_once(frontier, "frontier")
+        if level % LEVELS_PER_STORE == LEVELS_PER_STORE - 1 or level == depth - 1:
+            frontier = store_once(frontier, "frontier")
 
     at_leaf = frontier.select(*q_cols, *[F.col("_q_" + c).alias(c) for c in by], "_level", *cells)
     placed = grid(stored, range(depth + 1)).select(
@@ -179,7 +181,7 @@ def _first_ids(points: DataFrame, at: Sequence[str], point_id: str, k: int) -> D
 
 def knn_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, k: int, dims: Sequence[str],
              by: Sequence[str] = (), metric: str = "euclid", within: Mapping[str, str] | None = None,
-             leaf: int = LEAF, floor: int = HOT_FLOOR, coordinates: bool = False) -> DataFrame:
+             leaf: int | None = None, floor: int = HOT_FLOOR, coordinates: bool = False) -> DataFrame:
     """(query id, point id, distance, rank): the k nearest points of every query, ties by point id.
 
     Plain straight-line distance on the unscaled columns. Queries with no point at all are absent. ``coordinates``
@@ -218,7 +220,7 @@ def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def _closest_in_box(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, radius: str, lat: str,
-                    lon: str, leaf: int) -> DataFrame:
+                    lon: str, leaf: int | None) -> DataFrame:
     near = knn_join(
         _on_sphere(queries, lat, lon), _on_sphere(points, lat, lon), query_id, point_id, 1, ["_x", "_y", "_z"],
         within={lat: radius, lon: radius}, leaf=leaf, coordinates=True,
@@ -228,14 +230,14 @@ def _closest_in_box(queries: DataFrame, points: DataFrame, query_id: str, point_
 
 
 def bbox_nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, radius_deg: float,
-                      lat: str = "lat", lon: str = "lon", leaf: int = LEAF) -> DataFrame:
+                      lat: str = "lat", lon: str = "lon", leaf: int | None = None) -> DataFrame:
     """Of the points in a square of ``radius_deg`` around each query, the closest along the great circle."""
     limited = queries.withColumn("_radius", F.lit(float(radius_deg)))
     return _closest_in_box(limited, points, query_id, point_id, "_radius", lat, lon, leaf).drop("radius")
 
 
 def expanding_nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
-                           radii: Sequence[float], lat: str = "lat", lon: str = "lon", leaf: int = LEAF) -> DataFrame:
+                           radii: Sequence[float], lat: str = "lat", lon: str = "lon", leaf: int | None = None) -> DataFrame:
     """Closest point in the first square of the growing list of radii that holds any point.
 
     The first square that holds a point is known from the nearest point by largest coordinate gap, so there are two
