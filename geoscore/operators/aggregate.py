@@ -11,6 +11,7 @@ from geoscore.functions.geo import snap
 from geoscore.operators.columns import numeric_columns
 from geoscore.operators.rank import group_rank
 from geoscore.operators.skew import with_scalars
+from geoscore.session import store_once
 
 YEAR_DAYS = 365
 
@@ -64,12 +65,16 @@ def yearly_coverage(df: DataFrame, entity: str, date: str, value: str, distinct_
     (entity, date), or ``distinct_days``.
     """
     known = F.count_distinct(F.when(F.col(value).isNotNull(), F.col(date))) if distinct_days else F.count(value)
-    seen = df.groupBy(entity, F.year(date).alias("year")).agg(known.alias("known"))
+    seen = store_once(  # one row per entity and year; the only pass over the table
+        df.groupBy(entity, F.year(date).alias("year")).agg(
+            known.alias("known"), F.min(date).alias("_from"), F.max(date).alias("_to")
+        ), "coverage",
+    )
     entities = with_scalars(
-        df.select(entity).distinct(), F.min(date).alias("_first"), F.max(date).alias("_last"), source=df
+        seen.select(entity).distinct(), F.min("_from").alias("_first"), F.max("_to").alias("_last"), source=seen
     )
     years = entities.withColumn("year", F.explode(F.sequence(F.year("_first"), F.year("_last"))))
-    return years.join(seen, [entity, "year"], "left").select(
+    return years.join(seen.select(entity, "year", "known"), [entity, "year"], "left").select(
         entity, "year", F.coalesce("known", F.lit(0)).alias("known"),
         _days_in_year(F.col("_first"), F.col("_last"), F.col("year")).alias("total"),
     ).withColumn("ratio", F.col("known") / F.col("total"))

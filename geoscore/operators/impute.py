@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geoscore.operators.neighbours import nearest_locations
 from geoscore.operators.skew import HOT_FLOOR, attach
+from geoscore.session import store_once
 
 
 def linear_coefficients(df: DataFrame, by: Sequence[str], value: str, x1: str, x2: str) -> DataFrame:
@@ -49,6 +50,8 @@ def impute_knn(df: DataFrame, by: Sequence[str], value: str, dims: Sequence[str]
                name: str = "predicted", leaf: int | None = None, floor: int = HOT_FLOOR, how: str = "inner") -> DataFrame:
     """Missing rows with the mean of the k nearest known ones of their group, all ties at the k-th place included.
 
+    ``df`` is read three times: store it first if it is costly to work out.
+
     Distance is straight-line on the unscaled columns. Without ``by`` the whole table is one pool. Groups without
     known values are left out (``how="left"`` keeps them, with NULL).
     """
@@ -66,6 +69,7 @@ def impute_knn_pooled(df: DataFrame, targets: Sequence[str], dims: Sequence[str]
                       k: int = 5, leaf: int | None = None, floor: int = HOT_FLOOR) -> DataFrame:
     """Fill each target column from the k nearest rows, over all places, where that column is known."""
     for target in targets:
+        df = store_once(df, "pool")  # read as known and as missing rows, and the base of the next target
         filled = impute_knn(df, [], target, dims, k, "_p", leaf, floor, "left").withColumn(target, F.col("_p")).drop("_p")
         df = df.where(F.col(target).isNotNull()).unionByName(filled)
     return df

@@ -9,27 +9,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from geoscore.operators.skew import HOT_FLOOR, attach, global_index, with_scalars
 
 
-def _split(df: DataFrame, where: Column | None) -> tuple[DataFrame, DataFrame | None]:
-    if where is None:
-        return df, None
-    ranked = F.coalesce(where, F.lit(False))
-    return df.where(ranked), df.where(~ranked)
+BROADCAST_ROWS = 100_000  # a top-n list up to this length is sent to every task
 
 
-def _with_unranked(ranked: DataFrame, unranked: DataFrame | None, name: str) -> DataFrame:
-    if unranked is None:
-        return ranked
-    return ranked.unionByName(unranked.withColumn(name, F.lit(None).cast("bigint")))
+def _ranked_first(df: DataFrame, where: Column | None) -> DataFrame:
+    return df.withColumn("_ok", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", where: Column | None = None) -> DataFrame:
     """Rank 1..n over the whole table. Rows that fail ``where`` (for one: a NULL measure) get a NULL rank.
 
-    ``order`` must end in a unique key, which breaks ties.
+    ``order`` must end in a unique key, which breaks ties. Unranked rows sort behind the ranked ones, so one pass
+    serves both.
     """
-    ranked, unranked = _split(df, where)
-    indexed = global_index(ranked, order)
-    return _with_unranked(indexed.withColumn(name, F.col("_g") + 1).drop("_g"), unranked, name)
+    indexed = global_index(_ranked_first(df, where), [F.col("_ok").desc(), *order])
+    return indexed.select(*df.columns, F.when(F.col("_ok"), F.col("_g") + 1).alias(name))
 
 
 def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank",
@@ -39,12 +33,11 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     The table is ordered by (group, order) as a whole; a row's rank is its position less its group's first one.
     """
     by = list(by)
-    ranked, unranked = _split(df, where)
-    indexed = global_index(ranked, [*[F.col(c).asc_nulls_first() for c in by], *order])
+    groups = [F.col(c).asc_nulls_first() for c in by]
+    indexed = global_index(_ranked_first(df, where), [*groups, F.col("_ok").desc(), *order])
     starts = indexed.groupBy(*by).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
     placed = attach(indexed, starts, by, count="_n", floor=floor)
-    out = placed.withColumn(name, F.col("_g") - F.col("_first") + 1).select(*df.columns, name)
-    return _with_unranked(out, unranked, name)
+    return placed.select(*df.columns, F.when(F.col("_ok"), F.col("_g") - F.col("_first") + 1).alias(name))
 
 
 def add_index(df: DataFrame, order: Sequence[Column], name: str = "ind") -> DataFrame:
@@ -120,7 +113,7 @@ def detail_for_top(df: DataFrame, key: str, detail: DataFrame, order: Sequence[C
     top = top_n(df if where is None else df.where(where), order, n)
     if label is not None:
         top = top.withColumn("label", label)
-    return detail.join(F.broadcast(top), key)  # n rows
+    return detail.join(F.broadcast(top) if n <= BROADCAST_ROWS else top, key)
 
 
 def pending_batch(todo: DataFrame, done: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

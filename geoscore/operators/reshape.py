@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoscore.operators.skew import attach
+
 
 def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
     """Wide to long."""
@@ -40,5 +42,5 @@ def prefer_exact(exact: DataFrame, approximate: DataFrame, keys: Sequence[str])
 
 
 def crosswalk(df: DataFrame, mapping: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join through a key map after taking its repeated rows out."""
-    return df.join(mapping.distinct(), key, how)
+    """Join through a key map after taking its repeated rows out (a key may still map to several places)."""
+    return attach(df, mapping.distinct(), [key], how=how)

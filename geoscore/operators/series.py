@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from geoscore.functions.dates import is_leap_day
 from geoscore.operators.skew import range_sorted, with_scalars
+from geoscore.session import store_once
 
 
 def date_skeleton(df: DataFrame, entity: Sequence[str], date: str, leap_days: bool = True) -> DataFrame:
     """Every entity on every day between the table's first and last date."""
-    bounded = with_scalars(
-        df.select(*entity).distinct(), F.min(date).alias("_first"), F.max(date).alias("_last"), source=df
+    spans = store_once(  # one row per entity; the only pass over the table
+        df.groupBy(*entity).agg(F.min(date).alias("_from"), F.max(date).alias("_to")), "spans"
     )
+    bounded = with_scalars(spans, F.min("_from").alias("_first"), F.max("_to").alias("_last"))
     days = bounded.select(*entity, F.explode(F.sequence("_first", "_last")).alias(date))
     return days if leap_days else days.where(~is_leap_day(F.col(date)))
 

@@ -48,7 +48,7 @@ def _pieces(df: DataFrame, hot: DataFrame, keys: Sequence[str], null_safe: bool)
 
 def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str], count: str | None = None,
            how: str = "left", floor: int = HOT_FLOOR) -> DataFrame:
-    """Join a table with at most one row per key onto ``df``; NULL keys match NULL keys.
+    """Join a lookup table (one row per key, or a few) onto ``df``; NULL keys match NULL keys.
 
     Rows of a hot key are cut into pieces and the key's one lookup row is copied to each piece. ``count`` names a
     column of ``lookup`` that already holds the key's row count in ``df``; without it the keys are counted here.

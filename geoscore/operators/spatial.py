@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoscore.functions.geo import EARTH_RADIUS_KM, haversine_km, snap, unit_vector
-from geoscore.operators.skew import HOT_FLOOR, salted_join, with_scalars
+from geoscore.operators.skew import HOT_FLOOR, attach, salted_join, with_scalars
+from geoscore.session import store_once
 
 _CELLS_ACROSS = 4  # a polygon's box spans at most this many cells (plus one) of its own grid level, each way
 
@@ -125,6 +126,7 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, point_id: str,
     pairs = polygon_point_pairs(points, polygons, point_id, polygon_id, margin=margin, **columns)
     if how == "inner":
         return pairs
+    pairs = store_once(pairs, "pairs")
     empty = polygons.select(polygon_id).join(pairs.select(polygon_id).distinct(), polygon_id, "left_anti")
     return pairs.unionByName(empty, allowMissingColumns=True)
 
@@ -139,7 +141,9 @@ def polygon_tag(points: DataFrame, regions: DataFrame, point_id: str, region_id:
                 **columns: str) -> DataFrame:
     """Points with the region they lie in and its attributes; points in no region are dropped."""
     pairs = polygon_point_pairs(points, regions, point_id, region_id, **columns)
-    return pairs.join(regions.select(region_id, *attributes), region_id) if attributes else pairs
+    if not attributes:
+        return pairs
+    return attach(store_once(pairs, "pairs"), regions.select(region_id, *attributes), [region_id], how="inner")
 
 
 def region_lookup(points: DataFrame, regions: DataFrame, point_id: str, region_name: str, **columns: str) -> DataFrame:
@@ -186,5 +190,5 @@ def cell_join(left: DataFrame, right: DataFrame, step: float, how: str = "left",
               lon: str = "lon") -> DataFrame:
     """Join on rounded coordinates; ``right`` already has one row per cell (``lat_cell``, ``lon_cell``)."""
     celled = left.withColumn("lat_cell", snap(F.col(lat), step)).withColumn("lon_cell", snap(F.col(lon), step))
-    return celled.join(right, ["lat_cell", "lon_cell"], how)
+    return attach(celled, right, ["lat_cell", "lon_cell"], how=how)
 

@@ -16,7 +16,8 @@ from geoscore.operators.neighbours import nearest_feature
 from geoscore.operators.rank import global_rank, group_rank, percent_of_max, rescale
 from geoscore.operators.reshape import crosswalk, stack, unpivot
 from geoscore.operators.series import fill_down
-from geoscore.operators.skew import salted_join
+from geoscore.operators.skew import attach, salted_join
+from geoscore.session import store_once
 
 TEMPERATURES = ("temp_max", "temp_min", "temp_mean")
 
@@ -176,6 +177,7 @@ def score_and_rank(df: DataFrame, key: str, scoring: Scoring = PLACES) -> DataFr
             kept = kept.where(F.col(column) <= high)
     for column in scoring.positive:
         kept = kept.where(F.col(column) > 0)
+    kept = store_once(kept, "kept")  # one row per place; read for its bounds and for its scores
     scaled = rescale(kept, scoring.scales).fillna(0, list(scoring.scales))
     pointed = scaled.withColumns({out: F.col(c) for out, c in scoring.copies.items()})
     points = list(scoring.weights)
@@ -201,5 +203,6 @@ def degree_day_summary(days: DataFrame, entity: str, date: str, running_year: in
 def zone_tag(places: DataFrame, zones: DataFrame, place_id: str, zone_id: str, zone: str, measure: str) -> DataFrame:
     """Each place with the zone of its nearest zone cell and its rank within that zone."""
     near = nearest_feature(places, zones, place_id, zone_id).select(place_id, zone_id)
-    tagged = places.join(near, place_id).join(zones.select(zone_id, zone), zone_id)
+    placed = store_once(places.join(near, place_id), "placed")
+    tagged = attach(placed, zones.select(zone_id, zone), [zone_id], how="inner")
     return group_rank(tagged, [zone], [F.col(measure).desc_nulls_last(), F.col(place_id).asc()], "rank_zone")

@@ -12,6 +12,7 @@ from geoscore.plans.bindings import (
 )
 from geoscore.plans.composites import assemble
 from geoscore.plans.registry import query, r, rounded, table
+from geoscore.session import store_once
 
 
 # --- joins -----------------------------------------------------------------------------------------------------
@@ -212,7 +213,7 @@ pred AS (SELECT entity, date, round(my + sa*(yday - ma) + sb*(year - mb), 5) AS
 
 @query("impute_linear", f"WITH {SDAY_SQL}, {FIT_SQL} SELECT * FROM pred")
 def impute_linear(spark: SparkSession, sf: str) -> DataFrame:
-    out = I.impute_linear(supplier_days(spark, sf), ["entity"], "value")
+    out = I.impute_linear(store_once(supplier_days(spark, sf)), ["entity"], "value")
     return out.select("entity", "date", r("predicted", 5).alias("predicted"))
 
 
@@ -222,7 +223,7 @@ FROM sday m JOIN sday t ON m.entity = t.entity AND m.value IS NULL AND t.value I
 
 @query("impute_knn", f"WITH {SDAY_SQL}, {KNN_SQL} SELECT entity, date, round(avg(value), 6) AS predicted FROM pairs WHERE k <= 4 GROUP BY 1, 2")
 def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(I.impute_knn(supplier_days(spark, sf), ["entity"], "value").select("entity", "date", "predicted"), "predicted")
+    return rounded(I.impute_knn(store_once(supplier_days(spark, sf)), ["entity"], "value").select("entity", "date", "predicted"), "predicted")
 
 
 MONTHLY_SQL = """SELECT c_nationkey AS nation, CAST(month(o_orderdate) AS DOUBLE) * 30 AS yday, CAST(year(o_orderdate) AS DOUBLE) AS year,
@@ -258,6 +259,6 @@ def impute_knn_pooled(spark: SparkSession, sf: str) -> DataFrame:
 @query("merge_predicted", f"""WITH {SDAY_SQL}, {FIT_SQL} SELECT entity, date, value, 'observed' AS flag FROM sday WHERE value IS NOT NULL
 UNION ALL SELECT entity, date, predicted, 'predicted' FROM pred""")
 def merge_predicted(spark: SparkSession, sf: str) -> DataFrame:
-    days = supplier_days(spark, sf)
+    days = store_once(supplier_days(spark, sf))
     predicted = I.impute_linear(days, ["entity"], "value").withColumn("predicted", r("predicted", 5))
     return I.merge_predicted(days, predicted, ["entity", "date"], "value")
