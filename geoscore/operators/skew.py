@@ -34,10 +34,15 @@ def _key_named(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({k: "_k_" + k for k in keys})
 
 
-def fan_out(counts: DataFrame, keys: Sequence[str], count: str, name: str, floor: int = HOT_FLOOR) -> DataFrame:
+def _fan(count: Column, floor: int) -> Column:
+    return F.least(F.ceil(count / F.lit(floor)), F.lit(MAX_PIECES)).cast("int")
+
+
+def fan_out(counts: DataFrame, keys: Sequence[str], count: str, name: str, floor: int = HOT_FLOOR,
+            then_by: Sequence[Column] = ()) -> DataFrame:
     """The hot keys of a key/count table (at most MAX_HOT) with the number of pieces each should be cut into."""
-    hot = counts.where(F.col(count) > floor).orderBy(F.col(count).desc()).limit(MAX_HOT)
-    return hot.select(*keys, F.least(F.ceil(F.col(count) / F.lit(floor)), F.lit(MAX_PIECES)).cast("int").alias(name))
+    hot = counts.where(F.col(count) > floor).orderBy(F.col(count).desc(), *then_by).limit(MAX_HOT)
+    return hot.select(*keys, _fan(F.col(count), floor).alias(name))
 
 
 def _pieces(df: DataFrame, hot: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
@@ -55,16 +60,19 @@ def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str], count: str | N
     """
     keys = list(keys)
     if count is None:
-        counted, n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n"
-        values = lookup
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = fan_out(counts, keys, "_n", "_fan", floor)
+        right = _pieces(lookup, hot, keys, True)
     else:
-        counted, n = lookup.select(*keys, count), count
-        values = lookup.drop(count)
-    hot = fan_out(counted, keys, n, "_fan", floor)
+        # Sorting by the other columns too makes this read of the lookup the same as the one below, so Spark shuffles
+        # the aggregate behind it once.
+        others = [F.col(c) for c in lookup.columns if c not in [*keys, count]]
+        hot = fan_out(lookup, keys, count, "_fan", floor, others)
+        right = lookup.withColumn("_fan", _fan(F.col(count), floor)).drop(count)
     left = _pieces(df, hot, keys, True).withColumn(
         "_piece", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("_fan")).cast("int"), F.lit(0))
     ).drop("_fan")
-    right = _pieces(values, hot, keys, True).withColumn(
+    right = right.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
     ).drop("_fan")
     right = _key_named(right, keys)
