@@ -109,28 +109,29 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
     node_cols = ["_level", *cells, "_n", "_locs", *[f"_{e}_{c}" for c in boxed for e in ("min", "max")]]
 
     def prune(frontier: DataFrame) -> DataFrame:
-        """Drop the cells that cannot hold one of a query's k nearest."""
+        """Drop the cells that cannot hold one of a query's k nearest. The bound found one level up already drops most
+        of them before the rows of a query are brought together."""
         sure = F.lit(True)
         for c, limit in within.items():
             lo, hi, q, r = (F.col(n) for n in (f"_min_{c}", f"_max_{c}", f"_q_{c}", f"_q_{limit}"))
             frontier = frontier.where(F.greatest(lo - q, q - hi, F.lit(0.0)) <= r)
             sure = sure & (F.greatest(F.abs(q - lo), F.abs(hi - q)) <= r)
-        scored = frontier.withColumn("_near", _nearest(dims, metric)).withColumn(
-            "_far", F.when(sure, _farthest(dims, metric)).otherwise(F.lit(float("inf")))
-        )
+        scored = frontier.withColumns({
+            "_near": _nearest(dims, metric), "_far": F.when(sure, _farthest(dims, metric)).otherwise(F.lit(float("inf"))),
+        }).where(F.col("_near") <= F.col("_limit"))
         by_far = Window.partitionBy(*q_cols).orderBy("_far")
         reached = scored.withColumn("_cum", F.sum("_n").over(by_far)).withColumn(
             "_bound", F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(Window.partitionBy(*q_cols))
         )
-        kept = reached.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-        return kept.select(*q_cols, *node_cols)
+        limit = F.least("_limit", "_bound")  # ignores a NULL bound: fewer than k points are in play
+        return reached.where(F.col("_near") <= limit).select(*q_cols, *node_cols, limit.alias("_limit"))
 
     tops = nodes.where(F.col("_level") == 0)
     if by:
         roots = start.join(tops.withColumnsRenamed({c: "_q_" + c for c in by}), ["_q_" + c for c in by])
     else:
         roots = start.crossJoin(F.broadcast(tops))  # without groups the top of the pyramid is one row
-    frontier = prune(roots)
+    frontier = prune(roots.withColumn("_limit", F.lit(float("inf"))))
     for level in range(depth):
         # A hot parent (at the top all queries share one) meets a bounded number of children. The child side is small
         # at the top, where Spark broadcasts it; below that a skewed parent is split by the adaptive skew join.
@@ -145,7 +146,7 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
         for c in cells:
             same = same & (opened[c] == children["_p" + c])
         stepped = opened.join(children, same, "left").select(
-            *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols]
+            *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols], "_limit"
         )
         frontier = prune(stepped)
         if level % LEVELS_PER_STORE == LEVELS_PER_STORE - 1 or level == depth - 1:
@@ -160,7 +161,11 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
     for c, limit in within.items():
         pairs = pairs.where(F.abs(F.col("_l_" + c) - F.col("_q_" + c)) <= F.col("_q_" + limit))
     pairs = pairs.withColumn("_d", _total([F.abs(F.col("_l_" + d) - F.col("_q_" + d)) for d in dims], metric))
-    upto = Window.partitionBy(*q_cols).orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Every location stands for at least one point, so one with k nearer locations is out. Spark applies this rank limit
+    # inside each task before the shuffle; the exact test on point counts is left to the few rows that remain.
+    by_distance = Window.partitionBy(*q_cols).orderBy("_d")
+    pairs = pairs.withColumn("_r", F.rank().over(by_distance)).where(F.col("_r") <= k).drop("_r")
+    upto = by_distance.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     level_with = Window.partitionBy(*q_cols, "_d")
     closer = F.sum("_n").over(upto) - F.sum("_n").over(level_with)
     return pairs.withColumn("_closer", closer).where(F.col("_closer") < k).select(
