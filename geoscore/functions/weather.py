@@ -54,12 +54,8 @@ def day_curve(low: Column, high: Column, hour: Column) -> Column:
     return low + amplitude - amplitude * F.cos(hour * F.lit(2 * math.pi) / 24)
 
 
-def excess_degree_days(low: Column, high: Column, base: float = 18.0) -> Column:
-    """Mean daily excess over (hot) and shortfall under (cold) a base temperature, as a struct.
-
-    Closed form of the integral of the day curve. Each figure is rounded on its own, so the total may differ from
-    the sum by a hundredth.
-    """
+def _excess(low: Column, high: Column, base: float) -> tuple[Column, Column]:
+    """Mean excess over and shortfall under the base: the closed form of the integral of the day curve."""
     b = F.lit(float(base))
     a = (high - low) / 2
     mid = low + a - b
@@ -70,7 +66,22 @@ def excess_degree_days(low: Column, high: Column, base: float = 18.0) -> Column:
     unknown = low.isNull() | high.isNull()
     hot = F.when(unknown, none).when(low >= b, mid).when(high <= b, F.lit(0.0)).otherwise(crossing_hot)
     cold = F.when(unknown, none).when(low >= b, F.lit(0.0)).when(high <= b, -mid).otherwise(crossing_hot - mid)
+    return hot, cold
+
+
+def excess_degree_days(low: Column, high: Column, base: float = 18.0) -> Column:
+    """Mean daily excess over (hot) and shortfall under (cold) a base temperature, as a struct.
+
+    Each figure is rounded on its own, so the total may differ from the sum by a hundredth.
+    """
+    hot, cold = _excess(low, high, base)
     return F.struct(
         round_even(hot, 2).alias("edd_hot"), round_even(cold, 2).alias("edd_cold"),
         round_even(hot + cold, 2).alias("edd_total"),
     )
+
+
+def excess_degree_hours(low: Column, high: Column, base: float = 18.0) -> Column:
+    """Area between the day curve and the base over the 24 hours (the older, total-only figure)."""
+    hot, cold = _excess(low, high, base)
+    return round_even((hot + cold) * 24, 2)

@@ -91,6 +91,14 @@ def test_concat_group_keeps_every_member_in_parts(many_ranges):
     assert hot == sorted(hot)
 
 
+def test_batches_end_with_everything_done_once(spark):
+    todo, done = spark.range(25), spark.range(0).select("id")
+    while not (batch := R.pending_batch(todo, done, ["id"], [F.col("id").asc()], 10)).isEmpty():
+        ids = [r["id"] for r in R.merge_batch(done, batch).collect()]
+        done = spark.createDataFrame([(i,) for i in ids], "id long")
+    assert sorted(r["id"] for r in done.collect()) == list(range(25))
+
+
 def test_rescale_edges(spark):
     df = spark.createDataFrame([(1.0, 7.0), (3.0, 7.0), (None, 7.0)], "a double, b double")
     got = R.rescale(df, {"x": ("a", (100, 0)), "y": ("b", (0, 100))}).collect()

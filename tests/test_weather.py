@@ -28,6 +28,12 @@ def test_degree_days_match_integration(spark):
         assert row["edd_total"] == pytest.approx(row["edd_hot"] + row["edd_cold"], abs=0.0101)
 
 
+def test_degree_hours_are_a_day_of_degree_days(spark):
+    df = spark.createDataFrame([(8.0, 30.0), (20.0, 25.0), (1.0, 10.0)], "lo double, hi double")
+    both = P.expand_struct(df, W.excess_degree_days(F.col("lo"), F.col("hi"))).withColumn("h", W.excess_degree_hours(F.col("lo"), F.col("hi")))
+    assert all(r["h"] == pytest.approx(24 * r["edd_total"], abs=0.13) for r in both.collect())
+
+
 def test_degree_days_unknown(spark):
     df = spark.createDataFrame([(None, 5.0), (5.0, None)], "lo double, hi double")
     assert all(r["edd_total"] is None for r in P.expand_struct(df, W.excess_degree_days(F.col("lo"), F.col("hi"))).collect())
