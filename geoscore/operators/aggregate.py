@@ -76,7 +76,7 @@ def yearly_coverage(df: DataFrame, entity: str, date: str, value: str, distinct_
     years = entities.withColumn("year", F.explode(F.sequence(F.year("_first"), F.year("_last"))))
     return years.join(seen.select(entity, "year", "known"), [entity, "year"], "left").select(
         entity, "year", F.coalesce("known", F.lit(0)).alias("known"),
-        _days_in_year(F.col("_first"), F.col("_last"), F.col("year")).alias("total"),
+        _days_in_year(F.col("_first"), F.col("_last"), F.col("year")).cast("bigint").alias("total"),
     ).withColumn("ratio", F.col("known") / F.col("total"))
 
 

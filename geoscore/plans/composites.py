@@ -112,7 +112,7 @@ def group_rates(df: DataFrame, label: str, order: Sequence[Column], kind: str, r
     rows = fill_down(df, [], order, [label]).where((F.col(kind) == rate) & F.col(label).rlike(pattern))
     named = rows.withColumn(label, strip_first(F.col(label), suffix))
     total, weighted = F.col(violent) + F.col(property_), 3 * F.col(violent) + F.col(property_)
-    return named.join(lookup.distinct() if dedupe else lookup, label).withColumns(
+    return attach(named, lookup.distinct() if dedupe else lookup, [label], how="inner").withColumns(
         {"total_crime": total, "total_crime_weighted": weighted}
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.functions.geo import snap
 from geoscore.operators import impute as I, reshape as S, series as T
+from geoscore.operators.skew import attach
 from geoscore.operators.spatial import cell_join as cell_join_op, region_lookup
 from geoscore.plans.bindings import (
     BOX_SQL, CUST_SQL, SDAY_SQL, SUPP_SQL, customers, nation_boxes, supplier_days, suppliers,
@@ -24,20 +25,18 @@ def assemble_left(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
     regions = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    placed = assemble(assemble(table(spark, sf, "customer"), nations, key="c_nationkey"), regions, key="n_regionkey")
+    # Many customers share a nation and a region, so those lookups are attached with hot keys cut; a customer is unique.
+    placed = attach(table(spark, sf, "customer"), attach(nations, regions, ["n_regionkey"]), ["c_nationkey"])
     return assemble(placed, orders, key="c_custkey").select("c_custkey", "c_name", "n_name", "r_name", "n_orders")
 
 
 @query("inner_composite", """SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, b.n FROM lineitem a JOIN
 (SELECT l_suppkey AS s, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b ON l_suppkey = s AND l_partkey = p""")
 def inner_composite(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
-    returned = lines.where(F.col("l_returnflag") == "R").groupBy(
-        F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return lines.join(returned, (F.col("l_suppkey") == F.col("s")) & (F.col("l_partkey") == F.col("p"))).select(
-        "l_orderkey", "l_partkey", "l_suppkey", "n"
-    )
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    returned = lines.where(F.col("l_returnflag") == "R").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    matched = attach(lines, returned, ["l_suppkey", "l_partkey"], how="inner")
+    return matched.select("l_orderkey", "l_partkey", "l_suppkey", "n")
 
 
 @query("semi", """SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate = o_orderdate + INTERVAL 10 DAY)""")
