@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import bpe, token_counts
+from geoscore.llm import bpe, main_text, quality_rules, token_counts
 from geoscore.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,3 +30,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows, measures, kept = quality_rules.judged(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    m = rows[measures]
+    return rows.select(
+        "doc_id", *[m[c].alias(c) for c in quality_rules.MEASURES if c != "n_lines"],
+        quality_rules.base_failed(m).alias("base_failed"), rows[kept].alias("kept"),
+    )
+
+
+ORACLES["op9_quality_rules"] = quality_rules.ORACLE_SQL
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
