@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoscore.llm import bpe, main_text, quality_rules, token_counts
+from geoscore.llm import bpe, embedding_dedup, main_text, quality_rules, token_counts
 from geoscore.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +49,8 @@ ORACLES["op9_quality_rules"] = quality_rules.ORACLE_SQL
 @query
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
