@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoscore.llm import bpe, embedding_dedup, main_text, quality_rules, token_counts
+from geoscore.llm import bag_minhash, bpe, embedding_dedup, line_dedup, main_text, quality_rules, token_counts
 from geoscore.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,3 +54,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out, n = line_dedup.without_boilerplate(docs)
+    return out.select("doc_id", F.col(n).alias("n_removed"), F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+ORACLES["op2_line_dedup"] = line_dedup.ORACLE_SQL
+
+
+@query
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
