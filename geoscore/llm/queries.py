@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoscore.llm import bag_minhash, bpe, embedding_dedup, line_dedup, main_text, quality_rules, token_counts
-from geoscore.llm.common import table
+from geoscore.llm import bag_minhash, bpe, embedding_dedup, line_dedup, main_text, mixing, quality_rules, token_counts
+from geoscore.llm.common import table, tables
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -69,3 +69,10 @@ ORACLES["op2_line_dedup"] = line_dedup.ORACLE_SQL
 @query
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+
+
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with tables(spark) as own:
+        parts = mixing.mix(table(spark, sf_dir, "documents"), own)
+        return mixing.taken_per_document(parts)
