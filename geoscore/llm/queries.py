@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoscore.llm import bag_minhash, bpe, embedding_dedup, line_dedup, main_text, mixing, quality_rules, token_counts
+from geoscore.llm import (
+    bag_minhash, bpe, embedding_dedup, id_files, line_dedup, main_text, mixing, quality_rules, token_counts,
+)
 from geoscore.llm.common import table, tables
+from geoscore.session import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -76,3 +79,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     with tables(spark) as own:
         parts = mixing.mix(table(spark, sf_dir, "documents"), own)
         return mixing.taken_per_document(parts)
+
+
+@query
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "id-files")
+    id_files.write(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2, vocabulary=49_408)
+    return id_files.document_digests(spark, path)
