@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.llm import (
-    bag_minhash, bpe, embedding_dedup, id_files, line_dedup, main_text, mixing, quality_rules, token_counts,
+    bag_minhash, bpe, cotraining, embedding_dedup, id_files, line_dedup, main_text, mixing, quality_rules, token_counts,
 )
 from geoscore.llm.common import table, tables
 from geoscore.session import scratch_path
@@ -86,3 +86,9 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "id-files")
     id_files.write(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2, vocabulary=49_408)
     return id_files.document_digests(spark, path)
+
+
+@query
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
