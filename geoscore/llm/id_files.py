@@ -1,7 +1,7 @@
 """Token ids in files of coded blocks, written in the order of documents and read back block by block.
 
 Documents are sorted by id over the cluster; each range of them becomes one file part. A part's ids run on without gaps
-between documents and are cut into blocks of ``BLOCK`` ids. A block's row holds its place in the part, its payload, the
+between documents and are cut into blocks of a fixed number of ids. A block's row holds its place in the part, its payload, the
 CRC-32 of its ids, and which documents (number in the part, id, ids in this block) it holds. Every block is decoded by
 itself, so any task can read any block, and a damaged block is found by its checksum and concerns no other.
 """
@@ -78,8 +78,8 @@ def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
 class _Part:
     """Collects the ids of documents in order and gives out rows of coded blocks."""
 
-    def __init__(self, part: int, vocabulary: int):
-        self.part, self.vocabulary = part, vocabulary
+    def __init__(self, part: int, vocabulary: int, size: int):
+        self.part, self.vocabulary, self.size = part, vocabulary, size
         self.ids: list[np.ndarray] = []
         self.held, self.docs, self.first, self.block = 0, 0, 0, 0
         self.pieces: list[tuple[int, int | None, int]] = []
@@ -92,8 +92,8 @@ class _Part:
 
     def rows(self, all_: bool) -> pa.RecordBatch | None:
         stream = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        n = len(stream) if all_ else len(stream) // BLOCK * BLOCK
-        blocks = [stream[i : min(i + BLOCK, n)] for i in range(0, n, BLOCK)]
+        n = len(stream) if all_ else len(stream) // self.size * self.size
+        blocks = [stream[i : min(i + self.size, n)] for i in range(0, n, self.size)]
         out: dict[str, list] = {k.split()[0]: [] for k in FORMAT.split(", ")}
         payloads = encode_blocks(blocks, self.vocabulary) if blocks else []
         pieces, k, used = self.pieces, 0, 0
@@ -122,7 +122,8 @@ class _Part:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out)) if blocks else None
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text",
+          block: int = BLOCK) -> None:
     """Encode every whole text, append ``end_id``, and write the ids to ``path`` in ascending order of ``key``.
 
     A null text counts as empty and gives the end id alone. Null keys come first; rows repeated with one key are written
@@ -130,13 +131,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = _Part(TaskContext.get().partitionId(), vocabulary)
+        part = _Part(TaskContext.get().partitionId(), vocabulary, block)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for a, b in grouped_by_size(texts, 1 << 20):
                 for name, ids in zip(names[a:b], encode_words(texts[a:b], tokenizer)):
                     part.add(name, np.append(ids, np.uint32(end_id)))
-                if part.held >= BLOCK * LANES:
+                if part.held >= block * LANES:
                     yield part.rows(False)
         out = part.rows(True)
         if out is not None:

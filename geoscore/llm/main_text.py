@@ -185,7 +185,9 @@ def _scores(page: _Page) -> tuple[list[float], list[int], list[int]]:
     for i in range(n - 1, 0, -1):
         chars[page.parents[i]] += chars[i]
         links[page.parents[i]] += links[i]
-    return [p * (1 - k / c) if c else 0.0 for p, c, k in zip(points, chars, links)], chars, links
+    # An element that says it is the article starts with a few points.
+    start = [5.0 if tag in ("article", "main") else 0.0 for tag in page.tags]
+    return [(s + p) * (1 - k / c) if c else 0.0 for s, p, c, k in zip(start, points, chars, links)], chars, links
 
 
 def main_text(html: str | None) -> str:
