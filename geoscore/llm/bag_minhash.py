@@ -9,7 +9,8 @@ not go on to twice that time.
 
 Equal word sequences are one class. Documents that agree in a band of components meet in a bucket. First every member
 is compared with the bucket's leader; then, only in buckets whose members are not yet one group, the members of
-different groups are compared with each other. All links are exact overlaps of the multisets.
+different groups are compared with each other, block against block inside a task, so pairs are never rows. All links are
+exact overlaps of the multisets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from geoscore.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
+BLOCK = 128  # documents
 SEED = 7_919
 U = np.uint64
 GOLDEN = 0x9E3779B97F4A7C15
@@ -163,17 +165,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x or b"" for x in batch.column(1).to_pylist()]
         for a, b in grouped_by_size(texts, 1 << 20):
-            doc, grams, n_words, whole = _shingles(texts[a:b])
-            order = np.lexsort((grams, doc))
-            offsets = np.append(0, np.cumsum(np.bincount(doc, minlength=b - a))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, grams[order].view(np.int64))
+            _, _, n_words, whole = _shingles(texts[a:b])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], pa.array(n_words.astype(np.int64)), pa.array(whole.view(np.int64)), lists],
-                names=["doc", "words", "whole", "grams"],
+                [batch.column(0)[a:b], pa.array(n_words.astype(np.int64)), pa.array(whole.view(np.int64)), batch.column(1)[a:b]],
+                names=["doc", "words", "whole", "text"],
             )
 
 
@@ -186,24 +185,116 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def _verify(least: float):
+def _items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets as sets: the first, second, ... occurrence of a shingle are items of their own. With list offsets."""
+    parts, sizes = [], []
+    for a, b in grouped_by_size(texts, 1 << 20):
+        doc, grams, _, _ = _shingles(texts[a:b])
+        order = np.lexsort((grams, doc))
+        doc, grams = doc[order], grams[order]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+        parts.append(_mix(grams + (np.arange(len(doc)) - first).astype(np.uint64) * _GOLD))
+        sizes.append(np.bincount(doc, minlength=b - a))
+    return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def _overlaps(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections among a few sets, as a product of their incidence matrix with itself."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, often = np.unique(items, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    out = np.zeros((len(sizes), len(sizes)), np.float32)
+    columns = int(column.max(initial=-1)) + 1
+    for low in range(0, columns, 1 << 14):
+        now = (column >= low) & (column < low + (1 << 14))
+        matrix = np.zeros((len(sizes), min(columns - low, 1 << 14)), np.float32)
+        matrix[row[now], column[now] - low] = 1
+        out += matrix @ matrix.T
+    return out
+
+
+def _linked(least: float, items: np.ndarray, offsets: np.ndarray, side: np.ndarray, group: np.ndarray, within: bool):
+    """Rows (a, b) that link: of different groups and, unless ``within``, of different sides."""
+    sizes = np.diff(offsets)
+    if len(sizes) == 2:
+        small, large = sorted((int(sizes[0]), int(sizes[1])))
+        if group[0] == group[1] or small < least * large or not (within or side[0] != side[1]):
+            return np.zeros(0, int), np.zeros(0, int)
+        cut = offsets[1] - offsets[0]
+        both = len(np.intersect1d(items[:cut], items[cut:], assume_unique=True))
+        hit = both >= least * (small + large - both)
+        return np.zeros(int(hit), int), np.ones(int(hit), int)
+    both = _overlaps(items, sizes)
+    linked = both >= least * (sizes[:, None] + sizes[None, :] - both)
+    linked &= group[:, None] != group[None, :]
+    if not within:
+        linked &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(linked, 1))
+
+
+def _compare(least: float):
+    """Over rows sorted by ``k``: the links inside each run of one ``k``, as (document, least document it links to)."""
+
+    def finish(rows: pa.Table) -> pa.RecordBatch | None:
+        k, within, side, rep, group = (rows.column(c).to_numpy() for c in ("k", "within", "side", "rep", "g"))
+        items, offsets = _items(rows.column("text").to_pylist())
+        edges = np.flatnonzero(np.append(True, k[1:] != k[:-1])).tolist() + [len(k)]
+        found_a, found_b = [], []
+        for a, b in zip(edges, edges[1:]):
+            if b - a < 2:
+                continue
+            x, y = _linked(least, items[offsets[a] : offsets[b]], offsets[a : b + 1], side[a:b], group[a:b], bool(within[a]))
+            if len(x):
+                # One link from each document to the least that it links to, and between those that are left.
+                low, high = np.minimum(rep[a + x], rep[a + y]), np.maximum(rep[a + x], rep[a + y])
+                for first, second in _spanning(low, high):
+                    found_a.append(second)
+                    found_b.append(first)
+        if not found_a:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            ga, gb = batch.column("ga"), batch.column("gb")
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = ga[i].values.to_numpy().view(np.uint64), gb[i].values.to_numpy().view(np.uint64)
-                if min(len(x), len(y)) < least * max(len(x), len(y)):
-                    continue
-                both, either = overlap(x, y)
-                if both >= least * either:
-                    keep.append(i)
-            if keep:
-                yield batch.select(["a", "b"]).take(pa.array(keep))
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            k = table.column("k").to_numpy()
+            other = np.flatnonzero(k != k[-1])
+            begin = int(other[-1]) + 1 if len(other) else 0
+            held = table.slice(begin)
+            out = finish(table.slice(0, begin)) if begin else None
+            if out is not None:
+                yield out
+        if held is not None and held.num_rows:
+            out = finish(held)
+            if out is not None:
+                yield out
 
     return run
 
 
+def _spanning(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join the same documents as all links given, one fewer than there are documents in each group."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(low.tolist(), high.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            yield a, b
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the smallest id of its group), ``n_words``, ``kept``.
 
@@ -225,48 +316,62 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
         shared = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("leader")).where("n > 1")
         crowd = own.store(members.join(shared.drop("n"), ["band", "bucket"]), "crowd")
 
-        def lists_of(pairs: DataFrame) -> DataFrame:
-            needed = pairs.selectExpr("a AS cid").unionAll(pairs.selectExpr("b AS cid")).distinct()
-            wanted = classes.join(needed, "cid").select("cid", F.col("rep").alias("doc"), "whole", "words")
-            texts = rows.join(wanted.select("doc").distinct(), "doc", "left_semi")
-            made = texts.mapInArrow(_list_shingles, "doc long, words long, whole long, grams array<long>")
-            return own.store(
-                made.join(wanted, ["doc", "whole", "words"]).groupBy("cid").agg(F.any_value("grams").alias("grams")), "shingles"
-            )
+        wanted = classes.join(crowd.select("cid").distinct(), "cid").select("cid", "rep", "whole", "words")
+        found = rows.join(wanted.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").mapInArrow(
+            _with_hash, "doc long, words long, whole long, text binary"
+        )
+        texts = own.store(
+            found.join(wanted.withColumnRenamed("rep", "doc"), ["doc", "whole", "words"])
+            .groupBy("cid").agg(F.any_value("doc").alias("rep"), F.any_value("text").alias("text")), "texts",
+        )
 
-        def linked(pairs: DataFrame) -> DataFrame:
-            lists = lists_of(pairs)
-            both = (
-                pairs.join(lists.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a")
-                .join(lists.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
-            )
-            out = own.store(both.mapInArrow(_verify(least), "a long, b long"), "verified")
-            own.drop(lists)
-            return out
-
-        def ids(links: DataFrame) -> DataFrame:
-            of = classes.select("cid", "rep")
-            return (
-                links.join(of.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a")
-                .join(of.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b").selectExpr("ra AS a", "rb AS b")
+        def compared(members: DataFrame, label: str) -> DataFrame:
+            """Links inside the runs of ``k``; ``members``: k, within, side, cid, g."""
+            full = members.join(texts, "cid").select("k", "within", "side", "rep", "g", "text")
+            return own.store(
+                full.repartition("k").sortWithinPartitions("k").mapInArrow(_compare(least), "a long, b long").distinct(), label
             )
 
-        first = own.store(crowd.where("cid <> leader").selectExpr("cid AS a", "leader AS b").distinct(), "pairs")
-        links = linked(first)
-        groups = components(ids(links), own)
+        # Every member against the leaders of its buckets; a leader of many has a copy in each block of them.
+        pairs = crowd.where("cid <> leader").select("leader", "cid").distinct()
+        led = pairs.join(
+            pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("leader", "_l"),
+            F.col("leader") == F.col("_l"),
+        ).withColumn("k", F.xxhash64("leader", F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+        star = led.select("k", "cid", F.lit(1).alias("side")).unionByName(
+            led.select("k", F.col("leader").alias("cid"), F.lit(0).alias("side")).distinct()
+        )
+        links = compared(star.select("k", F.lit(False).alias("within"), "side", "cid", F.col("cid").alias("g")), "links")
+        groups = components(links, own)
         placed = own.store(
             crowd.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("band", "bucket", "cid", "leader", F.coalesce("component", "rep").alias("g")), "placed"
+            .select("band", "bucket", "cid", F.coalesce("component", "rep").alias("g")), "placed"
+        )
+        # Buckets of several groups are cut into blocks: a large group has blocks of its own, small ones share some.
+        # Every two blocks of a bucket meet, but for two of one group.
+        place = ["band", "bucket"]
+        of_group = placed.groupBy(*place, "g").agg(F.count(F.lit(1)).alias("n"))
+        of_bucket = of_group.groupBy(*place).agg(
+            F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small")
+        ).where("groups > 1").select(*place, F.ceil(F.col("small") / BLOCK).alias("shared"))
+        large = F.col("n") >= BLOCK
+        blocked = own.store(
+            placed.join(of_group, [*place, "g"]).join(of_bucket, place).select(
+                *place, "cid", "g", F.when(large, F.xxhash64("g", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK))))
+                .otherwise(F.pmod(F.xxhash64("g"), F.col("shared"))).alias("block"), F.when(large, F.col("g")).alias("owner"),
+            ), "blocked",
+        )
+        lists = blocked.select(*place, "block", "owner").distinct().groupBy(*place).agg(
+            F.collect_list(F.struct("block", "owner")).alias("blocks")
         )
-        open_ = placed.groupBy("band", "bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
-        apart = placed.join(open_.select("band", "bucket"), ["band", "bucket"])
-        other = apart.select("band", "bucket", F.col("cid").alias("b"), F.col("g").alias("gb"))
-        rest = own.store(
-            apart.where("cid <> leader").select("band", "bucket", F.col("cid").alias("a"), F.col("g").alias("ga"), "leader")
-            .join(other, ["band", "bucket"]).where("ga <> gb AND a < b AND b <> leader").select("a", "b").distinct()
-            .join(first, ["a", "b"], "left_anti"), "pairs"
+        meeting = blocked.join(lists, place).withColumn("other", F.explode(
+            F.filter("blocks", lambda x: ~F.coalesce(x["owner"] == F.col("owner"), F.lit(False)))
+        )).select(
+            F.xxhash64(*place, F.least("block", "other.block"), F.greatest("block", "other.block")).alias("k"),
+            (F.col("block") == F.col("other.block")).alias("within"),
+            F.when(F.col("block") <= F.col("other.block"), 0).otherwise(1).alias("side"), "cid", "g",
         )
-        all_links = own.store(ids(links.unionAll(linked(rest))), "links")
+        all_links = links.unionAll(compared(meeting, "more-links"))
         found = components(all_links, own)
         of_class = own.store(
             classes.select("whole", "words", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
