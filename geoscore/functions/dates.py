@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-DAYS_PER_YEAR = 365
-
 
 def month_label(d: Column) -> Column:
     """Three-letter month name."""

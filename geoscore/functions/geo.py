@@ -8,11 +8,18 @@ EARTH_RADIUS_KM = 6378.137  # fixed value: the equatorial radius
 
 
 def _between_minus_one_and_one(c: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    # greatest and least pass over NULL.
+    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+
+
+def finite(c: Column) -> Column:
+    """NULL for NaN and both infinities."""
+    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_RADIUS_KM) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; NULL where a coordinate is unknown, NaN or infinite."""
+    lat1, lon1, lat2, lon2 = (finite(c) for c in (lat1, lon1, lat2, lon2))
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
     return F.lit(2 * radius) * F.asin(_between_minus_one_and_one(F.sqrt(h)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoscore.functions.dates import months_old, within_years
 from geoscore.functions.geo import snap
+from geoscore.operators.columns import known as known_values
 from geoscore.operators.columns import numeric_columns
 from geoscore.operators.rank import group_rank
 from geoscore.operators.skew import with_scalars
@@ -62,8 +63,9 @@ def yearly_coverage(df: DataFrame, entity: str, date: str, value: str, distinct_
     """Known days, calendar days and their ratio for every entity and year between the table's first and last date.
 
     The calendar is counted, not joined: one row per entity and year is all that is built. Needs one row per
-    (entity, date), or ``distinct_days``.
+    (entity, date), or ``distinct_days``. A day whose value is NaN or infinite is not known.
     """
+    df = known_values(df, value)
     known = F.count_distinct(F.when(F.col(value).isNotNull(), F.col(date))) if distinct_days else F.count(value)
     seen = store_once(  # one row per entity and year; the only pass over the table
         df.groupBy(entity, F.year(date).alias("year")).agg(
@@ -178,12 +180,11 @@ def grid_rollup(df: DataFrame, lat: str, lon: str, step: float, measures: Mappin
     ).agg(*[c.alias(n) for n, c in measures.items()])
 
 
-def concat_group(df: DataFrame, keys: Sequence[str], col: str, order: Sequence[Column], sep: str = ", ",
-                 part_size: int = 10_000, name: str = "text") -> DataFrame:
-    """Strings of a group joined in a stated order.
+def concat_group(df: DataFrame, keys: Sequence[str], col: str, order: Sequence[Column], part_size: int,
+                 sep: str = ", ", name: str = "text") -> DataFrame:
+    """Parts of ``part_size`` strings of a group, joined in a stated order and numbered by ``part`` from 0.
 
-    A group of more than ``part_size`` members comes as several rows, numbered by ``part``, so that no text is
-    built from an unbounded group and none is lost.
+    Every group comes as parts, so no text is built from an unbounded group and no member is lost.
     """
     ranked = group_rank(df.where(F.col(col).isNotNull()), keys, order, "_r")
     parted = ranked.withColumn("part", F.floor((F.col("_r") - 1) / part_size).cast("int"))

@@ -9,21 +9,28 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from geoscore.functions.geo import finite
+
 
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """snake_case identifiers; repeats get _2, _3 and so on."""
+    """snake_case identifiers; repeats get the first of _2, _3 and so on that no other column has."""
     seen: dict[str, int] = {}
+    used: set[str] = set()
     names = []
     for raw in df.columns:
         name = re.sub(r"([a-z0-9])([A-Z])|([A-Z])([A-Z][a-z])", r"\1\3_\2\4", raw.replace("%", "percent"))
         name = re.sub(r"[^0-9a-zA-Z]+", "_", name).strip("_").lower() or "x"
         name = "x" + name if name[0].isdigit() else name
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        new = name
+        while new in used:
+            seen[name] = seen.get(name, 1) + 1
+            new = f"{name}_{seen[name]}"
+        used.add(new)
+        names.append(new)
     return df.toDF(*names)
 
 
@@ -40,16 +47,17 @@ def fill_null(df: DataFrame, values: Mapping[str, float | int | str]) -> DataFra
     return df.fillna(dict(values))
 
 
-def finite(c: Column) -> Column:
-    """NULL for NaN and both infinities."""
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
-
-
 def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return across(df, floating if cols is None else cols, finite)
 
 
+def known(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with NaN and infinities of the named columns turned to NULL; columns that cannot hold them stay."""
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return across(df, [c for c in dict.fromkeys(cols) if c in floating], finite)
+
+
 def any_null_flag(df: DataFrame, cols: Sequence[str], name: str = "is_na") -> DataFrame:
     """1 where any of the columns is NULL."""
     return df.withColumn(name, reduce(or_, [F.col(c).isNull() for c in cols]).cast("int"))

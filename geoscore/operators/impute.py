@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoscore.operators.columns import known as known_values
 from geoscore.operators.neighbours import nearest_locations
 from geoscore.operators.skew import HOT_FLOOR, attach
 from geoscore.session import store_once
@@ -15,8 +16,9 @@ def linear_coefficients(df: DataFrame, by: Sequence[str], value: str, x1: str, x
     """Least squares ``value ~ x1 + x2`` per group, from moments gathered in one aggregate.
 
     A predictor that is constant, or ``x2`` when it is a multiple of ``x1``, drops out; with neither left the fit is
-    the mean.
+    the mean. NaN and infinities count as unknown.
     """
+    df = known_values(df, value, x1, x2)
     y, a, b = F.col(value).cast("double"), F.col(x1).cast("double"), F.col(x2).cast("double")
     moments = df.where(y.isNotNull() & a.isNotNull() & b.isNotNull()).groupBy(*by).agg(
         F.avg(y).alias("_my"), F.avg(a).alias("_ma"), F.avg(b).alias("_mb"),
@@ -38,7 +40,11 @@ def linear_coefficients(df: DataFrame, by: Sequence[str], value: str, x1: str, x
 
 def impute_linear(df: DataFrame, by: Sequence[str], value: str, x1: str = "yday", x2: str = "year",
                   name: str = "predicted", floor: int = HOT_FLOOR) -> DataFrame:
-    """Missing rows with the value their group's linear fit predicts; groups without known values are left out."""
+    """Missing rows with the value their group's linear fit predicts; groups without known values are left out.
+
+    NaN and infinities count as unknown.
+    """
+    df = known_values(df, value, x1, x2)
     fits = linear_coefficients(df, by, value, x1, x2)
     missing = df.where(F.col(value).isNull())
     return attach(missing, fits, by, how="inner", floor=floor).withColumn(
@@ -53,13 +59,15 @@ def impute_knn(df: DataFrame, by: Sequence[str], value: str, dims: Sequence[str]
     ``df`` is read three times: store it first if it is costly to work out.
 
     Distance is straight-line on the unscaled columns. Without ``by`` the whole table is one pool. Groups without
-    known values are left out (``how="left"`` keeps them, with NULL).
+    known values are left out (``how="left"`` keeps them, with NULL), as are rows with an unknown place. NaN and
+    infinities count as unknown.
     """
+    df = known_values(df, value, *dims)
     at = [*by, *dims]
     v = F.col(value)
-    known = df.where(v.isNotNull()).groupBy(*at).agg(F.sum(v).alias("_sum"), F.count(v).alias("_n"))
+    known = df.where(v.isNotNull()).dropna(subset=list(dims)).groupBy(*at).agg(F.sum(v).alias("_sum"), F.count(v).alias("_n"))
     missing = df.where(v.isNull())
-    found = nearest_locations(missing.select(*at).distinct(), known, k, dims, by, payload=["_sum"], leaf=leaf, floor=floor)
+    found = nearest_locations(missing.select(*at).dropna(subset=list(dims)).distinct(), known, k, dims, by, payload=["_sum"], leaf=leaf, floor=floor)
     q = ["_q_" + c for c in at]
     means = found.groupBy(*q).agg((F.sum("_sum") / F.sum("_n")).alias(name))
     return attach(missing, means.withColumnsRenamed(dict(zip(q, at))), at, how=how, floor=floor)

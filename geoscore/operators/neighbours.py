@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoscore.functions.geo import haversine_km, unit_vector
+from geoscore.operators.columns import known
 from geoscore.operators.skew import HOT_FLOOR, salted_join
 from geoscore.session import store_once
 
@@ -60,18 +61,26 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
     leaf = leaf or 8 << len(dims)  # a cell with no more locations than this is not split
     max_level = GRID_BITS // bits
 
-    # The extent is 2 numbers per dimension; the same width on every axis keeps cells square.
-    ends = stored.agg(*[F.min(d).alias("lo_" + d) for d in dims], *[F.max(d).alias("hi_" + d) for d in dims]).first()
-    if ends is None or ends["lo_" + dims[0]] is None:
-        low, width = {d: 0.0 for d in dims}, 1.0
-    else:
-        low = {d: float(ends["lo_" + d]) for d in dims}
-        width = max(float(ends["hi_" + d]) - low[d] for d in dims) or 1.0
+    # The extent is 4 numbers per dimension; the same width on every axis keeps cells square. It leaves out the far
+    # thousandth at either end, which goes to the outermost cells, so a far outlier does not make all cells wide.
+    # What is searched are the real bounds of each cell's points, not the grid's.
+    ends = stored.agg(
+        *[F.percentile_approx(d, [0.001, 0.999]).alias("near_" + d) for d in dims],
+        *[F.array(F.min(d), F.max(d)).alias("all_" + d) for d in dims],
+    ).first()
+    low, width = {d: 0.0 for d in dims}, 0.0
+    if ends is not None and ends["all_" + dims[0]][0] is not None:
+        for d in dims:
+            near, far = ends["near_" + d], ends["all_" + d]
+            first, last = near if near[0] < near[1] else far
+            low[d], width = float(first), max(width, float(last) - float(first))
+    width = width or 1.0
 
     def cell(d: str, level: Column) -> Column:
         """Cell number at a level; the finest grid is cut once and shifted, so levels nest exactly."""
         finest = 1 << GRID_BITS
-        number = F.least(F.floor((F.col(d) - F.lit(low[d])) / F.lit(width) * F.lit(float(finest))), F.lit(finest - 1))
+        place = (F.col(d) - F.lit(low[d])) / F.lit(width) * F.lit(float(finest))
+        number = F.floor(F.greatest(F.lit(0.0), F.least(place, F.lit(float(finest - 1)))))
         return F.call_function("shiftright", number.cast("bigint"), F.lit(bits) * (F.lit(max_level) - level)).cast("bigint")
 
     cells = ["_c_" + d for d in dims]
@@ -189,14 +198,15 @@ def knn_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str
              leaf: int | None = None, floor: int = HOT_FLOOR, coordinates: bool = False) -> DataFrame:
     """(query id, point id, distance, rank): the k nearest points of every query, ties by point id.
 
-    Plain straight-line distance on the unscaled columns. Queries with no point at all are absent. ``coordinates``
+    Plain straight-line distance on the unscaled columns. Queries with no point at all are absent, and so are queries
+    and points with a NULL, NaN or infinite coordinate. ``coordinates``
     adds the query's (``_q_``) and the point's (``_l_``) coordinate columns.
     """
     by, dims, within = list(by), list(dims), dict(within or {})
     at = list(dict.fromkeys([*by, *dims, *within]))
     key = list(dict.fromkeys([*at, *within.values()]))
-    known_q = store_once(queries.select(query_id, *key).dropna(subset=key), "queries")
-    known_p = points.select(point_id, *at).dropna(subset=at)
+    known_q = store_once(known(queries.select(query_id, *key), *key).dropna(subset=key), "queries")
+    known_p = known(points.select(point_id, *at), *at).dropna(subset=at)
     found = nearest_locations(
         known_q.select(*key).distinct(), _first_ids(known_p, at, point_id, k), k, dims, by, metric, within,
         payload=["_ids"], leaf=leaf, floor=floor,

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from geoscore.operators.skew import HOT_FLOOR, attach, global_index, with_scalars
 
 
-BROADCAST_ROWS = 100_000  # a top-n list up to this length is sent to every task
-
-
 def _ranked_first(df: DataFrame, where: Column | None) -> DataFrame:
     return df.withColumn("_ok", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
 
@@ -40,6 +37,16 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     return placed.select(*df.columns, F.when(F.col("_ok"), F.col("_g") - F.col("_first") + 1).alias(name))
 
 
+def ordinal_by(df: DataFrame, category: str, by: Column, name: str = "ordinal", floor: int = HOT_FLOOR) -> DataFrame:
+    """Position of each category, from 1, when categories are put in the order of an aggregate of another column.
+
+    Equal aggregates go by the category. A NULL category has no position.
+    """
+    levels = df.where(F.col(category).isNotNull()).groupBy(category).agg(by.alias("_by"))
+    placed = global_rank(levels, [F.col("_by").asc(), F.col(category).asc()], name)
+    return attach(df, placed.select(category, name), [category], floor=floor)
+
+
 def add_index(df: DataFrame, order: Sequence[Column], name: str = "ind") -> DataFrame:
     """Row index from 1 in a stated order (a stored table has no row order of its own)."""
     return global_rank(df, order, name)
@@ -113,7 +120,7 @@ def detail_for_top(df: DataFrame, key: str, detail: DataFrame, order: Sequence[C
     top = top_n(df if where is None else df.where(where), order, n)
     if label is not None:
         top = top.withColumn("label", label)
-    return detail.join(F.broadcast(top) if n <= BROADCAST_ROWS else top, key)
+    return detail.join(top, key)  # Spark knows the size of the limited table at run time
 
 
 def pending_batch(todo: DataFrame, done: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.functions import binning as B, dates as D, geo as G, gsod as N, text as H
 from geoscore.functions.weather import day_curve, excess_degree_days, heat_index
-from geoscore.operators import classify as C, columns as P
+from geoscore.operators import classify as C, columns as P, rank as R
 from geoscore.operators.impute import missing_flag
 from geoscore.operators.series import hourly_expand
 from geoscore.plans.bindings import (
@@ -100,12 +100,12 @@ def any_null_flag(spark: SparkSession, sf: str) -> DataFrame:
     return P.any_null_flag(station_days(spark, sf).select("stnid", "date", "temp", "prcp", "rh"), ["temp", "prcp", "rh"])
 
 
-@query("struct_expand", """SELECT c_custkey, substr(c_name, 1, 8) AS kind, substr(c_name, 10) AS number FROM customer""")
+@query("struct_expand", """SELECT doc_id, substr(text, 1, 8) AS kind, substr(text, 10) AS number FROM documents""")
 def struct_expand(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.col("c_name")
-    return P.expand_struct(table(spark, sf, "customer").select("c_custkey", "c_name"), F.struct(
-        F.substring(name, 1, 8).alias("kind"), F.substring(name, 10, 100).alias("number")
-    )).drop("c_name")
+    name = F.col("text")
+    return P.expand_struct(table(spark, sf, "documents").select("doc_id", "text"), F.struct(
+        F.substring(name, 1, 8).alias("kind"), F.substring(name, F.lit(10), F.length(name)).alias("number")
+    )).drop("text")
 
 
 @query("ordinal", """SELECT o_orderkey, CAST(list_position(['1-URGENT','2-HIGH','3-MEDIUM','5-LOW'], o_orderpriority) AS INT) AS urgency,
@@ -118,6 +118,13 @@ def ordinal(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("ordinal_by", """SELECT o_orderkey, priority_rank FROM orders JOIN (SELECT o_orderpriority,
+row_number() OVER (ORDER BY avg(o_custkey), o_orderpriority) AS priority_rank FROM orders GROUP BY 1) USING (o_orderpriority)""")
+def ordinal_by(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return R.ordinal_by(orders, "o_orderpriority", F.avg("o_custkey"), "priority_rank").select("o_orderkey", "priority_rank")
+
+
 # --- text ------------------------------------------------------------------------------------------------------
 
 PLACE_NAME = "CASE n_nationkey % 4 WHEN 0 THEN n_name || '-' || r_name || '--X, ' || n_nationkey WHEN 1 THEN n_name || ', ' || r_name WHEN 2 THEN n_name || '--' || r_name || ', S' ELSE n_name END"
@@ -362,14 +369,15 @@ a AS (SELECT place, date, CASE WHEN temp_max IS NULL OR temp_mean IS NULL OR tem
   WHEN temp_mean > 24 THEN 'hot' WHEN temp_mean < 0 THEN 'cold' ELSE 'pleasant' END AS t,
   CASE WHEN sndp IS NULL AND rh IS NULL THEN 'unknown' WHEN prcp <= 6 AND i_snow_ice <= 1 AND sndp <= 50 AND rh <= 50 THEN 'pleasant' ELSE 'elements' END AS w FROM daily),
 b AS (SELECT *, CASE WHEN t = 'unknown' AND w = 'unknown' THEN NULL WHEN t = 'pleasant' AND w = 'pleasant' THEN 1 ELSE 0 END AS pleasant FROM a)
-SELECT place, date, t AS pls_temp, w AS pls_elements, pleasant,
-  CASE WHEN pleasant IS NULL THEN 'unknown' WHEN pleasant = 1 THEN 'pleasant' WHEN t = 'hot' THEN 'hot' WHEN w = 'elements' THEN 'elements' WHEN t = 'cold' THEN 'cold' END AS distinct_class,
-  CASE WHEN pleasant IS NULL THEN 'unknown' WHEN pleasant = 1 THEN 'pleasant' WHEN t = 'hot' AND w <> 'elements' THEN 'hot' WHEN t = 'hot' THEN 'hot & elements'
-    WHEN t = 'cold' AND w <> 'elements' THEN 'cold' WHEN t = 'cold' THEN 'cold & elements' WHEN w = 'elements' THEN 'elements' END AS double_class FROM b""")
+SELECT place, date, t AS temp_class, w AS weather_class, pleasant,
+  coalesce(settled, CASE WHEN t = 'hot' THEN t END, bad, off) AS distinct_class,
+  coalesce(settled, nullif(concat_ws(' & ', off, bad), '')) AS double_class
+FROM (SELECT *, CASE WHEN t IN ('hot', 'cold') THEN t END AS off, CASE WHEN w = 'elements' THEN w END AS bad,
+      CASE WHEN pleasant IS NULL THEN 'unknown' WHEN pleasant = 1 THEN 'pleasant' END AS settled FROM b)""")
 def classify_bands(spark: SparkSession, sf: str) -> DataFrame:
     bands = C.Bands(low=(-10, 15), high=(5, 35), mean=(0, 24), prcp=6, sndp=1, indicator=50)
     out = C.classify_bands(daily(spark, sf), bands, prcp="prcp", sndp="i_snow_ice", rain="sndp", snow="rh")
-    return out.select("place", "date", "pls_temp", "pls_elements", "pleasant", "distinct_class", "double_class")
+    return out.select("place", "date", "temp_class", "weather_class", "pleasant", "distinct_class", "double_class")
 
 
 @query("classify_flags", f"""WITH {daily_sql()}, f AS (SELECT place, date,

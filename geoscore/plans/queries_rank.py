@@ -191,6 +191,17 @@ def sorted_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("merge_batch", """WITH done AS (SELECT c_custkey, c_name FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))
+SELECT * FROM done UNION SELECT * FROM (SELECT c_custkey, c_name FROM customer
+WHERE c_custkey NOT IN (SELECT c_custkey FROM done) ORDER BY c_custkey LIMIT 100)""")
+def merge_batch(spark: SparkSession, sf: str) -> DataFrame:
+    todo = table(spark, sf, "customer").select("c_custkey", "c_name")
+    closed = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    done = todo.join(closed, "c_custkey", "left_semi")
+    return R.merge_batch(done, R.pending_batch(todo, done, ["c_custkey"], [F.col("c_custkey").asc()], 100))
+
+
 @query("pending_batch", """SELECT c_custkey, c_name FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') ORDER BY c_custkey LIMIT 100""")
 def pending_batch(spark: SparkSession, sf: str) -> DataFrame:

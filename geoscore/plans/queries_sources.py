@@ -186,7 +186,7 @@ def write_table(spark: SparkSession, sf: str) -> DataFrame:
     return delimited.read_table_csv(spark, path, wanted.schema)
 
 
-@query("snapshot", "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'F'")
+@query("snapshot", "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders")
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    closed = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
+    closed = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
     return sinks.snapshot(closed, scratch_path(spark, "snapshot"))

@@ -30,8 +30,8 @@ def bound(df: DataFrame, binding: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {n}" for n, e in binding.items()])
 
 
-def bound_sql(source: str, binding: dict[str, str], where: str = "") -> str:
-    return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in binding.items()) + f" FROM {source} {where}"
+def bound_sql(source: str, binding: dict[str, str]) -> str:
+    return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in binding.items()) + f" FROM {source}"
 
 
 def r(c: Column | str, digits: int = 6) -> Column:

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only on a local master."""
+    """This application's part of the folder that all executors share (``spark.checkpoint.dir``)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="geoscore-")
-    return _local_folders[context.applicationId]
+    return f"{configured.rstrip('/')}/geoscore/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{scratch_dir(spark)}/geoscore/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application stored, once no result still reads them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def store_once(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several branches must see one and the same evaluation (a sampled range split) or where a loop
-    would grow the plan. The table outlives lost executors.
+    would grow the plan. The table outlives lost executors; :func:`clear_scratch` removes it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from geoscore.functions.gsod import sentinel_to_null, strip_flags
 
 
 @dataclass(frozen=True)
@@ -78,8 +77,3 @@ def read_station_history(spark: SparkSession, paths: str | Sequence[str]) -> Dat
 def read_daily_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Daily-summary records with each field's own missing code turned to NULL."""
     return read_fixed_width(spark, paths, DAILY_RECORD, r"^[0-9A-Z]{6} [0-9]{5}")
-
-
-def number(text: Column, missing: float | Sequence[float]) -> Column:
-    """A reading that still carries flag letters or a missing code."""
-    return sentinel_to_null(strip_flags(text), missing)

@@ -11,7 +11,7 @@ import pytest
 from conftest import SMALL
 from geoscore.plans.catalog import ORACLES, QUERIES
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 @pytest.fixture(scope="module")

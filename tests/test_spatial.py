@@ -154,3 +154,21 @@ def test_linear_fit_and_its_degenerate_forms(spark):
     assert (fits["year"]["slope_1"], fits["year"]["slope_2"]) == (pytest.approx(2.0), 0.0)
     assert (fits["day"]["slope_1"], fits["day"]["slope_2"]) == (0.0, pytest.approx(1.0))
     assert (fits["mean"]["intercept"], fits["mean"]["slope_1"], fits["mean"]["slope_2"]) == (2.5, 0.0, 0.0)
+
+
+def test_far_and_unknown_points_do_not_crowd_the_search(spark):
+    """One far outlier, NaN and infinities: right answers, and cells stay as fine as without them."""
+    spread = spark.range(600).select(
+        "id", ((F.col("id") * 37) % 601 / 7).alias("x"), ((F.col("id") * 53) % 599 / 5).alias("y")
+    )
+    odd = spark.createDataFrame(
+        [(1000, 1e12, 0.0), (1001, float("nan"), 1.0), (1002, 2.0, float("inf")), (1003, None, 1.0)], "id long, x double, y double"
+    )
+    points = spread.unionByName(odd).withColumnRenamed("id", "pid")
+    queries = spread.where("id % 20 = 0").unionByName(odd)
+    got = {(r["id"], r["rank"]): r["pid"] for r in K.knn_join(queries, points, "id", "pid", 3, ["x", "y"]).collect()}
+    known = [(r["id"], r["x"], r["y"]) for r in spread.collect()] + [(1000, 1e12, 0.0)]
+    for qid, x, y in [k for k in known if k[0] % 20 == 0]:
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, p) for p, a, b in known)[:3]
+        assert [got[qid, k + 1] for k in range(3)] == [p for _, p in near]
+    assert {q for q, _ in got} == {k[0] for k in known if k[0] % 20 == 0}

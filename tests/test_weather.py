@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from geoscore.functions import gsod as N, text as H, weather as W
 from geoscore.functions.binning import fixed_breaks
+from geoscore.functions.geo import haversine_km
 from geoscore.operators import aggregate as A, classify as C, columns as P
+from geoscore.operators.impute import impute_knn, impute_linear
 from geoscore.plans import composites as Q
 
 
@@ -150,3 +152,56 @@ def test_area_quality_missing_year_is_unknown(spark):
     df = spark.createDataFrame([("1001", 1.0, 2.0), ("1003", 3.0, None), ("2001", 5.0, None)], "fips string, y1 double, y2 double")
     xw = spark.createDataFrame([("01001", "A", "a"), ("01003", "A", "a"), ("02001", "B", "b")], "fips string, cbsafp string, name string")
     assert {r["cbsafp"]: r["pm25"] for r in Q.area_quality(df, xw, ["y1", "y2"]).collect()} == {"A": 2.0, "B": None}
+
+
+def test_clean_names_never_repeat(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "`a` int, `A b` int, `a_b` int, `a_b_2` int")
+    names = P.clean_names(df).columns
+    assert len(set(names)) == 4 and names[:3] == ["a", "a_b", "a_b_2"]
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def test_distance_of_unknown_places(spark):
+    rows = [(NAN, 0.0), (INF, 0.0), (None, 0.0), (0.0, NAN)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    assert all(r[0] is None for r in df.select(haversine_km(F.col("a"), F.lit(0.0), F.lit(0.0), F.col("b"))).collect())
+
+
+@pytest.mark.parametrize("bad", [NAN, INF, -INF])
+def test_unknown_values_are_not_known_days(spark, bad):
+    rows = [("p", f"2020-01-{d:02d}", bad if d > 5 else 1.0) for d in range(1, 11)]
+    df = spark.createDataFrame(rows, "e string, d string, v double").withColumn("d", F.col("d").cast("date"))
+    assert [r["known"] for r in A.yearly_coverage(df, "e", "d", "v").collect()] == [5]
+
+
+@pytest.mark.parametrize("bad", [NAN, INF])
+def test_models_leave_unknown_values_out(spark, bad):
+    rows = [("p", x, 2000, 2.0 * x) for x in range(1, 9)] + [("p", 9, 2000, bad), ("p", 10, 2000, None)]
+    df = spark.createDataFrame(rows, "e string, yday int, year int, v double")
+    linear = {r["yday"]: r["predicted"] for r in impute_linear(df, ["e"], "v").collect()}
+    assert linear == {9: pytest.approx(18.0), 10: pytest.approx(20.0)}
+    nearest = {r["yday"]: r["predicted"] for r in impute_knn(df, ["e"], "v", k=2).collect()}
+    assert nearest == {9: 15.0, 10: 15.0}
+
+
+@pytest.mark.parametrize("bad", [NAN, INF, None])
+def test_classes_of_unknown_values(spark, bad):
+    df = spark.createDataFrame([(bad, bad, bad, bad, bad, bad, bad)], "lo double, hi double, mid double, p double, s double, r double, w double")
+    day = C.classify_day(df, low="lo", high="hi", prcp="p", sndp="s", rain="r", snow="w").first()
+    assert day["class"] == "pleasant"
+    bands = C.classify_bands(df, low="lo", high="hi", mean="mid", prcp="p", sndp="s", rain="r", snow="w").first()
+    assert (bands["temp_class"], bands["weather_class"], bands["double_class"]) == ("unknown", "unknown", "unknown")
+    flags = C.classify_flags(df, low="lo", high="hi", mean="mid", prcp="p", sndp="s", rain="r", snow="w", wind="p").first()
+    assert flags["hot"] is None and flags["pleasant"] is None
+    strict = C.classify_strict(df, low="lo", high="hi", mean="mid", prcp="p", sndp="s", element="r").first()
+    assert strict["hot"] is None and strict["elements"] is None
+
+
+def test_world_limits(spark):
+    df = spark.createDataFrame([(10.0, 29.0, 4.0), (10.0, 31.0, 0.0), (10.0, 20.0, 2.9)], "lo double, hi double, p double")
+    df = df.withColumns({c: F.lit(0.0) for c in ("s", "r", "w")})
+    names = dict(low="lo", high="hi", prcp="p", sndp="s", rain="r", snow="w")
+    assert [r["class"] for r in C.classify_day(df, C.WORLD_LIMITS, **names).collect()] == ["elements", "hot", "pleasant"]
+    assert [r["class"] for r in C.classify_day(df, **names).collect()] == ["hot", "hot", "pleasant"]
