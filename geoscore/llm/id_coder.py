@@ -15,11 +15,14 @@ import numpy as np
 
 U = np.uint64
 TOTAL = 16  # bits of a probability
+MOST_HIT = 3 << (TOTAL - 2)  # most that both predictions together may take of the range
 SLOTS = 2048  # of the tables of order 1 and 2
-SINGLES, WIDTH_BITS = 512, 6  # ids with a frequency of their own; width of the groups above
-RENEW = 128  # ids between two updates of the frequencies
+SINGLES, WIDTH_BITS = 256, 8  # ids with a frequency of their own; width of the groups above
+FINE = TOTAL + WIDTH_BITS  # bits of the finest share of the range
+LEAST = 4  # least share of a group, so that no id is left without a share
+RENEW = 256  # ids between two updates of the frequencies
 RATE = 4
-FULL, LOW32, TINY = U(0xFFFFFFFFFFFFFFFF), U(1 << 32), U(1 << 24)
+FULL, LOW32, TINY = U(0xFFFFFFFFFFFFFFFF), U(1 << 32), U(1 << 28)
 
 
 def _groups(vocabulary: int) -> int:
@@ -36,7 +39,7 @@ class _Model:
         self.ids1, self.ids2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
         self.sure1, self.sure2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
         self.trust1 = np.tile(np.array([1000, 9000, 20000, 30000], np.int64), lanes)
-        self.trust2 = np.tile(np.array([1000, 16000, 32000, 48000], np.int64), lanes)
+        self.trust2 = np.tile(np.array([1000, 16000, 32000, 46000], np.int64), lanes)
         start = np.ones(self.n_groups, np.int64)
         start[SINGLES:] = 2
         self.counts = np.tile(start, (lanes, 1))
@@ -47,8 +50,8 @@ class _Model:
 
     def _renew(self) -> None:
         counts = self.counts
-        spare = (1 << TOTAL) - self.n_groups
-        shares = counts * spare // counts.sum(axis=1, keepdims=True) + 1
+        spare = (1 << TOTAL) - LEAST * self.n_groups
+        shares = counts * spare // counts.sum(axis=1, keepdims=True) + LEAST
         ends = np.cumsum(shares, axis=1)
         ends[:, -1] = 1 << TOTAL
         self.ends = np.concatenate([np.zeros((len(ends), 1), np.int64), ends], axis=1).reshape(-1)
@@ -61,25 +64,41 @@ class _Model:
         self.w1 = (self.rows << 2) + self.sure1.take(self.at1)
         self.w2 = (self.rows << 2) + self.sure2.take(self.at2)
         self.a2 = self.trust2.take(self.w2)
-        self.a1 = ((1 << TOTAL) - self.a2) * self.trust1.take(self.w1) >> TOTAL
+        self.a1 = np.minimum(((1 << TOTAL) - self.a2) * self.trust1.take(self.w1) >> TOTAL, MOST_HIT - self.a2)
         self.a1[self.p1 == self.p2] = 0
+        self.head = self.a2 + self.a1
+        self.rest = (1 << TOTAL) - self.head
 
     def group(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         above = ids - SINGLES
         big = above >= 0
         return np.where(big, SINGLES + (above >> WIDTH_BITS), ids), big
 
-    def span(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def span(self, ids: np.ndarray, groups: np.ndarray, big: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the ids' part of the range behind both predictions."""
+        at = self.places + groups
+        start, end = self.ends.take(at), self.ends.take(at + 1)
+        share = end - start
+        begin = (start << WIDTH_BITS) + np.where(big, ((ids - SINGLES) & ((1 << WIDTH_BITS) - 1)) * share, 0)
+        stop = np.where(big, begin + share, end << WIDTH_BITS)
+        return self._behind(begin), self._behind(stop)
+
+    def _behind(self, place: np.ndarray) -> np.ndarray:
+        return (self.head << WIDTH_BITS) + (place * self.rest >> TOTAL)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, groups and whether the groups are wide, for places behind both predictions."""
+        inner = np.maximum(value - (self.head << WIDTH_BITS), 0)
+        place = np.minimum((((inner + 1) << TOTAL) - 1) // self.rest, (1 << FINE) - 1)
+        groups = np.searchsorted(self.flat, (place >> WIDTH_BITS) + self.edges, side="right") - self.cells
         at = self.places + groups
         start = self.ends.take(at)
-        return start, self.ends.take(at + 1) - start
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.flat, value + self.edges, side="right")
-        return at - self.cells
+        big = groups >= SINGLES
+        offset = (place - (start << WIDTH_BITS)) // (self.ends.take(at + 1) - start)
+        return np.where(big, SINGLES + ((groups - SINGLES) << WIDTH_BITS) + offset, groups), groups, big
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, groups: np.ndarray) -> None:
-        self.trust2[self.w2] = self.a2 + ((np.where(hit2, 63000, 300) - self.a2) >> RATE)
+        self.trust2[self.w2] = self.a2 + ((np.where(hit2, MOST_HIT - 200, 300) - self.a2) >> RATE)
         tried = np.flatnonzero(~hit2 & (self.a1 > 0))
         places = self.w1.take(tried)
         old = self.trust1.take(places)
@@ -103,10 +122,10 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
         self.out, self.n = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
 
-    def put(self, start: np.ndarray, share: np.ndarray) -> None:
-        unit = self.range >> U(TOTAL)
+    def put(self, start: np.ndarray, stop: np.ndarray) -> None:
+        unit = self.range >> U(FINE)
         self.low += unit * start.astype(np.uint64)
-        self.range = unit * share.astype(np.uint64)
+        self.range = unit * (stop - start).astype(np.uint64)
         settled = (self.low ^ (self.low + self.range)) < LOW32
         ready = np.flatnonzero(settled | (self.range < TINY))
         if len(ready):
@@ -136,12 +155,12 @@ class _Decoder:
         self.code = (self.words[:, 0] << U(32)) | self.words[:, 1]
 
     def value(self) -> np.ndarray:
-        self.unit = self.range >> U(TOTAL)
-        return np.minimum((self.code - self.low) // self.unit, U((1 << TOTAL) - 1)).astype(np.int64)
+        self.unit = self.range >> U(FINE)
+        return np.minimum((self.code - self.low) // self.unit, U((1 << FINE) - 1)).astype(np.int64)
 
-    def take(self, start: np.ndarray, share: np.ndarray) -> None:
+    def take(self, start: np.ndarray, stop: np.ndarray) -> None:
         self.low += self.unit * start.astype(np.uint64)
-        self.range = self.unit * share.astype(np.uint64)
+        self.range = self.unit * (stop - start).astype(np.uint64)
         settled = (self.low ^ (self.low + self.range)) < LOW32
         ready = np.flatnonzero(settled | (self.range < TINY))
         if len(ready):
@@ -153,6 +172,13 @@ class _Decoder:
             self.low[ready], self.range[ready] = low << U(32), width << U(32)
 
 
+def _part(model: _Model, hit2: np.ndarray, hit1: np.ndarray, begin: np.ndarray, stop: np.ndarray):
+    a2, head = model.a2 << WIDTH_BITS, model.head << WIDTH_BITS
+    return (
+        np.where(hit2, 0, np.where(hit1, a2, begin)), np.where(hit2, a2, np.where(hit1, head, stop))
+    )
+
+
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """The payload of each block. A block shorter than the longest one is coded with zeros after its end."""
     lanes, steps = len(blocks), max(map(len, blocks))
@@ -160,26 +186,13 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     for row, block in zip(grid, blocks):
         row[: len(block)] = block
     grid = np.ascontiguousarray(grid.T)
-    model, coder = _Model(lanes, vocabulary), _Encoder(lanes, steps * 3 // 2 + 8)
-    whole, part = 1 << TOTAL, 1 << (TOTAL - WIDTH_BITS)
+    model, coder = _Model(lanes, vocabulary), _Encoder(lanes, steps + 8)
     for ids in grid:
         model.predict()
-        a2, a1 = model.a2, model.a1
         hit2 = ids == model.p2
         hit1 = (ids == model.p1) & ~hit2
-        head = a2 + a1
-        coder.put(
-            np.where(hit2, 0, np.where(hit1, a2, head)), np.where(hit2, a2, np.where(hit1, a1, whole - head))
-        )
         groups, big = model.group(ids)
-        rest = ~(hit2 | hit1)
-        start, share = model.span(groups)
-        coder.put(np.where(rest, start, 0), np.where(rest, share, whole))
-        wide = rest & big
-        coder.put(
-            np.where(wide, ((ids - SINGLES) & ((1 << WIDTH_BITS) - 1)) << (TOTAL - WIDTH_BITS), 0),
-            np.where(wide, part, whole),
-        )
+        coder.put(*_part(model, hit2, hit1, *model.span(ids, groups, big)))
         model.update(ids, hit2, hit1, groups)
     return coder.finish()
 
@@ -188,28 +201,19 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> l
     lanes, steps = len(payloads), max(sizes)
     model, coder = _Model(lanes, vocabulary), _Decoder(payloads)
     out = np.zeros((steps, lanes), np.int64)
-    whole, part = 1 << TOTAL, 1 << (TOTAL - WIDTH_BITS)
     for k in range(steps):
         model.predict()
-        a2, a1 = model.a2, model.a1
-        head = a2 + a1
         value = coder.value()
-        hit2 = value < a2
-        hit1 = (value < head) & ~hit2
-        coder.take(
-            np.where(hit2, 0, np.where(hit1, a2, head)), np.where(hit2, a2, np.where(hit1, a1, whole - head))
-        )
-        rest = ~(hit2 | hit1)
-        groups = np.minimum(model.find(coder.value()), model.n_groups - 1)
-        start, share = model.span(groups)
-        coder.take(np.where(rest, start, 0), np.where(rest, share, whole))
-        wide = rest & (groups >= SINGLES)
-        offset = coder.value() >> (TOTAL - WIDTH_BITS)
-        coder.take(np.where(wide, offset << (TOTAL - WIDTH_BITS), 0), np.where(wide, part, whole))
-        ids = np.where(groups >= SINGLES, SINGLES + ((groups - SINGLES) << WIDTH_BITS) + offset, groups)
-        ids = np.where(hit2, model.p2, np.where(hit1, model.p1, ids)).astype(np.int64)
+        hit2 = value < model.a2 << WIDTH_BITS
+        hit1 = (value < model.head << WIDTH_BITS) & ~hit2
+        ids, groups, big = model.find(value)
+        coder.take(*_part(model, hit2, hit1, *model.span(ids, groups, big)))
+        hit = hit2 | hit1
+        if hit.any():
+            ids = np.where(hit2, model.p2, np.where(hit1, model.p1, ids)).astype(np.int64)
+            groups = model.group(ids)[0]
         out[k] = ids
-        model.update(ids, hit2, hit1, model.group(ids)[0])
+        model.update(ids, hit2, hit1, groups)
     return [out[:n, i].copy() for i, n in enumerate(sizes)]
 
 
