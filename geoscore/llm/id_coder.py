@@ -2,9 +2,9 @@
 
 For each id three predictions are mixed: the id that last followed the same two ids (order 2), the one that last followed
 the same id (order 1), and the frequencies so far (order 0). How far each of the first two is trusted is learned for each
-level of its confidence. The mix splits the coder's range into a part for either prediction and a part for all other ids,
-which are then coded by their group's frequency and their place in the group. Every block starts from the same empty
-model, so it is decoded by itself. Blocks go through the coder side by side, one id of each at a time.
+level of its confidence. The mix gives a part of the coder's range to either prediction and the rest to all ids by the
+frequency of their group, evenly within a group, so an id takes one step of the coder. Every block starts from the same
+empty model and is decoded by itself. Blocks go through the coder side by side, one id of each at a time.
 """
 
 from __future__ import annotations
