@@ -179,7 +179,8 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     stored = store_once(found if keep_text else found.drop(text), "measured")
     good = labels.where(F.col("quality") == 1).select(F.col(key).alias("_good")).where(F.col("_good").isNotNull())
     holdout = stored.select(key, stratum, measures).join(good, F.col(key) == F.col("_good"), "left_semi")
-    chosen = cutoffs(holdout, stratum, measures, limit=limit, error=error)
+    # Stored, so Spark knows its size before the join and does not shuffle the texts by stratum.
+    chosen = store_once(cutoffs(holdout, stratum, measures, limit=limit, error=error), "cutoffs")
     return verdicts(stored, chosen, stratum, measures, kept=kept), measures, kept
 
 
