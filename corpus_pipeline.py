@@ -26,7 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many sites go from all documents but their home; a document that loses all its words goes."""
-    out, n = line_dedup.without_boilerplate(docs)
+    # Shared menu lines are mostly short, so lines of any length with a word count.
+    out, n = line_dedup.without_boilerplate(docs, min_words=1)
     changed = F.col(n) > 0
     left = out.where(~(changed & (F.translate("text", SPACES, "") == "")))
     return left.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(

@@ -376,6 +376,17 @@ def test_line_dedup(spark, odd, empty):
         assert line_dedup.without_boilerplate(docs)[0].count() == docs.count()
 
 
+def test_short_shared_lines(spark):
+    """The pipeline's stage looks at lines of every length that have a word; lines without one stay."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"own text of {i}\n\nLes. \n \t\nAnd ornd.\n\nend of {i}", "en", f"s{i % 12}", 1) for i in range(24)]
+    rows += [(100 + i, f"rare\nmore of {i} here", "en", f"s{i % 9}", 1) for i in range(20)]
+    got = {r["doc_id"]: r["text"] for r in pipeline.drop_shared_lines(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()}
+    for i, text, *_ in rows:
+        gone = () if i == 0 or i >= 100 else ("Les.", "And ornd.")
+        assert got[i] == "\n".join(x for x in text.split("\n") if x.strip() not in gone)
+
+
 # Mixing
 
 
