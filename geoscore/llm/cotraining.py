@@ -2,29 +2,30 @@
 
 One view sees only the text (byte trigrams and shares of kinds of characters), the other only the page's metadata
 (language, source, stored length, layout of lines). Each is a logistic regression. In every round each view labels
-the documents of a pool that it is surest about, and those labels go to the other view's training rows. At last each
+the unlabelled documents that it is surest about, and those labels go to the other view's training rows. At last each
 view's scores are calibrated on labelled rows kept back from training, and the calibrated views are added up.
 
-The labelled rows and the pool are bounded samples (``labelled``, ``pool``; by hash of the id); the model is fitted on
-them. Every document is then scored by every feature of its whole text.
+The labelled rows are a bounded sample (``labelled``; by hash of the id). The unlabelled documents are all of them: their
+features are stored once, every round scores all of them in tasks, each task keeps its surest, and only the features of the
+whole table's surest come to the fit. Every document is then scored by every feature of its whole text.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from geoscore.llm.common import grouped_by_size
+from geoscore.llm.common import Tables, grouped_by_size, tables
 
 TRIGRAMS = 256
 SOURCES, LANGS = 32, 8  # hashed
-LABELLED, POOL = 6_000, 6_000
+LABELLED = 6_000
 ROUNDS, PER_ROUND = 5, 400
 SEED = 4_711
 
@@ -35,6 +36,7 @@ for _kind, _bytes in enumerate((
 ), 1):
     _KINDS[list(_bytes)] = _kind
 N_KINDS = 10
+TEXT_WIDTH, META_WIDTH = TRIGRAMS + N_KINDS - 1 + 4 + 1, LANGS + SOURCES + 8
 
 
 def text_view(texts: list[bytes]) -> np.ndarray:
@@ -134,41 +136,40 @@ class Model(NamedTuple):
         return _sigmoid(by_text), _sigmoid(by_meta), _sigmoid(by_text + by_meta - self.prior)
 
 
-def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, lost: float = 0.005) -> Model:
-    """``y``: 1 good, 0 bad, -1 unlabelled. A fifth of the labelled rows is kept back for calibration."""
-    known = np.flatnonzero(y >= 0)
-    good = (y[known] == 1).mean() if len(known) else 0.5
+Surest = Callable[[list[np.ndarray], float], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest | None = None, lost: float = 0.005) -> Model:
+    """``y``: 1 good, 0 bad. A fifth of the rows is kept back for calibration.
+
+    ``surest`` takes the views' weights and the share of good labels, and gives for each view the features (of both
+    views) and the labels of the unlabelled documents that it is surest about.
+    """
+    known = np.arange(len(y))
+    good = (y == 1).mean() if len(known) else 0.5
     prior = math.log((good + 1e-3) / (1 - good + 1e-3))
     random = np.random.default_rng(SEED)
     random.shuffle(known)
     held, base = known[: len(known) // 5], known[len(known) // 5 :]
     if min((y[held] == 1).sum(), (y[held] == 0).sum(), (y[base] == 1).sum(), (y[base] == 0).sum()) < 2:
         return Model(None, None, (), prior, 0.0)
-    open_ = np.flatnonzero(y < 0)
     views = (text, meta)
-    taught = [(base, y[base].astype(float)), (base, y[base].astype(float))]
+    taught = [(view[base], y[base].astype(float)) for view in views]
     weights: list[np.ndarray | None] = [None, None]
     for turn in range(ROUNDS + 1):
         for v in (0, 1):
             rows, labels = taught[v]
             trust = np.where(np.arange(len(rows)) < len(base), 1.0, 0.3)
-            weights[v] = _fit(views[v][rows], labels, trust, weights[v])
-        if turn == ROUNDS or not len(open_):
+            weights[v] = _fit(rows, labels, trust, weights[v])
+        if turn == ROUNDS or surest is None:
             break
-        chosen: list[np.ndarray] = []
-        for v in (0, 1):
-            p = _sigmoid(views[v][open_] @ weights[v])
-            order = np.argsort(p)
-            n = min(PER_ROUND, len(order) // 4)
-            n_bad = max(1, round(n * (1 - good))) if n else 0
-            sure_bad, sure_good = order[:n_bad], order[len(order) - (n - n_bad) :] if n > n_bad else order[:0]
-            sure_bad, sure_good = sure_bad[p[sure_bad] < 0.1], sure_good[p[sure_good] > 0.9]
-            picked = np.concatenate([sure_bad, sure_good])
-            labels = np.concatenate([np.zeros(len(sure_bad)), np.ones(len(sure_good))])
-            rows, old = taught[1 - v]
-            taught[1 - v] = np.concatenate([rows, open_[picked]]), np.concatenate([old, labels])
-            chosen.append(picked)
-        open_ = np.delete(open_, np.unique(np.concatenate(chosen)))
+        picked = surest(weights, good)
+        if not any(len(labels) for _, labels in picked):
+            break
+        for v, (rows, labels) in enumerate(picked):
+            other = rows[:, TEXT_WIDTH:] if v == 0 else rows[:, :TEXT_WIDTH]
+            old_rows, old = taught[1 - v]
+            taught[1 - v] = np.concatenate([old_rows, other]), np.concatenate([old, labels])
     truth = y[held].astype(float)
     calibration = (*_calibrate(text[held] @ weights[0], truth), *_calibrate(meta[held] @ weights[1], truth))
     model = Model(weights[0], weights[1], calibration, prior, 0.0)
@@ -191,32 +192,121 @@ def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, text_view(texts[a:b]), metadata_view(lang[a:b], source[a:b], chars[a:b], texts[a:b])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled documents and a pool of at most ``pool`` others, chosen by hash of the id."""
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled)
-    others = (
-        docs.select("doc_id").where("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-        .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(pool).withColumn("y", F.lit(-1))
-    )
-    chosen = some.select("doc_id", F.col("y").cast("int").alias("y")).unionByName(others)
-    # At most labelled + pool rows of two numbers, so every task may have them all.
-    sample = _rows(docs).join(F.broadcast(chosen), "doc_id")
+def _features(rows: DataFrame, carried: str, kind: str) -> DataFrame:
+    """``doc_id``, the column ``carried``, and ``features``: both views as 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, y = batch.column("doc_id"), batch.column("y")
             for a, b, text, meta in _views(batch):
                 both = np.column_stack([text, meta]).astype(np.float32)
                 packed = pa.array([row.tobytes() for row in both], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids[a:b], y[a:b], packed], names=["doc_id", "y", "features"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[a:b], batch.column(carried)[a:b], packed], names=["doc_id", carried, "features"]
+                )
+
+    return rows.mapInArrow(run, f"doc_id long, {carried} {kind}, features binary")
+
+
+def _unpacked(features: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(features), np.float32).reshape(len(features), TEXT_WIDTH + META_WIDTH).astype(float)
+
 
+class Unlabelled:
+    """All documents that ``labels`` does not name; what a round has taken is not taken again.
+
+    ``stored`` has ``doc_id``, a number of its own for each ``row``, and ``features``. Of rows repeated with one id the
+    surest counts. Only ids and scores meet the labels, so features are never shuffled.
+    """
+
+    def __init__(self, stored: DataFrame, labels: DataFrame, own: Tables):
+        self.stored, self.labels, self.own = stored, labels.select("doc_id"), own
+        self.left = self._unknown(stored.select("doc_id")).distinct().count()
+        # At most ROUNDS times twice PER_ROUND ids.
+        self.taken: set[int] = set()
+
+    def _unknown(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.labels, "doc_id", "left_anti")
+
+    def surest(self, weights: list[np.ndarray], good: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = min(PER_ROUND, self.left // 4)
+        n_bad = max(1, round(n * (1 - good))) if n else 0
+        # View, sign of the score, how many.
+        sides = [(v, sign, most) for v in (0, 1) for sign, most in ((-1, n_bad), (1, n - n_bad))]
+        taken = np.array(sorted(self.taken), np.int64)
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = _unpacked(batch.column("features").to_pylist())
+                raw = both[:, :TEXT_WIDTH] @ weights[0], both[:, TEXT_WIDTH:] @ weights[1]
+                sure = _sigmoid(np.maximum(np.abs(raw[0]), np.abs(raw[1]))) > 0.9
+                free = np.flatnonzero(sure & ~np.isin(np.asarray(batch.column("doc_id")), taken))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(free), batch.column("row").take(free), pa.array(raw[0][free]), pa.array(raw[1][free])],
+                    names=["doc_id", "row", "by_text", "by_meta"],
+                )
+
+        def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(sides)
+            for batch in batches:
+                ids, rows = np.asarray(batch.column("doc_id")), np.asarray(batch.column("row"))
+                raw = np.asarray(batch.column("by_text")), np.asarray(batch.column("by_meta"))
+                for k, (v, sign, most) in enumerate(sides):
+                    new = np.flatnonzero(_sigmoid(sign * raw[v]) > 0.9)
+                    sure, i, r = (np.concatenate(x) for x in zip(held[k], (sign * raw[v][new], ids[new], rows[new])))
+                    order = np.lexsort((i, -sure))
+                    _, first = np.unique(i[order], return_index=True)
+                    keep = order[np.sort(first)[:most]]
+                    held[k] = sure[keep], i[keep], r[keep]
+            for k, (sure, i, r) in enumerate(held):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(i), k, np.int32)), pa.array(sure), pa.array(i), pa.array(r)],
+                    names=["side", "sure", "doc_id", "row"],
+                )
+
+        # Every id of the whole table's surest is among the surest of the task that holds its surest row.
+        scores = self.stored.mapInArrow(scored, "doc_id long, row long, by_text double, by_meta double")
+        of_tasks = self.own.store(self._unknown(scores).mapInArrow(top, "side int, sure double, doc_id long, row long"), "surest")
+        chosen = []
+        for k, (_, _, most) in enumerate(sides):
+            best = of_tasks.where(F.col("side") == k).groupBy("doc_id").agg(F.max(F.struct("sure", "row")).alias("top"))
+            chosen.append(best.orderBy(F.desc("top.sure"), "doc_id").limit(most).select("doc_id", "top.row").collect())
+        self.own.drop(of_tasks)
+        rows = {r["row"] for side in chosen for r in side}
+        found = self.stored.where(F.col("row").isin(sorted(rows))).select("row", "features").collect() if rows else []
+        features = {r["row"]: bytes(r["features"]) for r in found}
+        new = {r["doc_id"] for side in chosen for r in side}
+        self.taken |= new
+        self.left -= len(new)
+        out = []
+        for v in (0, 1):
+            mine = [(r["row"], float(sign > 0)) for (view, sign, _), side in zip(sides, chosen) if view == v for r in side]
+            x = _unpacked([features[row] for row, _ in mine]) if mine else np.zeros((0, TEXT_WIDTH + META_WIDTH))
+            out.append((x, np.array([label for _, label in mine])))
+        return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """Fit on at most ``labelled`` labelled documents, chosen by hash of the id, and the surest of all others."""
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled).select(
+        "doc_id", F.col("y").cast("int").alias("y")
+    )
+    # At most labelled rows of two numbers, so every task may have them all.
+    sample = _features(_rows(docs).join(F.broadcast(chosen), "doc_id"), "y", "int")
     # Rows repeated with one id would outgrow the bound; one of them is enough.
-    found = sample.mapInArrow(run, "doc_id long, y int, features binary").groupBy("doc_id", "y").agg(F.min("features").alias("f"))
-    rows = found.orderBy("doc_id").collect()
-    width = TRIGRAMS + N_KINDS - 1 + 4 + 1
-    x = np.stack([np.frombuffer(r["f"], np.float32) for r in rows]).astype(float) if rows else np.zeros((0, width + 1))
-    return train(x[:, :width], x[:, width:], np.array([r["y"] for r in rows], int))
+    rows = sample.groupBy("doc_id", "y").agg(F.min("features").alias("f")).orderBy("doc_id").collect()
+    x = _unpacked([bytes(r["f"]) for r in rows]) if rows else np.zeros((0, TEXT_WIDTH + META_WIDTH))
+    text, meta, y = x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], np.array([r["y"] for r in rows], int)
+    alone = train(text, meta, y)
+    if alone.text is None:
+        return alone
+    with tables(docs.sparkSession) as own:
+        # The number of a row is read from the stored table only, where it no longer changes.
+        rows = _rows(docs).where("doc_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+        stored = own.store(_features(rows, "row", "long"), "features")
+        model = train(text, meta, y, Unlabelled(stored, labels, own).surest)
+        own.keep_only()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -257,6 +257,45 @@ def test_cotraining(spark, documents, odd, empty):
     assert cotraining.score(odd, model).where("score IS NULL OR isnan(score)").count() == 0
 
 
+def test_cotraining_searches_all_documents(spark):
+    """Source "rare" is known from the last of 7,000 unlabelled documents alone, which any bounded pool by hash misses."""
+    order = spark.range(1000, 8000).orderBy(F.xxhash64("id", F.lit(cotraining.SEED)), "id").collect()
+    rare = {r["id"] for r in order[-100:]}
+    text = lambda i, good: f"number {i % 7} of calm words, all of them good. " * 9 if good else f"BUY {i % 7} $$$ !!! " * 9
+    rows = [(i, text(i, i % 2), "en", "common", 300) for i in range(200)]
+    rows += [(i, text(i, True), "en", "rare", 300) if i in rare else (i, f"plain BUY words {i % 5} $ good", "en", "common", 300) for i in range(1000, 8000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = cotraining.fit(spark.createDataFrame(rows, DOCUMENTS), labels)
+    assert model.meta[cotraining.LANGS + 1 + zlib.crc32(b"rare") % (cotraining.SOURCES - 1)] > 0
+
+
+def test_surest_of_the_whole_table(spark):
+    random = np.random.default_rng(5)
+    x = random.normal(size=(8000, cotraining.TEXT_WIDTH + cotraining.META_WIDTH)).astype(np.float32)
+    ids = random.integers(0, 7000, len(x))
+    rows = [(int(i), n, bytearray(r.tobytes())) for n, (i, r) in enumerate(zip(ids, x))]
+    stored = spark.createDataFrame(rows, "doc_id long, row long, features binary").repartition(7)
+    labels = spark.range(0, 7000, 5).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    weights = [random.normal(size=cotraining.TEXT_WIDTH), random.normal(size=cotraining.META_WIDTH)]
+    raw = [x[:, : cotraining.TEXT_WIDTH].astype(float) @ weights[0], x[:, cotraining.TEXT_WIDTH :].astype(float) @ weights[1]]
+    known, taken = set(range(0, 7000, 5)), set()
+    with tables(spark) as own:
+        others = cotraining.Unlabelled(stored, labels, own)
+        for _ in range(2):
+            got, now = others.surest(weights, 0.75), set()
+            for v in (0, 1):
+                for sign, most in ((-1, 100), (1, 300)):
+                    best = {}
+                    for s, i, row in sorted(zip(sign * raw[v], ids.tolist(), range(len(ids))), reverse=True):
+                        if i not in known | taken and i not in best and s > np.log(9):
+                            best[i] = row
+                    want = list(best.values())[:most]
+                    assert np.array_equal(got[v][0][got[v][1] == (sign > 0)], x[want].astype(float))
+                    now |= {int(ids[r]) for r in want}
+            taken |= now
+            assert others.taken == taken and others.left == len(set(ids.tolist()) - known - taken)
+
+
 # Dedup
 
 
