@@ -1,9 +1,8 @@
-"""Token counts by compiled transducers, without building ids.
+"""Token counts: words by a compiled transducer, counts by memoised merges.
 
-The first transducer (:mod:`pretokens`) finds where words start; its chunks' state maps compose by a prefix scan. The
-second reads one word per transition and emits the number of tokens that the word's merges leave. Its transitions are
-compiled when a word is first met, by exact merging, so it has no word that it cannot read. The counts of all words are
-summed by one more prefix scan, whose differences at the text ends are the counts of the texts.
+The transducer (:mod:`pretokens`) finds where words start; its chunks' state maps compose by a prefix scan. The count of a
+word is the length of its exact BPE merge, worked out with its ids when the word is first met and remembered. The counts
+of all words are summed by one more prefix scan, whose differences at the text ends are the counts of the texts.
 """
 
 from __future__ import annotations
