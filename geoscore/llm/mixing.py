@@ -25,6 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3  # times that a source's words may be taken
 BLOCK = 512  # words
 SLOTS = 1024  # of a shard
+FAN = 64  # children of a node in the tree of sources
 SEED = 31_337
 
 U = np.uint64
@@ -39,11 +40,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def permuted(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends ``place``; all three go row by row.
 
-    Four Feistel rounds permute the next even power of two; a value outside is sent on until it is inside.
+    Four Feistel rounds permute the next even power of two; a value outside is sent on until it is inside. That ends for
+    places inside only, so a place outside 0..n-1 stays where it is.
     """
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask, key = (U(1) << half) - U(1), key.astype(np.uint64)
-    at, todo = place.astype(np.uint64), np.flatnonzero(n > 1)
+    at, todo = place.astype(np.uint64), np.flatnonzero((n > 1) & (place >= 0) & (place < n))
     n = n.astype(np.uint64)
     while len(todo):
         left, right = at[todo] >> half[todo], at[todo] & mask[todo]
@@ -61,19 +63,56 @@ def _block_of(place: pd.Series, n: pd.Series, source: pd.Series, epoch: pd.Serie
     return pd.Series(permuted(place.to_numpy(), n.to_numpy(), key))
 
 
-def _draws(odds: list[tuple[int, float]], seed: int):
-    of, p = np.array([i for i, _ in odds]), np.array([x for _, x in odds])
+def _split(seed: int):
+    """Multinomial draws of one node's slots among its children, each row from a generator of its own."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard in frame["id"]:
-                n = np.random.default_rng([seed, int(shard)]).multinomial(SLOTS, p)
-                some = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": shard, "idx": of[some], "n": n[some]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, nodes, n = [], [], []
+            for i, (shard, level, node, slots, children, sizes) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                p = np.array(sizes, np.float64)
+                got = np.random.default_rng([seed, level, node, shard]).multinomial(slots, p / p.sum())
+                for k in np.flatnonzero(got).tolist():
+                    rows.append(i)
+                    nodes.append(children[k])
+                    n.append(int(got[k]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(nodes, pa.int64()), pa.array(n, pa.int64())],
+                names=["shard", "idx", "n"],
+            )
 
     return run
 
 
+def shard_draws(quota: DataFrame, own: Tables, seed: int) -> tuple[DataFrame, int]:
+    """How many slots of each shard every source gets: ``(shard, idx, n)``, and the number of shards.
+
+    One multinomial over all sources is drawn as conditional ones down a tree of FAN children a node, whose leaves are
+    the sources, so no list of all sources exists anywhere. ``quota``: ``idx`` and ``k_all``, the slots a source should get.
+    """
+    spark = quota.sparkSession
+    slots, last = quota.agg(F.coalesce(F.sum("k_all"), F.lit(0)), F.coalesce(F.max("idx"), F.lit(0))).first()
+    shards = -(-slots // SLOTS)
+    drawn = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("idx"), F.lit(SLOTS).cast("long").alias("n"))
+    levels, below = [], quota.select("idx", "k_all")
+    while True:
+        node = F.expr(f"idx DIV {FAN}")
+        tree = below.groupBy(node.alias("_node")).agg(
+            F.sort_array(F.collect_list(F.struct("idx", "k_all"))).alias("children"), F.sum("k_all").alias("k_all")
+        )
+        levels.append(own.store(tree, "tree"))
+        below, last = levels[-1].select(F.col("_node").alias("idx"), "k_all"), last // FAN
+        if not last:
+            break
+    for level in range(len(levels) - 1, -1, -1):
+        # Near the root these are a few rows, which Spark broadcasts; further down a node has its share of the shards.
+        met = drawn.join(levels[level], F.col("idx") == F.col("_node")).select(
+            "shard", F.lit(level).alias("level"), "idx", "n", F.col("children.idx").alias("children"), F.col("children.k_all").alias("sizes")
+        )
+        drawn = met.mapInArrow(_split(seed), "shard long, idx long, n long")
+    return own.store(drawn, "drawn"), shards
+
+
 def source_targets(sized: DataFrame, own: Tables, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Per source: ``idx`` in order of code points (null last), ``source_size`` and ``target`` in words."""
     sums = own.store(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -126,15 +165,7 @@ class Mix:
             "epochs": F.expr("take DIV source_size"), "rest": F.expr("take % source_size"),
         }).withColumn("k_all", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block))
         quota = own.store(quota.where("k_all > 0"), "quota")
-        # One number per source; the sources are the rows of the list of weights.
-        numbers = [(r["idx"], r["k_all"]) for r in quota.select("idx", "k_all").orderBy("idx").toLocalIterator()]
-        slots = sum(k for _, k in numbers)
-        shards = -(-slots // SLOTS)
-        drawn = own.store(
-            spark.range(shards).mapInPandas(
-                _draws([(i, k / slots) for i, k in numbers], seed), "shard long, idx long, n long"
-            ) if slots else spark.createDataFrame([], "shard long, idx long, n long"), "drawn"
-        )
+        drawn, shards = shard_draws(quota, own, seed)
         up_to = Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
         runs = drawn.withColumn("stop", F.sum("n").over(up_to)).select("shard", "idx", F.expr("stop - n").alias("begin"), "stop")
         short = quota.select("idx", "k_all").join(drawn.groupBy("idx").agg(F.sum("n").alias("n")), "idx", "left").select(

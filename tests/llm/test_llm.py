@@ -435,6 +435,49 @@ def test_permutations():
             assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))) == list(range(n))
 
 
+def test_permutation_leaves_places_outside_alone():
+    """Spark evaluates the permutation for all rows, also for the short block at the end of a source."""
+    for n in range(1, 40):
+        for key in range(20):
+            for place in (-1, n, n + 1, 2 * n + 7):
+                assert mixing.permuted(np.array([place]), np.array([n]), np.array([key])).tolist() == [place]
+
+
+def test_mix_of_many_small_sources(spark):
+    """Fifty sources of 1 to 12 blocks of the production size, most with a short last block."""
+    rows = [(100 * s + b, " ".join(["w"] * (512 if b < s % 12 else 1 + 37 * s % 511)), "en", f"s{s:02}", 1) for s in range(50) for b in range(s % 12 + 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    with tables(spark) as own:
+        parts = mixing.mix(docs, own)
+        got = mixing.taken_per_document(parts).collect()
+        # Blocks that one epoch takes of a source are different ones.
+        slots = parts.slots.groupBy("idx", "epoch", "block").count().where("count > 1").count()
+    assert slots == 0 and len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        s = r["doc_id"] // 100
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+def test_draws_down_the_tree(spark):
+    """Sources get slots in proportion, each shard is filled, and the tree has several levels."""
+    quota = spark.range(5000).select(F.col("id").alias("idx"), F.when(F.col("id") == 4321, 50_000).otherwise(20).cast("long").alias("k_all"))
+    with tables(spark) as own:
+        drawn, shards = mixing.shard_draws(quota, own, 1)
+        rows = drawn.collect()
+        again = mixing.shard_draws(quota.repartition(7), own, 1)[0].collect()
+    assert sorted(rows) == sorted(again) and shards == -(-(4999 * 20 + 50_000) // mixing.SLOTS)
+    per_shard, per_source = Counter(), Counter()
+    for r in rows:
+        per_shard[r["shard"]] += r["n"]
+        per_source[r["idx"]] += r["n"]
+    assert set(per_shard.values()) == {mixing.SLOTS} and len(per_shard) == shards
+    assert abs(per_source[4321] - 50_000) < 1500 and abs(sum(per_source[i] for i in range(2500)) - 50_000) < 1500
+
+
 def test_mix(spark, documents, odd, empty):
     for docs in (documents, odd, empty):
         with tables(spark) as own:
