@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.llm import (
     bag_minhash, bpe, cotraining, embedding_dedup, id_files, line_dedup, main_text, mixing, quality_rules, token_counts,
+    url_filter,
 )
 from geoscore.llm.common import table, tables
 from geoscore.session import scratch_path
@@ -92,3 +93,16 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = url_filter.judged(pages, url_filter.rule_table(spark, url_filter.RULES))
+    host, path, verdict = (rows[c] for c in rows.columns[-3:])
+    return rows.select(
+        "page_id", host.alias("host"), path.alias("path"), verdict["rule"].alias("rule"), verdict["verdict"].alias("verdict")
+    )
+
+
+ORACLES["op11_url_filter"] = url_filter.ORACLE_SQL
