@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.llm import (
-    bag_minhash, bpe, cotraining, embedding_dedup, id_files, line_dedup, main_text, mixing, quality_rules, token_counts,
-    url_filter,
+    bag_minhash, bpe, cotraining, embedding_dedup, id_files, line_dedup, main_text, merkle, mixing, quality_rules,
+    token_counts, url_filter,
 )
 from geoscore.llm.common import table, tables
 from geoscore.session import scratch_path
@@ -106,3 +106,20 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_url_filter"] = url_filter.ORACLE_SQL
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # What is verified: texts without line feeds where the id's checksum is even, the rows as they are elsewhere.
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"))).otherwise(F.col("text"))
+    fields = [F.col(f) for f in ("doc_id", "source", "lang", "n_chars")]
+    with tables(spark) as own:
+        rows = merkle.manifest(docs, own, extra={"given": merkle.leaf_digest([*fields, text])}).leaves
+    lefts, rights, root = F.col("lefts"), F.col("rights"), merkle.folded(F.col("given"), F.col("lefts"), F.col("rights"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(lefts, rights).alias("proof_sha256"),
+                       root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.ORACLE_SQL
