@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.llm import (
     bag_minhash, bpe, cotraining, embedding_dedup, id_files, line_dedup, main_text, merkle, mixing, quality_rules,
-    token_counts, url_filter,
+    spelling, token_counts, url_filter,
 )
 from geoscore.llm.common import table, tables
 from geoscore.session import scratch_path
@@ -123,3 +123,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_merkle_manifest"] = merkle.ORACLE_SQL
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with tables(spark) as own:
+        return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")), own)
+
+
+ORACLES["op13_spelling_variants"] = spelling.ORACLE_SQL
