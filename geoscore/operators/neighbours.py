@@ -1,14 +1,16 @@
 """Exact nearest neighbours without comparing every query with every point.
 
-Points are counted on a pyramid of grids. All queries then walk down the pyramid together, one join per level: from
-the cells still in play, the counts and tight boxes give a distance within which k points certainly lie, and every
-cell whose nearest corner is farther is dropped. Crowded cells are split further, so what is finally compared is a
-few small cells per query, however unevenly the points lie. Repeated coordinates are one location with a count.
+Points are held in a tree that is cut at quantiles of the points themselves: a crowded node is cut in each dimension at its
+own quarters (or half), and what equals a cut is a part of its own, so every crowded node gets smaller, however unevenly
+its points lie. All queries then walk down the tree together, one join per level: from the nodes still in play, the counts
+and tight boxes give a distance within which k points certainly lie, and every node whose nearest corner is farther is
+dropped. What is finally compared is a few small nodes per query. Repeated coordinates are one location with a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,7 +21,7 @@ from geoscore.operators.skew import HOT_FLOOR, salted_join
 from geoscore.session import store_once
 
 LEVELS_PER_STORE = 2  # steps down between two written frontiers, which keeps plans short
-GRID_BITS = 32  # the finest grid has this many halvings of the extent
+ACCURACY = 200  # of the quantiles; a part holds up to half a hundredth of its node more than its share
 
 
 def _total(terms: Sequence[Column], metric: str) -> Column:
@@ -41,84 +43,105 @@ def _farthest(dims: Sequence[str], metric: str) -> Column:
     return _total(gaps, metric)
 
 
-def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Sequence[str], by: Sequence[str] = (),
-                      metric: str = "euclid", within: Mapping[str, str] | None = None, payload: Sequence[str] = (),
-                      count: str = "_n", leaf: int | None = None, floor: int = HOT_FLOOR) -> DataFrame:
-    """Per query location: every location with fewer than ``k`` points strictly nearer, so ties at the end all stay.
+@dataclass
+class Tree:
+    """``levels``: the nodes of each depth with their counts and boxes; ``places``: every location with its leaf's path."""
 
-    ``queries`` has one row per (by, dims); ``locations`` one row per (by, dims) with a point ``count``. ``within``
-    maps extra coordinate columns, present on both sides, to the query column that limits the gap in them (closed);
-    those columns and limits belong to the query's key. Result: the query's key columns prefixed ``_q_``, the
-    ``payload`` of the location and its coordinates prefixed ``_l_``, ``_d`` (squared distance, or the largest gap for ``chebyshev``) and the count.
+    by: list[str]
+    boxed: list[str]
+    payload: list[str]
+    leaf: int
+    step: int  # characters of a path per level
+    levels: list[DataFrame]
+    places: DataFrame
+
+    @property
+    def node_columns(self) -> list[str]:
+        return ["_path", "_n", "_locs", *[f"_{e}_{c}" for c in self.boxed for e in ("min", "max")]]
+
+
+def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str], also: Sequence[str] = (), payload: Sequence[str] = (),
+                  count: str = "_n", leaf: int | None = None) -> Tree:
+    """A tree per group ``by`` over locations that are distinct in (by, dims, also), each with a point ``count``.
+
+    Nodes are cut along ``dims``, and along ``also`` where all locations of a node agree in ``dims``. Boxes cover both.
+    A location is read again only as long as its node is crowded, so the number of stored tables grows with the logarithm
+    of the largest group.
     """
-    by, dims, within = list(by), list(dims), dict(within or {})
-    boxed = list(dict.fromkeys([*dims, *within]))
-    stored = store_once(
-        locations.select(*by, *boxed, F.col(count).cast("bigint").alias("_n"), *[c for c in payload if c not in [*by, *boxed]]),
-        "locations",
+    by, dims = list(by), list(dict.fromkeys(dims))
+    also = [c for c in dict.fromkeys(also) if c not in dims]
+    boxed = [*dims, *also]
+    payload = [c for c in payload if c not in [*by, *boxed]]
+    leaf = leaf or 8 << len(dims)  # a node with no more locations than this is not cut
+    marks = [0.25, 0.5, 0.75] if len(dims) <= 3 else [0.5]
+    left = store_once(
+        locations.select(*by, *boxed, F.col(count).cast("bigint").alias("_n"), *payload, F.lit("").alias("_path")), "locations"
     )
-    bits = 2 if len(dims) <= 3 else 1  # halvings per step down
-    leaf = leaf or 8 << len(dims)  # a cell with no more locations than this is not split
-    max_level = GRID_BITS // bits
-
-    # The extent is 4 numbers per dimension; the same width on every axis keeps cells square. It leaves out the far
-    # thousandth at either end, which goes to the outermost cells, so a far outlier does not make all cells wide.
-    # What is searched are the real bounds of each cell's points, not the grid's.
-    ends = stored.agg(
-        *[F.percentile_approx(d, [0.001, 0.999]).alias("near_" + d) for d in dims],
-        *[F.array(F.min(d), F.max(d)).alias("all_" + d) for d in dims],
-    ).first()
-    low, width = {d: 0.0 for d in dims}, 0.0
-    if ends is not None and ends["all_" + dims[0]][0] is not None:
-        for d in dims:
-            near, far = ends["near_" + d], ends["all_" + d]
-            first, last = near if near[0] < near[1] else far
-            low[d], width = float(first), max(width, float(last) - float(first))
-    width = width or 1.0
-
-    def cell(d: str, level: Column) -> Column:
-        """Cell number at a level; the finest grid is cut once and shifted, so levels nest exactly."""
-        finest = 1 << GRID_BITS
-        place = (F.col(d) - F.lit(low[d])) / F.lit(width) * F.lit(float(finest))
-        number = F.floor(F.greatest(F.lit(0.0), F.least(place, F.lit(float(finest - 1)))))
-        return F.call_function("shiftright", number.cast("bigint"), F.lit(bits) * (F.lit(max_level) - level)).cast("bigint")
-
-    cells = ["_c_" + d for d in dims]
-
-    def grid(df: DataFrame, levels: Sequence[int]) -> DataFrame:
-        leveled = df.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels])))
-        return leveled.withColumns({"_c_" + d: cell(d, F.col("_level")) for d in dims})
-
-    def count_cells(df: DataFrame, levels: Sequence[int]) -> DataFrame:
-        return grid(df, levels).groupBy(*by, "_level", *cells).agg(
+    columns = left.columns
+    levels: list[DataFrame] = []
+    placed: list[DataFrame] = []
+    node = [*by, "_path"]
+    while True:
+        now = store_once(left.groupBy(*node).agg(
             F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_locs"),
             *[F.min(c).alias("_min_" + c) for c in boxed], *[F.max(c).alias("_max_" + c) for c in boxed],
+            *[F.percentile_approx(F.col(c).cast("double"), marks, ACCURACY).alias("_cuts_" + c) for c in boxed],
+        ), "nodes")
+        cuts = ["_cuts_" + c for c in boxed]
+        levels.append(now.drop(*cuts))
+        crowded = now.where(F.col("_locs") > leaf)
+        if crowded.isEmpty():
+            placed.append(left)
+            break
+        differ = F.lit(False)
+        for c in dims:
+            differ = differ | (F.col("_min_" + c) < F.col("_max_" + c))
+        none = F.lit(None).cast("array<double>")
+        split = crowded.select(
+            *[F.col(c).alias("_k_" + c) for c in node], F.lit(True).alias("_cut"), *["_cuts_" + c for c in dims],
+            *[F.when(~differ, F.col("_cuts_" + c)).otherwise(none).alias("_cuts_" + c) for c in also],
         )
+        same = F.lit(True)
+        for c in node:
+            same = same & (left[c] == split["_k_" + c])
+
+        def part(c: str) -> Column:
+            """Twice the cuts below the value, and one more if it equals a cut: a digit."""
+            x = F.col(c).cast("double")
+            below = F.size(F.filter(F.array_distinct("_cuts_" + c), lambda cut: cut < x))
+            equal = F.array_contains(F.coalesce("_cuts_" + c, F.array().cast("array<double>")), x)
+            return F.when(F.col("_cuts_" + c).isNull(), "0").otherwise((2 * below + equal.cast("int")).cast("string"))
+
+        # A hot node is split by the adaptive skew join, unless the cuts are few enough to be broadcast by Spark.
+        stepped = store_once(left.join(split, same, "left").select(
+            *[c for c in columns if c != "_path"],
+            F.when(F.col("_cut"), F.concat("_path", *[part(c) for c in boxed])).otherwise(F.col("_path")).alias("_path"),
+            F.coalesce("_cut", F.lit(False)).alias("_cut"),
+        ), "parts")
+        placed.append(stepped.where(~F.col("_cut")).drop("_cut"))
+        left = stepped.where("_cut").drop("_cut")
+    places = reduce(lambda a, b: a.unionByName(b), placed)
+    return Tree(by, boxed, payload, leaf, len(boxed), levels, places)
+
+
+def search(tree: Tree, queries: DataFrame, k: int, dims: Sequence[str], metric: str = "euclid",
+           within: Mapping[str, str] | None = None, floor: int = HOT_FLOOR) -> DataFrame:
+    """Per query location: every location with fewer than ``k`` points strictly nearer, so ties at the end all stay.
 
-    # Count a few levels at a time, and only as deep as some cell is still crowded.
-    parts: list[DataFrame] = []
-    depth, counted = 0, -1
-    while depth > counted and counted < max_level:
-        levels = [i for i in range(counted + 1, counted + (3 if parts else 4)) if i <= max_level]
-        source = stored
-        if parts:
-            busy = parts[-1].where((F.col("_level") == counted) & (F.col("_locs") > leaf)).select(*by, *cells)
-            keyed = stored.withColumns({"_c_" + d: cell(d, F.lit(counted)) for d in dims})
-            source = keyed.join(busy, [*by, *cells], "left_semi").drop(*cells)
-        parts.append(store_once(count_cells(source, levels), "cells"))
-        counted = levels[-1]
-        deepest = parts[-1].where(F.col("_locs") > leaf).agg(F.max("_level")).first()[0]
-        depth = min(deepest + 1, max_level) if deepest is not None else depth
-    nodes = reduce(lambda a, b: a.unionByName(b), parts)
-
-    key = [*by, *boxed, *within.values()]
-    q_key = list(dict.fromkeys(key))
+    ``queries`` has one row per (by, dims), where ``dims`` are among the tree's columns. ``within``
+    maps extra coordinate columns, present on both sides, to the query column that limits the gap in them (closed);
+    those columns and limits belong to the query's key. Result: the query's key columns prefixed ``_q_``, the
+    payload of the location and its coordinates prefixed ``_l_``, ``_d`` (squared distance, or the largest gap for ``chebyshev``) and the count.
+    """
+    by, dims, within = tree.by, list(dims), dict(within or {})
+    boxed = list(dict.fromkeys([*dims, *within]))
+    q_key = list(dict.fromkeys([*by, *boxed, *within.values()]))
     start = queries.select(*[F.col(c).alias("_q_" + c) for c in q_key])
     q_cols = ["_q_" + c for c in q_key]
-    node_cols = ["_level", *cells, "_n", "_locs", *[f"_{e}_{c}" for c in boxed for e in ("min", "max")]]
+    node_cols = tree.node_columns
 
     def prune(frontier: DataFrame) -> DataFrame:
-        """Drop the cells that cannot hold one of a query's k nearest. The bound found one level up already drops most
+        """Drop the nodes that cannot hold one of a query's k nearest. The bound found one level up already drops most
         of them before the rows of a query are brought together."""
         sure = F.lit(True)
         for c, limit in within.items():
@@ -135,38 +158,35 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
         limit = F.least("_limit", "_bound")  # ignores a NULL bound: fewer than k points are in play
         return reached.where(F.col("_near") <= limit).select(*q_cols, *node_cols, limit.alias("_limit"))
 
-    tops = nodes.where(F.col("_level") == 0)
+    tops = tree.levels[0]
     if by:
         roots = start.join(tops.withColumnsRenamed({c: "_q_" + c for c in by}), ["_q_" + c for c in by])
     else:
-        roots = start.crossJoin(F.broadcast(tops))  # without groups the top of the pyramid is one row
+        roots = start.crossJoin(F.broadcast(tops))  # without groups the top of the tree is one row
     frontier = prune(roots.withColumn("_limit", F.lit(float("inf"))))
-    for level in range(depth):
+    depth = len(tree.levels) - 1
+    for level, below in enumerate(tree.levels[1:]):
         # A hot parent (at the top all queries share one) meets a bounded number of children. The child side is small
         # at the top, where Spark broadcasts it; below that a skewed parent is split by the adaptive skew join.
-        children = nodes.where(F.col("_level") == level + 1).select(
-            *[F.col(c).alias("_k_" + c) for c in by], *[F.shiftright(c, bits).alias("_p" + c) for c in cells],
+        children = below.select(
+            *[F.col(c).alias("_k_" + c) for c in by], F.left("_path", F.lit(level * tree.step)).alias("_parent"),
             F.lit(True).alias("_open"), *[F.col(c).alias("_n_" + c) for c in node_cols],
         )
-        opened = frontier.withColumn("_open", (F.col("_level") == level) & (F.col("_locs") > leaf))
-        same = opened["_open"] == children["_open"]
+        opened = frontier.withColumn("_open", (F.length("_path") == level * tree.step) & (F.col("_locs") > tree.leaf))
+        same = (opened["_open"] == children["_open"]) & (opened["_path"] == children["_parent"])
         for c in by:
             same = same & (opened["_q_" + c] == children["_k_" + c])
-        for c in cells:
-            same = same & (opened[c] == children["_p" + c])
-        stepped = opened.join(children, same, "left").select(
+        frontier = prune(opened.join(children, same, "left").select(
             *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols], "_limit"
-        )
-        frontier = prune(stepped)
+        ))
         if level % LEVELS_PER_STORE == LEVELS_PER_STORE - 1 or level == depth - 1:
             frontier = store_once(frontier, "frontier")
 
-    at_leaf = frontier.select(*q_cols, *[F.col("_q_" + c).alias(c) for c in by], "_level", *cells)
-    placed = grid(stored, range(depth + 1)).select(
-        *by, "_level", *cells, *[F.col(c).alias("_l_" + c) for c in boxed], "_n",
-        *[F.col(c).alias("_pl_" + c) for c in payload],
+    at_leaf = frontier.select(*q_cols, *[F.col("_q_" + c).alias(c) for c in by], "_path")
+    placed = tree.places.select(
+        *by, "_path", *[F.col(c).alias("_l_" + c) for c in boxed], "_n", *[F.col(c).alias("_pl_" + c) for c in tree.payload],
     )
-    pairs = salted_join(at_leaf, placed, [*by, "_level", *cells], floor, right_bounded=True)
+    pairs = salted_join(at_leaf, placed, [*by, "_path"], floor, right_bounded=True)
     for c, limit in within.items():
         pairs = pairs.where(F.abs(F.col("_l_" + c) - F.col("_q_" + c)) <= F.col("_q_" + limit))
     pairs = pairs.withColumn("_d", _total([F.abs(F.col("_l_" + d) - F.col("_q_" + d)) for d in dims], metric))
@@ -178,10 +198,18 @@ def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Se
     level_with = Window.partitionBy(*q_cols, "_d")
     closer = F.sum("_n").over(upto) - F.sum("_n").over(level_with)
     return pairs.withColumn("_closer", closer).where(F.col("_closer") < k).select(
-        *q_cols, *["_l_" + c for c in boxed], *[F.col("_pl_" + c).alias(c) for c in payload], "_d", "_n"
+        *q_cols, *["_l_" + c for c in boxed], *[F.col("_pl_" + c).alias(c) for c in tree.payload], "_d", "_n"
     )
 
 
+def nearest_locations(queries: DataFrame, locations: DataFrame, k: int, dims: Sequence[str], by: Sequence[str] = (),
+                      metric: str = "euclid", within: Mapping[str, str] | None = None, payload: Sequence[str] = (),
+                      count: str = "_n", leaf: int | None = None, floor: int = HOT_FLOOR) -> DataFrame:
+    """:func:`search` in a :func:`quantile_tree` built for it."""
+    tree = quantile_tree(locations, by, dims, list(within or {}), payload, count, leaf)
+    return search(tree, queries, k, dims, metric, within, floor)
+
+
 def _first_ids(points: DataFrame, at: Sequence[str], point_id: str, k: int) -> DataFrame:
     """One row per location with its count and its k smallest ids. The rank limit is applied inside each task before
     the shuffle, so a location that holds a large part of the table sends on k ids per task."""
@@ -193,24 +221,29 @@ def _first_ids(points: DataFrame, at: Sequence[str], point_id: str, k: int) -> D
     return points.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).join(few, list(at))
 
 
-def knn_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, k: int, dims: Sequence[str],
+def point_tree(points: DataFrame, point_id: str, k: int, dims: Sequence[str], by: Sequence[str] = (), also: Sequence[str] = (),
+               leaf: int | None = None) -> Tree:
+    """A tree that :func:`knn_join` can search for up to ``k`` neighbours by any of its coordinates, as often as wanted."""
+    at = list(dict.fromkeys([*by, *dims, *also]))
+    known_p = known(points.select(point_id, *at), *at).dropna(subset=at)
+    return quantile_tree(_first_ids(known_p, at, point_id, k), by, dims, also, ["_ids"], leaf=leaf)
+
+
+def knn_join(queries: DataFrame, points: DataFrame | Tree, query_id: str, point_id: str, k: int, dims: Sequence[str],
              by: Sequence[str] = (), metric: str = "euclid", within: Mapping[str, str] | None = None,
              leaf: int | None = None, floor: int = HOT_FLOOR, coordinates: bool = False) -> DataFrame:
     """(query id, point id, distance, rank): the k nearest points of every query, ties by point id.
 
     Plain straight-line distance on the unscaled columns. Queries with no point at all are absent, and so are queries
-    and points with a NULL, NaN or infinite coordinate. ``coordinates``
+    and points with a NULL, NaN or infinite coordinate. ``points`` may be a :func:`point_tree`. ``coordinates``
     adds the query's (``_q_``) and the point's (``_l_``) coordinate columns.
     """
     by, dims, within = list(by), list(dims), dict(within or {})
     at = list(dict.fromkeys([*by, *dims, *within]))
     key = list(dict.fromkeys([*at, *within.values()]))
     known_q = store_once(known(queries.select(query_id, *key), *key).dropna(subset=key), "queries")
-    known_p = known(points.select(point_id, *at), *at).dropna(subset=at)
-    found = nearest_locations(
-        known_q.select(*key).distinct(), _first_ids(known_p, at, point_id, k), k, dims, by, metric, within,
-        payload=["_ids"], leaf=leaf, floor=floor,
-    )
+    tree = points if isinstance(points, Tree) else point_tree(points, point_id, k, dims, by, list(within), leaf)
+    found = search(tree, known_q.select(*key).distinct(), k, dims, metric, within, floor)
     best = Window.partitionBy(*["_q_" + c for c in key]).orderBy("_d", point_id)
     ranked = (
         found.withColumn(point_id, F.explode("_ids"))
@@ -234,10 +267,12 @@ def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.withColumns({n: c.cast("double") for n, c in unit_vector(F.col(lat), F.col(lon)).items()})
 
 
-def _closest_in_box(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, radius: str, lat: str,
+def _closest_in_box(queries: DataFrame, points: DataFrame | Tree, query_id: str, point_id: str, radius: str, lat: str,
                     lon: str, leaf: int | None) -> DataFrame:
+    if not isinstance(points, Tree):
+        points = _on_sphere(points, lat, lon)
     near = knn_join(
-        _on_sphere(queries, lat, lon), _on_sphere(points, lat, lon), query_id, point_id, 1, ["_x", "_y", "_z"],
+        _on_sphere(queries, lat, lon), points, query_id, point_id, 1, ["_x", "_y", "_z"],
         within={lat: radius, lon: radius}, leaf=leaf, coordinates=True,
     )
     distance = haversine_km(F.col("_q_" + lat), F.col("_q_" + lon), F.col("_l_" + lat), F.col("_l_" + lon))
@@ -256,12 +291,14 @@ def expanding_nearest_join(queries: DataFrame, points: DataFrame, query_id: str,
     """Closest point in the first square of the growing list of radii that holds any point.
 
     The first square that holds a point is known from the nearest point by largest coordinate gap, so there are two
-    searches in all, not one per radius. Queries with nothing inside the last square are absent.
+    searches in all, not one per radius, and both go down the same tree. Queries with nothing inside the last square are
+    absent.
     """
-    gap = knn_join(queries, points, query_id, point_id, 1, [lat, lon], metric="chebyshev", leaf=leaf) \
+    tree = point_tree(_on_sphere(points, lat, lon), point_id, 1, [lat, lon], also=["_x", "_y", "_z"], leaf=leaf)
+    gap = knn_join(queries, tree, query_id, point_id, 1, [lat, lon], metric="chebyshev") \
         .select(query_id, F.col("distance").alias("_gap"))
     steps = F.array(*[F.lit(float(r)) for r in sorted(radii)])
     limited = store_once(queries.select(query_id, lat, lon).join(gap, query_id).withColumn(
         "_radius", F.array_min(F.filter(steps, lambda r: r >= F.col("_gap")))
     ).where(F.col("_radius").isNotNull()), "limited")
-    return _closest_in_box(limited, points, query_id, point_id, "_radius", lat, lon, leaf)
+    return _closest_in_box(limited, tree, query_id, point_id, "_radius", lat, lon, leaf)

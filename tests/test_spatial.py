@@ -172,3 +172,62 @@ def test_far_and_unknown_points_do_not_crowd_the_search(spark):
         near = sorted(((x - a) ** 2 + (y - b) ** 2, p) for p, a, b in known)[:3]
         assert [got[qid, k + 1] for k in range(3)] == [p for _, p in near]
     assert {q for q, _ in got} == {k[0] for k in known if k[0] % 20 == 0}
+
+
+def stored_tables(monkeypatch):
+    """Counts the tables that a search stores."""
+    seen = []
+    real = K.store_once
+    monkeypatch.setattr(K, "store_once", lambda df, label="stored": seen.append(label) or real(df, label))
+    return seen
+
+
+@pytest.mark.parametrize("dims", [["x", "y"], ["x"]])
+def test_outliers_far_in_every_dimension_are_cut_too(spark, monkeypatch, dims):
+    """Ninety distinct points far out in all dimensions, 0.9 in a thousand, cost no more stored tables than none."""
+    n = 20_000
+    near = spark.range(n).select("id", ((F.col("id") * 7919) % 20_011 / 7).alias("x"), ((F.col("id") * 104_729) % 19_997 / 5).alias("y"))
+    far = spark.range(18).select((F.col("id") + 10**6).alias("id"), (1e9 + F.col("id") * 1e6).alias("x"), (3e9 + F.col("id") * 7e5).alias("y"))
+    points = near.unionByName(far).withColumnRenamed("id", "pid")
+    queries = near.where("id % 1000 = 0").unionByName(far)
+    seen = stored_tables(monkeypatch)
+    K.knn_join(queries, near.withColumnRenamed("id", "pid"), "id", "pid", 3, dims, leaf=8).count()
+    without = len(seen)
+    seen.clear()
+    got = {(r["id"], r["rank"]): r["pid"] for r in K.knn_join(queries, points, "id", "pid", 3, dims, leaf=8).collect()}
+    assert len(seen) <= without + 2
+    rows = [tuple(r) for r in points.collect()]
+    for q, x, y in map(tuple, queries.collect()):
+        best = sorted(((x - a) ** 2 + ((y - b) ** 2 if "y" in dims else 0), p) for p, a, b in rows)[:3]
+        assert [got[q, i + 1] for i in range(3)] == [p for _, p in best]
+
+
+def test_tree_of_ties_and_lines(spark):
+    """All on one line, most at one value, and locations that differ in the limited columns alone."""
+    rows = [(i, 5.0, float(i % 40), float(i // 40)) for i in range(400)] + [(1000 + i, 5.0 + 2.0**i, 0.0, 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "p long, x double, y double, w double")
+    tree = K.point_tree(df, "p", 2, ["x", "y"], also=["w"], leaf=4)
+    leaves = tree.places.groupBy("_path").count().agg(F.max("count")).first()[0]
+    assert leaves <= 4 and tree.places.count() == 460 and len(tree.levels) < 16
+    queries = df.where("p % 7 = 0").select(F.col("p").alias("q"), "x", "y", "w", F.lit(1.0).alias("r"))
+    got = {}
+    for r in K.knn_join(queries, tree, "q", "p", 2, ["x", "y"], within={"w": "r"}).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["p"]))
+    for q, x, y, w, _ in map(tuple, queries.collect()):
+        best = sorted(((x - a) ** 2 + (y - b) ** 2, p) for p, a, b, c in rows if abs(c - w) <= 1)[:2]
+        assert [p for _, p in sorted(got[q])] == [p for _, p in best]
+
+
+def test_groups_with_trees_of_their_own(spark):
+    """One group of most points, many of one point, and a query group without points."""
+    rows = [(i, "big", float(i * 37 % 501), float(i * 11 % 503)) for i in range(900)] + [(1000 + i, f"g{i}", 1.0, 2.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "p long, g string, x double, y double")
+    queries = df.where("p % 9 = 0").select(F.col("p").alias("q"), "g", "x", "y").unionByName(
+        spark.createDataFrame([(-1, "none", 0.0, 0.0), (-2, None, 0.0, 0.0)], "q long, g string, x double, y double")
+    )
+    got = {}
+    for r in K.knn_join(queries, df, "q", "p", 3, ["x", "y"], by=["g"], leaf=4, floor=10).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["p"]))
+    for q, g, x, y in map(tuple, queries.collect()):
+        best = sorted(((x - a) ** 2 + (y - b) ** 2, p) for p, h, a, b in rows if h == g)[:3]
+        assert [p for _, p in sorted(got.get(q, []))] == [p for _, p in best]
