@@ -1,21 +1,28 @@
 """Points in areas, points near points.
 
 Every join here turns its geometric condition into an equi-join on grid cells first, so no side is compared row by
-row with the whole of the other. Hot cells are salted on both sides.
+row with the whole of the other. Hot cells are salted on both sides. A polygon's cell holds only the sides that touch it
+and whether one spot in it lies inside, which decides for all its points; cells with many sides are cut in four until
+they hold few, so an outline of any length costs a few sides per point.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoscore.functions.geo import EARTH_RADIUS_KM, haversine_km, snap, unit_vector
+from geoscore.functions.geo import EARTH_RADIUS_KM, finite, haversine_km, snap, unit_vector
 from geoscore.operators.skew import HOT_FLOOR, attach, salted_join, with_scalars
 from geoscore.session import store_once
 
 _CELLS_ACROSS = 4  # a polygon's box spans at most this many cells (plus one) of its own grid level, each way
+_SIDES = 16  # a cell with more sides is cut in four
+_HALVINGS = 24  # how often at most: where very many sides meet in one spot, its cell keeps them all
+# The spot whose state a cell knows: odd fractions of its width and height, so that no real outline runs through it.
+_SPOT = (0.41421356237309503, 0.2360679774997897)
 
 
 def box_rings(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
@@ -54,12 +61,6 @@ def _crosses(e: Column, x: Column, y: Column) -> Column:
     return ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce(x < at, F.lit(False))
 
 
-def contains(edges: Column, x: Column, y: Column) -> Column:
-    """Inside by the even-odd rule (so rings within rings are holes) or on a side."""
-    crossings = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(_crosses(e, x, y), 1).otherwise(0))
-    return (crossings % 2 == 1) | F.exists(edges, lambda e: _on_edge(e, x, y))
-
-
 def _squared_distance(e: Column, x: Column, y: Column) -> Column:
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     along = F.coalesce(F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))
@@ -68,12 +69,6 @@ def _squared_distance(e: Column, x: Column, y: Column) -> Column:
     return px * px + py * py
 
 
-def within_distance(edges: Column, x: Column, y: Column, dist: float) -> Column:
-    """Inside, or no farther than ``dist`` (same unit as the coordinates) from a side."""
-    near = F.exists(edges, lambda e: _squared_distance(e, x, y) <= F.lit(float(dist) ** 2))
-    return contains(edges, x, y) | near
-
-
 def _with_box(polygons: DataFrame, rings: str, margin: float) -> DataFrame:
     edges = F.col("_edges")
     x1, y1 = F.transform(edges, lambda e: e["x1"]), F.transform(edges, lambda e: e["y1"])
@@ -92,32 +87,122 @@ def _cell(c: Column, level: Column) -> Column:
     return F.floor(c / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
-def polygon_point_pairs(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, lon: str = "lon",
-                        lat: str = "lat", rings: str = "rings", margin: float = 0.0,
-                        floor: int = HOT_FLOOR) -> DataFrame:
-    """(polygon id, point id) for every point inside a polygon, on its edge, or within ``margin`` of it.
+def _near_sides(edges: Column, margin: float) -> Column:
+    """The sides that come within ``margin`` of the row's cell, found by its grown square; a few too many at most."""
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    x0, y0 = F.col("_cx") * width, F.col("_cy") * width
+    # The square is a little larger than the cell, so that rounding loses no side that touches it.
+    grow = F.lit(float(margin)) * (1 + 1e-9) + width * 1e-9 + (F.abs(x0) + F.abs(y0)) * 1e-14
+    left, right, bottom, top = x0 - grow, x0 + width + grow, y0 - grow, y0 + width + grow
+
+    def touches(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        # Where the corners lie to one hand of the side's line, it passes by.
+        turns = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (left, right) for y in (bottom, top)]
+        return (
+            (F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["x1"], e["x2"]) <= right)
+            & (F.greatest(e["y1"], e["y2"]) >= bottom) & (F.least(e["y1"], e["y2"]) <= top)
+            & (F.greatest(*turns) >= 0) & (F.least(*turns) <= 0)
+        )
 
-    Each polygon uses the grid level at which its box is a few cells wide, whatever its size; a point is looked up
-    once per level in use (at most a few dozen).
+    return F.filter(edges, touches)
+
+
+def _spot() -> tuple[Column, Column]:
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    return (F.col("_cx") + _SPOT[0]) * width, (F.col("_cy") + _SPOT[1]) * width
+
+
+def _changes(edges: Column, from_x: Column, from_y: Column, x: Column, y: Column) -> Column:
+    """Whether going from one point up or down, then sideways to another, crosses the outline an odd number of times.
+
+    Heights are those just above y, as in :func:`_crosses`, and places those just right of x.
+    """
+    def upright(e: Column) -> Column:
+        at = e["y1"] + F.try_divide((from_x - e["x1"]) * (e["y2"] - e["y1"]), e["x2"] - e["x1"])
+        return ((e["x1"] > from_x) != (e["x2"] > from_x)) & F.coalesce((from_y < at) != (y < at), F.lit(False))
+
+    def level(e: Column) -> Column:
+        at = e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
+        return ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce((from_x < at) != (x < at), F.lit(False))
+
+    return F.aggregate(edges, F.lit(False), lambda odd, e: (odd != upright(e)) != level(e))
+
+
+def polygon_cells(polygons: DataFrame, polygon_id: str, rings: str = "rings", margin: float = 0.0, most: int = _SIDES,
+                  halvings: int = _HALVINGS) -> DataFrame:
+    """Cells that cover the polygons, grown by ``margin``: ``_level``, ``_cx``, ``_cy``, the sides ``_edges`` that come
+    within the margin of the cell, and whether its spot is ``_inside``. Cells far outside are left out; one far inside has
+    no sides and is taken whole. No cell overlaps another of its polygon.
     """
     boxed = _with_box(polygons.select(polygon_id, rings), rings, margin).drop(rings)
     level = F.col("_level")
-    covered = (
+    x, y = _spot()
+
+    def useful(cells: DataFrame) -> DataFrame:
+        return cells.where(F.col("_inside") | (F.size("_edges") > 0))
+
+    whole = F.col("_edges")
+    cells = useful(
         boxed
         .withColumn("_cx", F.explode(F.sequence(_cell(F.col("_xmin"), level), _cell(F.col("_xmax"), level))))
         .withColumn("_cy", F.explode(F.sequence(_cell(F.col("_ymin"), level), _cell(F.col("_ymax"), level))))
+        .select(
+            polygon_id, level, "_cx", "_cy", _near_sides(whole, margin).alias("_edges"),
+            (F.aggregate(whole, F.lit(0), lambda n, e: n + F.when(_crosses(e, x, y), 1).otherwise(0)) % 2 == 1).alias("_inside"),
+        )
     )
+    # One number says whether any outline is long; short ones stay one lazy step.
+    longest = boxed.agg(F.max(F.size("_edges"))).first()[0] or 0
+    if longest <= most:
+        return cells
+    done: list[DataFrame] = []
+    for _ in range(halvings):
+        cells = store_once(cells, "cells")
+        # Cells narrower than the margin would all keep the same sides.
+        crowded = (F.size("_edges") > most) & (F.pow(F.lit(2.0), level) > F.lit(float(margin)))
+        busy = cells.where(crowded)
+        if busy.isEmpty():
+            break
+        done.append(cells.where(~crowded))
+        parent_x, parent_y = _spot()
+        quarters = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+        split = busy.withColumns({"_sx": parent_x, "_sy": parent_y, "_q": quarters}).withColumn("_q", F.explode("_q")).select(
+            polygon_id, (level - 1).alias("_level"), (F.col("_cx") * 2 + F.col("_q.a")).alias("_cx"),
+            (F.col("_cy") * 2 + F.col("_q.b")).alias("_cy"), F.col("_edges").alias("_all"), "_inside", "_sx", "_sy",
+        )
+        x, y = _spot()
+        cells = useful(split.select(
+            polygon_id, "_level", "_cx", "_cy", _near_sides(F.col("_all"), margin).alias("_edges"),
+            # The way from the parent's spot to the child's stays in the parent, so only the parent's sides can cross it.
+            (F.col("_inside") != _changes(F.col("_all"), F.col("_sx"), F.col("_sy"), x, y)).alias("_inside"),
+        ))
+    done.append(cells)
+    return reduce(lambda a, b: a.unionByName(b), done)
+
+
+def polygon_point_pairs(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, lon: str = "lon",
+                        lat: str = "lat", rings: str = "rings", margin: float = 0.0,
+                        floor: int = HOT_FLOOR) -> DataFrame:
+    """(polygon id, point id) for every point inside a polygon, on its edge, or within ``margin`` of it.
+
+    Inside is by the even-odd rule, so rings within rings are holes. Each polygon starts from the grid level at which its box is a few cells wide, whatever its size; a point is looked up
+    once per level in use (at most a few dozen). A point's cell says in or out by the few sides in it.
+    """
+    covered = polygon_cells(polygons, polygon_id, rings, margin)
+    level = F.col("_level")
     located = points.select(point_id, F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py")) \
-        .where(F.col("_px").isNotNull() & F.col("_py").isNotNull())
-    per_level = with_scalars(located, F.collect_set("_level").alias("_levels"), source=boxed)
+        .where(finite(F.col("_px")).isNotNull() & finite(F.col("_py")).isNotNull())
+    per_level = with_scalars(located, F.collect_set("_level").alias("_levels"), source=covered)
     placed = per_level.withColumn("_level", F.explode("_levels")).drop("_levels") \
         .withColumn("_cx", _cell(F.col("_px"), level)).withColumn("_cy", _cell(F.col("_py"), level))
     candidates = salted_join(placed, covered, ["_level", "_cx", "_cy"], floor)
     x, y, edges = F.col("_px"), F.col("_py"), F.col("_edges")
-    hit = within_distance(edges, x, y, margin) if margin else contains(edges, x, y)
-    return candidates.where(
-        x.between(F.col("_xmin"), F.col("_xmax")) & y.between(F.col("_ymin"), F.col("_ymax"))
-    ).where(hit).select(polygon_id, point_id)
+    inside = F.col("_inside") != _changes(edges, *_spot(), x, y)
+    hit = inside | F.exists(edges, lambda e: _on_edge(e, x, y))
+    if margin:
+        hit = hit | F.exists(edges, lambda e: _squared_distance(e, x, y) <= F.lit(float(margin) ** 2))
+    return candidates.where(hit).select(polygon_id, point_id)
 
 
 def point_in_polygon_join(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, how: str = "left",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from geoscore.operators import neighbours as K, spatial as S
 from geoscore.plans.bindings import BOX_SQL, CUST_SQL, SUPP_SQL, customers, nation_boxes, suppliers
 from geoscore.plans.registry import query, r, table
+from geoscore.session import scratch_path
+from geoscore.sources.polygons import feature_json, read_polygons
 
 KM_SQL = """2*6378.137::DOUBLE*asin(least(1.0::DOUBLE, sqrt(sin(radians(s.lat - c.lat)/2)*sin(radians(s.lat - c.lat)/2)
 + cos(radians(c.lat))*cos(radians(s.lat))*sin(radians(s.lon - c.lon)/2)*sin(radians(s.lon - c.lon)/2))))"""
@@ -17,6 +19,37 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return S.point_in_polygon_join(customers(spark, sf), nation_boxes(spark, sf), "cid", "nation_id")
 
 
+# Per nation box: an outline of 963 sides whose top is a saw with a deep notch, and a hole.
+OUTLINE_SQL = f"""{BOX_SQL}, verts AS (SELECT nation_id, 0 AS ring, 0 AS i, x0 AS x, y0 AS y FROM box UNION ALL SELECT nation_id, 0, 1, x1, y0 FROM box
+UNION ALL SELECT nation_id, 0, 2 + k, x1 - k * 0.0625::DOUBLE, y0 + 30 - (k % 2) * 1.25::DOUBLE - CASE WHEN k BETWEEN 320 AND 640 THEN 12.5::DOUBLE ELSE 0 END
+FROM box, generate_series(0, 960) g(k)
+UNION ALL SELECT nation_id, 1, j, x0 + CASE WHEN j IN (0, 3) THEN 6 ELSE 15 END, y0 + CASE WHEN j < 2 THEN 3 ELSE 9 END FROM box, generate_series(0, 3) g(j)),
+sides AS (SELECT nation_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny
+FROM verts WINDOW w AS (PARTITION BY nation_id, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def nation_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as GeoJSON features and read back."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, x1, y0 = F.col("x0"), F.col("x1"), F.col("y0")
+    saw = F.transform(F.sequence(F.lit(0), F.lit(960)), lambda k: point(
+        x1 - k * 0.0625, y0 + 30 - (k % 2) * 1.25 - F.when(k.between(320, 640), 12.5).otherwise(0.0)
+    ))
+    outer = F.concat(F.array(point(x0, y0), point(x1, y0)), saw)
+    hole = F.array(*[point(x0 + dx, y0 + dy) for dx, dy in ((6, 3), (15, 3), (15, 9), (6, 9))])
+    path = scratch_path(spark, "outlines")
+    nation_boxes(spark, sf).withColumn("rings", F.array(outer, hole)).select(feature_json(["nation_id"]).alias("value")).write.text(path)
+    return read_polygons(spark, path, T.StructType([T.StructField("nation_id", T.IntegerType())]))
+
+
+@query("point_in_outline", f"""WITH {OUTLINE_SQL}, {CUST_SQL} SELECT nation_id, cid FROM cust JOIN box ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y0 + 30
+JOIN sides USING (nation_id) GROUP BY 1, 2
+HAVING count(*) FILTER (WHERE (y > lat) <> (ny > lat) AND lon < x + (lat - y) * (nx - x) / nullif(ny - y, 0)) % 2 = 1
+OR count(*) FILTER (WHERE (nx - x) * (lat - y) - (ny - y) * (lon - x) = 0 AND lon BETWEEN least(x, nx) AND greatest(x, nx) AND lat BETWEEN least(y, ny) AND greatest(y, ny)) > 0""")
+def point_in_outline(spark: SparkSession, sf: str) -> DataFrame:
+    return S.point_in_polygon_join(customers(spark, sf), nation_outlines(spark, sf), "cid", "nation_id", how="inner")
+
+
 @query("polygon_tag", f"""WITH {BOX_SQL}, {CUST_SQL} SELECT cid, nation_id, nation_name, r_name FROM cust JOIN box ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1
 JOIN region ON region_key = r_regionkey""")
 def polygon_tag(spark: SparkSession, sf: str) -> DataFrame:

@@ -231,3 +231,73 @@ def test_groups_with_trees_of_their_own(spark):
     for q, g, x, y in map(tuple, queries.collect()):
         best = sorted(((x - a) ** 2 + (y - b) ** 2, p) for p, h, a, b in rows if h == g)[:3]
         assert [p for _, p in sorted(got.get(q, []))] == [p for _, p in best]
+
+
+def shapes(rng):
+    """Stars of many sides with a star-shaped hole, a comb, a ring of one spot repeated, and a plain triangle."""
+    def star(cx, cy, size, n):
+        return [(cx + size * (0.5 + 0.5 * rng.random()) * math.cos(2 * math.pi * i / n), cy + size * (0.5 + 0.5 * rng.random()) * math.sin(2 * math.pi * i / n))
+                for i in range(n)]
+
+    comb = [(0.0, -9.0), (40.0, -9.0)] + [(40 - i * 0.5, -8.0 if i % 2 else 8.0) for i in range(81)]
+    return {1: [star(0, 0, 20, 700), star(0, 0, 5, 90)], 2: [star(30.3, 5.1, 3, 2000)], 3: [comb], 4: [[(7.0, 7.0)] * 5], 5: [[(-30, -30), (-10, -30), (-20, -12)]],
+            6: [star(-25, 20, 2, 40), star(-15, 20, 2, 40)], 7: []}
+
+
+def inside(rings, x, y):
+    odd = False
+    for ring in rings:
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+            if (c - a) * (y - b) - (d - b) * (x - a) == 0 and min(a, c) <= x <= max(a, c) and min(b, d) <= y <= max(b, d):
+                return True
+            if (b > y) != (d > y) and x < a + (y - b) * (c - a) / (d - b):
+                odd = not odd
+    return odd
+
+
+def gap(rings, x, y):
+    best = math.inf
+    for ring in rings:
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+            length = (c - a) ** 2 + (d - b) ** 2
+            t = max(0.0, min(1.0, ((x - a) * (c - a) + (y - b) * (d - b)) / length)) if length else 0.0
+            best = min(best, math.hypot(x - a - t * (c - a), y - b - t * (d - b)))
+    return best
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.75])
+def test_long_outlines(spark, margin):
+    """Outlines of up to 2,000 sides: right answers, and few sides in each cell."""
+    rng = random.Random(11)
+    outlines = shapes(rng)
+    areas = spark.createDataFrame(
+        [(i, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for i, rings in outlines.items()],
+        "area long, rings array<array<struct<x:double,y:double>>>",
+    )
+    spots = [(rng.uniform(-35, 45), rng.uniform(-35, 30)) for _ in range(1500)] + [(rng.uniform(26, 34), rng.uniform(1, 9)) for _ in range(300)]
+    spots += [p for rings in outlines.values() for ring in rings for p in ring[::17]] + [(x / 2, float(y)) for x in range(0, 80) for y in (-9, -8, 0, 8)]
+    spots += [(float("nan"), 0.0), (0.0, float("inf"))]
+    points = spark.createDataFrame([(i, float(y), float(x)) for i, (x, y) in enumerate(spots)], "p long, lat double, lon double")
+    got = {tuple(r) for r in S.polygon_point_pairs(points, areas, "p", "area", margin=margin).collect()}
+    sure, maybe = set(), set()
+    for a, rings in outlines.items():
+        for i, (x, y) in enumerate(spots):
+            if math.isfinite(x) and math.isfinite(y):
+                near = gap(rings, x, y) if margin else 1.0
+                (maybe if margin and abs(near - margin) < 1e-9 else sure).update({(a, i)} if inside(rings, x, y) or near <= (margin or -1) else ())
+    assert got - maybe == sure - maybe
+    cells = S.polygon_cells(areas, "area", margin=margin)
+    if not margin:
+        assert cells.agg(F.max(F.size("_edges"))).first()[0] <= 16
+    assert cells.groupBy("area", "_level", "_cx", "_cy").count().where("count > 1").isEmpty()
+
+
+def test_sides_that_meet_in_one_spot(spark):
+    """A fan of 200 sides through one spot cannot be cut apart; its cell keeps them."""
+    fan = [p for k in range(100) for p in ((0.1, 0.1), (10 * math.cos(k / 20), 10 * math.sin(k / 20)))]
+    areas = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in fan]])], "area long, rings array<array<struct<x:double,y:double>>>")
+    rng = random.Random(2)
+    spots = [(rng.uniform(-10, 10), rng.uniform(-10, 10)) for _ in range(400)] + [(0.1 + rng.uniform(-1e-6, 1e-6), 0.1 + rng.uniform(-1e-6, 1e-6)) for _ in range(50)]
+    points = spark.createDataFrame([(i, float(y), float(x)) for i, (x, y) in enumerate(spots)], "p long, lat double, lon double")
+    got = {r["p"] for r in S.polygon_point_pairs(points, areas, "p", "area").collect()}
+    assert got == {i for i, (x, y) in enumerate(spots) if inside([fan], x, y)}
