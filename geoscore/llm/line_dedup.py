@@ -16,7 +16,7 @@ from geoscore.llm.common import SPACES, fresh
 from geoscore.session import store_once
 
 MIN_SITES = 10
-MIN_WORDS = 3
+MIN_WORDS = 1
 SKETCH_BITS = 12
 
 
@@ -63,7 +63,7 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text"
                         min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
     """``docs`` with the lines removed from ``text``, and the name of a column that counts the lines removed.
 
-    Lines of fewer than ``min_words`` words never go (1: only lines without a word stay whatever they are). A null site is a site of its own. A text that loses nothing stays
+    Lines of fewer than ``min_words`` words never go (1, the default: only lines without a word stay whatever they are). A null site is a site of its own. A text that loses nothing stays
     as it is, a null text null; one that loses all its lines becomes empty. A null key is nobody's home, and a line that
     only documents with null keys hold stays. Rows repeated with one key lose the same lines.
     """
