@@ -9,7 +9,8 @@ not go on to twice that time.
 
 Equal word sequences are one class. Documents that agree in a band of components meet in a bucket. First every member
 is compared with the bucket's leader; then, only in buckets whose members are not yet one group, the members of
-different groups are compared with each other, block against block inside a task, so pairs are never rows. All links are
+different groups are compared with each other, block against block inside a task, so pairs are never rows. Blocks belong
+to the largest group that is met and not to a bucket, so two that meet in many bands are compared once. All links are
 exact overlaps of the multisets.
 """
 
@@ -26,7 +27,7 @@ from geoscore.llm.common import grouped_by_size, tables as scratch
 from geoscore.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 BLOCK = 128  # documents
 SEED = 7_919
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     ``least``; groups are what links connect. A text of one to four words is one shingle; a text without words (null,
     empty, white space) links with nothing. A null key links with nothing, has a null class and is kept. Rows repeated
     with one key are one document if their words are equal, else documents of one group. A pair at the very threshold is
-    missed with a chance of about three in a hundred thousand, closer pairs less often.
+    missed with a chance of about seven in a hundred thousand, closer pairs less often.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.encode(F.col(text), "UTF-8").alias("text"))
     with scratch(docs.sparkSession) as own:
@@ -347,30 +348,39 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
             crowd.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
             .select("band", "bucket", "cid", F.coalesce("component", "rep").alias("g")), "placed"
         )
-        # Buckets of several groups are cut into blocks: a large group has blocks of its own, small ones share some.
-        # Every two blocks of a bucket meet, but for two of one group.
+        # In buckets of several groups, the largest group (over all buckets) is the host. A host's guests and its own
+        # members are cut into blocks: large groups have blocks of their own, small ones share the host's others.
         place = ["band", "bucket"]
-        of_group = placed.groupBy(*place, "g").agg(F.count(F.lit(1)).alias("n"))
-        of_bucket = of_group.groupBy(*place).agg(
-            F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small")
-        ).where("groups > 1").select(*place, F.ceil(F.col("small") / BLOCK).alias("shared"))
+        of_group = placed.groupBy(*place, "g").agg(F.count(F.lit(1)).alias("here"))
+        total = placed.select("g", "cid").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        sized = own.store(of_group.join(total, "g"), "sized")
+        hosts = sized.groupBy(*place).agg(
+            F.max_by("g", F.struct("n", "g")).alias("host"), F.count(F.lit(1)).alias("groups")
+        ).where("groups > 1").drop("groups")
+        guests = own.store(sized.join(hosts, place).select(*place, "g", "n", "host"), "guests")
+        shared = guests.where(F.col("n") < BLOCK).select("host", "g", "n").distinct().groupBy("host").agg(
+            F.ceil(F.sum("n") / BLOCK).alias("shared")
+        )
+        kinds = guests.join(shared, "host", "left").select(*place, "g", "n", "host", F.coalesce("shared", F.lit(1)).alias("shared"))
         large = F.col("n") >= BLOCK
         blocked = own.store(
-            placed.join(of_group, [*place, "g"]).join(of_bucket, place).select(
-                *place, "cid", "g", F.when(large, F.xxhash64("g", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK))))
+            placed.join(kinds, [*place, "g"]).select(
+                *place, "cid", "g", "host", F.when(large, F.xxhash64("g", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK))))
                 .otherwise(F.pmod(F.xxhash64("g"), F.col("shared"))).alias("block"), F.when(large, F.col("g")).alias("owner"),
             ), "blocked",
         )
-        lists = blocked.select(*place, "block", "owner").distinct().groupBy(*place).agg(
-            F.collect_list(F.struct("block", "owner")).alias("blocks")
-        )
-        meeting = blocked.join(lists, place).withColumn("other", F.explode(
-            F.filter("blocks", lambda x: ~F.coalesce(x["owner"] == F.col("owner"), F.lit(False)))
-        )).select(
-            F.xxhash64(*place, F.least("block", "other.block"), F.greatest("block", "other.block")).alias("k"),
-            (F.col("block") == F.col("other.block")).alias("within"),
-            F.when(F.col("block") <= F.col("other.block"), 0).otherwise(1).alias("side"), "cid", "g",
+        # Which blocks meet in any bucket, but for two of one group; then each member goes once to each meeting of its block.
+        there = own.store(blocked.select(*place, "host", "block", "owner").distinct(), "blocks")
+        other = there.select(*place, F.col("block").alias("second"), F.col("owner").alias("of"))
+        met = there.withColumnRenamed("block", "first").join(other, place).where(
+            (F.col("first") <= F.col("second")) & ~F.coalesce(F.col("owner") == F.col("of"), F.lit(False))
+        ).select("host", "first", "second").distinct()
+        meetings = own.store(met.withColumn("k", F.xxhash64("host", "first", "second")), "meetings")
+        within = (F.col("first") == F.col("second")).alias("within")
+        sides = meetings.select("host", F.col("first").alias("block"), "k", within, F.lit(0).alias("side")).unionByName(
+            meetings.where("first <> second").select("host", F.col("second").alias("block"), "k", within, F.lit(1).alias("side"))
         )
+        meeting = blocked.select("host", "block", "cid", "g").distinct().join(sides, ["host", "block"]).select("k", "within", "side", "cid", "g")
         all_links = links.unionAll(compared(meeting, "more-links"))
         found = components(all_links, own)
         of_class = own.store(
