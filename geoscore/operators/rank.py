@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from geoscore.operators.skew import HOT_FLOOR, attach, global_index, with_scalars
+from geoscore.session import store_once
 
 
 def _ranked_first(df: DataFrame, where: Column | None) -> DataFrame:
@@ -73,19 +74,21 @@ def group_stats_attached(df: DataFrame, by: Sequence[str], aggregates: Mapping[s
 def rescale(df: DataFrame, columns: Mapping[str, tuple[str, tuple[float, float]]]) -> DataFrame:
     """Linear min-max rescale: ``{output: (input, (to_low, to_high))}``; a reversed range flips the scale.
 
-    A column with no spread maps to the middle of the range; NULL stays NULL. All bounds come from one pass.
+    A column with no spread maps to the middle of the range; NULL stays NULL. The bounds are gathered while ``df`` is
+    stored, so it is worked out once.
     """
     bounds = []
     for out, (col, _) in columns.items():
-        bounds += [F.min(col).alias(f"_lo_{out}"), F.max(col).alias(f"_hi_{out}")]
-    ranged = with_scalars(df, *bounds)
+        bounds += [F.min(col).alias(f"lo_{out}"), F.max(col).alias(f"hi_{out}")]
+    seen = Observation()
+    stored = store_once(df.observe(seen, *bounds), "rescaled")
     added = {}
     for out, (col, (low, high)) in columns.items():
-        lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
+        lo, hi = (F.lit(seen.get[f"{end}_{out}"]) for end in ("lo", "hi"))
         spread = F.try_divide(F.col(col) - lo, hi - lo) * F.lit(float(high - low)) + F.lit(float(low))
         added[out] = F.when(F.col(col).isNull(), F.lit(None).cast("double")) \
             .when(lo == hi, F.lit((low + high) / 2.0)).otherwise(spread)
-    return ranged.withColumns(added).drop(*[f"_{e}_{out}" for out in columns for e in ("lo", "hi")])
+    return stored.withColumns(added)
 
 
 def percent_of_max(df: DataFrame, col: str, name: str = "points", scale: float = 100.0) -> DataFrame:

@@ -54,12 +54,13 @@ def anti(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-@query("full_outer", """WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey <> 3 GROUP BY 1),
-b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey <> 7 GROUP BY 1)
-SELECT k, customers, suppliers FROM a FULL JOIN b USING (k)""")
+@query("full_outer", """WITH a AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1),
+b AS (SELECT l_suppkey AS k, count(*) AS lines FROM lineitem GROUP BY 1)
+SELECT k, orders, lines FROM a FULL JOIN b USING (k)""")
 def full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "customer").where("c_nationkey <> 3").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
-    b = table(spark, sf, "supplier").where("s_nationkey <> 7").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
+    """Two numbered parties, some numbers on one side only."""
+    a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"))
+    b = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("lines"))
     return a.join(b, "k", "full")
 
 

@@ -88,7 +88,7 @@ def fixed_width_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("station_years", """SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(c_nationkey AS VARCHAR) AS station, o_orderkey AS id, o_totalprice AS price
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND c_nationkey < 10""")
 def station_years(spark: SparkSession, sf: str) -> DataFrame:
-    """Files in folders by year and station; only the wanted years are listed and only the wanted stations kept."""
+    """Files in folders by year and station; only the wanted years are listed and only the wanted stations' files read."""
     path = scratch_path(spark, "stations")
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("station"))
     filed = table(spark, sf, "orders").join(people, "o_custkey").select(
@@ -130,8 +130,19 @@ def expand_archives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("json_records", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def json_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays of up to 1,000 objects each, written by key range and read back."""
     path = scratch_path(spark, "json")
     wanted = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    wanted.groupBy((F.col("c_custkey") / 1000).cast("bigint").alias("range")).agg(
+        F.to_json(F.collect_list(F.struct(*wanted.columns))).alias("value")
+    ).select("value").write.text(path)
+    return delimited.read_json_array(spark, path, wanted.schema)
+
+
+@query("json_lines", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "json")
+    wanted = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     wanted.write.json(path)
     return delimited.read_json_records(spark, path, wanted.schema, one_per_line=True)
 

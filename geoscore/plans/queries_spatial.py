@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from geoscore.operators import neighbours as K, spatial as S
+from geoscore.operators import neighbours as K, outlines as O, spatial as S
+from geoscore.operators.spatial import box_rings
 from geoscore.plans.bindings import BOX_SQL, CUST_SQL, SUPP_SQL, customers, nation_boxes, suppliers
 from geoscore.plans.registry import query, r, table
 from geoscore.session import scratch_path
@@ -104,3 +105,24 @@ p AS (SELECT cid, sid, radius, {KM_SQL} AS km FROM f JOIN cust c USING (cid), su
 SELECT cid, sid, round(km, 6) AS distance, radius FROM p QUALIFY row_number() OVER (PARTITION BY cid ORDER BY km, sid) = 1""")
 def expanding_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return K.expanding_nearest_join(customers(spark, sf), suppliers(spark, sf), "cid", "sid", RADII).withColumn("distance", r("distance"))
+
+
+# The nations as adjoining boxes on a 5 by 5 grid, in three regions around each other: two of them have a hole.
+TILE_SQL = """tile AS (SELECT n_nationkey AS nation_id, greatest(abs(n_nationkey % 5 - 2), abs(n_nationkey // 5 - 2)) AS belt,
+CAST(-180 + (n_nationkey % 5) * 72 AS DOUBLE) AS x0, CAST(-90 + (n_nationkey // 5) * 36 AS DOUBLE) AS y0 FROM nation)"""
+
+
+@query("region_outline", f"""WITH RECURSIVE {TILE_SQL}, s AS (SELECT belt, x0 AS x1, y0 AS y1, x0 + 72 AS x2, y0 AS y2 FROM tile
+UNION ALL SELECT belt, x0 + 72, y0, x0 + 72, y0 + 36 FROM tile UNION ALL SELECT belt, x0 + 72, y0 + 36, x0, y0 + 36 FROM tile UNION ALL SELECT belt, x0, y0 + 36, x0, y0 FROM tile),
+e AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.belt = s.belt AND t.x1 = s.x2 AND t.y1 = s.y2 AND t.x2 = s.x1 AND t.y2 = s.y1)),
+walk AS (SELECT belt, x1 AS sx, y1 AS sy, x1 AS x, y1 AS y, x2 AS nx, y2 AS ny, 0 AS seq FROM e
+UNION ALL SELECT w.belt, sx, sy, e.x1, e.y1, e.x2, e.y2, seq + 1 FROM walk w JOIN e ON e.belt = w.belt AND e.x1 = w.nx AND e.y1 = w.ny WHERE (w.nx, w.ny) > (sx, sy)),
+r AS (SELECT belt, sx, sy, row_number() OVER (ORDER BY belt, sx, sy) - 1 AS ring FROM walk WHERE nx = sx AND ny = sy)
+SELECT CAST(belt AS INT) AS belt, ring, CAST(seq AS BIGINT) AS seq, x, y FROM walk JOIN r USING (belt, sx, sy)""")
+def region_outline(spark: SparkSession, sf: str) -> DataFrame:
+    column, row = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5)
+    x0, y0 = (column * 72 - 180).cast("double"), (row * 36 - 90).cast("double")
+    tiles = table(spark, sf, "nation").select(
+        F.greatest(F.abs(column - 2), F.abs(row - 2)).cast("int").alias("belt"), box_rings(x0, y0, x0 + 72, y0 + 36).alias("rings")
+    )
+    return O.region_outline(tiles, "belt")

@@ -13,16 +13,18 @@ from geoscore.sources.delimited import typed
 
 YEAR_FOLDER = r"/(\d{4})/([^/]+)\.csv(?:\.gz)?$"  # {root}/{year}/{station}.csv
 _LINES_PER_BATCH = 50_000
+MOST_IDS = 100_000  # wanted stations whose files are named one by one
 
 
 def read_station_years(spark: SparkSession, root: str, years: Sequence[int], schema: T.StructType,
                        stations: DataFrame | Sequence[str], layout: str = YEAR_FOLDER,
                        folder: str = "{root}/{year}/*.csv", header: bool = True,
-                       null_tokens: Sequence[str] = ("", "NA")) -> DataFrame:
+                       null_tokens: Sequence[str] = ("", "NA"), most: int = MOST_IDS) -> DataFrame:
     """Rows of the wanted years and stations, with ``year`` and ``station`` from the file's path.
 
-    Only the wanted years' folders are listed. ``layout`` finds year and station in a path; ``stations`` is a short
-    list or a one-column table of ids.
+    Only the wanted years' folders are listed, and only the files of wanted stations are read: Spark leaves the others out
+    by their paths while it plans. ``layout`` finds year and station in a path; ``stations`` is a list or a one-column table
+    of ids. A table of up to ``most`` ids is looked up first; of a longer one, rows are kept by a semi-join instead.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = (
@@ -35,7 +37,10 @@ def read_station_years(spark: SparkSession, root: str, years: Sequence[int], sch
     })
     if isinstance(stations, DataFrame):
         wanted = stations.toDF("station").distinct()
-        kept = keyed.join(wanted, "station", "left_semi")
+        # The driver holds the list of all files anyway; the ids of a station catalogue are fewer.
+        found = wanted.where("station IS NOT NULL").limit(most + 1).collect()
+        names = [str(r["station"]) for r in found] if len(found) <= most else None
+        kept = keyed.join(wanted, "station", "left_semi") if names is None else keyed.where(F.col("station").isin(names))
     else:
         kept = keyed.where(F.col("station").isin(list(stations)))
     full = T.StructType([T.StructField("year", T.IntegerType()), T.StructField("station", T.StringType()), *schema.fields])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from geoscore.operators.reshape import stack
+from geoscore.session import store_once
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -61,9 +62,69 @@ def read_tsv_latin1(spark: SparkSession, paths: str | Sequence[str], schema: T.S
     return table.select(*columns) if columns else table
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark)))
+
+
+def _nesting(text: Column) -> Column:
+    """How many more brackets a text opens than it closes, strings left out; it begins outside a string."""
+    bare = F.regexp_replace(text, r'"[^"]*(?:"|\z)', "")
+    return _count(bare, "{") + _count(bare, "[") - _count(bare, "]")
+
+
+def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    """Objects of JSON arrays, however large one array is: files are split, and records cut where a top-level object ends.
+
+    Files are read as pieces that end in ``}``. Whether a piece begins inside a string, and how deep it is nested, follows
+    from sums over the pieces before it: inside each split of a file, and over the splits (one row each). Pieces up to the
+    closing of a top-level object are one record; a record may cross from one split into the next. A file may hold several
+    arrays one after another. Text is UTF-8. A record that does not fit the schema becomes NULLs, as Spark's reader has it.
+    Rows come in no order.
+    """
+    raw = spark.read.option("lineSep", "}").text([paths] if isinstance(paths, str) else list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    # Past the first quote of a piece that begins inside a string.
+    after = F.regexp_replace("plain", r'\A[^"]*(?:"|\z)', "")
+    pieces = store_once(raw.withColumn("plain", plain).select(
+        "file", "split", "row", "value", (_count(F.col("plain"), '"') % 2).cast("int").alias("odd"),
+        _nesting(F.col("plain")).alias("deeper"), _nesting(after).alias("deeper_inside"),
+    ), "pieces")
+    here = Window.partitionBy("file", "split").orderBy("row")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+    def ahead(rows: DataFrame, column: str) -> DataFrame:
+        """``column`` summed over all pieces before each one, in all splits of its file."""
+        sums = rows.groupBy("file", "split").agg(F.sum(column).alias("_all")).select(
+            "file", "split", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_ahead")
+        )
+        return rows.join(sums, ["file", "split"]).withColumn("_ahead", F.col("_ahead") + F.coalesce(F.sum(column).over(before), F.lit(0)))
+
+    inside = F.col("_ahead") % 2 == 1
+    quoted = ahead(pieces, "odd").withColumn("closes", (F.col("_ahead") + F.col("odd")) % 2 == 0).withColumn(
+        # A piece ends in a bracket that closes, unless it ends inside a string.
+        "net", F.when(inside, F.col("deeper_inside")).otherwise(F.col("deeper")) - F.col("closes").cast("int")
+    ).drop("_ahead", "odd", "deeper", "deeper_inside")
+    nested = ahead(store_once(quoted, "quoted"), "net")
+    ended = nested.withColumn("ends", (F.col("closes") & (F.col("_ahead") + F.col("net") == 1)).cast("int")).drop("_ahead", "net", "closes")
+    numbered = ahead(store_once(ended, "ended"), "ends").withColumnRenamed("_ahead", "record")
+    records = numbered.groupBy("file", "record").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "row", "value"))), lambda p: p["value"]), "}").alias("text"),
+        F.max("ends").alias("whole"),
+    ).where("whole = 1")
+    body = F.concat(F.regexp_replace("text", r"\A[\s\[\],]*", ""), F.lit("}"))
+    return records.select(F.from_json(body, schema).alias("record")).select("record.*")
+
+
 def read_json_records(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType,
                       one_per_line: bool = False) -> DataFrame:
-    """JSON objects: an array per file, or one object per line (which lets Spark split large files)."""
+    """JSON objects: an array per file, or one object per line (which lets Spark split large files).
+
+    An array is read by one task per file, in order; :func:`read_json_array` splits large ones.
+    """
     return spark.read.schema(schema).option("multiLine", not one_per_line).json(
         [paths] if isinstance(paths, str) else list(paths)
     )

@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from geoscore.sources import archives, delimited, fixed_width, polygons, sinks
@@ -108,3 +109,48 @@ def test_snapshot_ends_lineage(spark, tmp_path):
     saved = sinks.snapshot(spark.range(10).withColumn("x", F.col("id") * 2), str(tmp_path / "s"))
     assert saved.agg(F.sum("x")).first()[0] == 90
     assert "Range" not in saved._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_wanted_station_files_are_read(spark, tmp_path):
+    """The scan counts the files it reads; a long list falls back to a semi-join with the same rows."""
+    from geoscore.sources.archives import read_station_years
+
+    root = str(tmp_path / "years")
+    spark.range(90).select((F.col("id") % 3 + 1996).alias("year"), (F.col("id") % 30).alias("station"), "id").repartition("year", "station") \
+        .write.partitionBy("year", "station").option("header", True).csv(root)
+
+    def files(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        while not plan.metrics().contains("numFiles"):
+            plan = plan.children().apply(0) if plan.children().size() else plan.executedPlan()
+        return plan.metrics().apply("numFiles").value()
+
+    how = {"schema": T.StructType.fromDDL("id BIGINT"), "layout": r"/year=(\d+)/station=([^/]+)/", "folder": "{root}/year={year}/*"}
+    wanted = spark.createDataFrame([("1",), ("2",), (None,), ("2",), ("missing",)], "id string")
+    named = read_station_years(spark, root, [1996, 1997], stations=wanted, **how)
+    rows = sorted((r["year"], r["station"], r["id"]) for r in named.collect())
+    assert rows == sorted((1996 + i % 3, str(i % 30), i) for i in range(90) if i % 30 in (1, 2) and i % 3 < 2)
+    assert files(named) == len({r[:2] for r in rows}) == files(read_station_years(spark, root, [1996, 1997], stations=["1", "2"], **how))
+    joined = read_station_years(spark, root, [1996, 1997], stations=wanted, most=1, **how)
+    assert sorted((r["year"], r["station"], r["id"]) for r in joined.collect()) == rows
+
+
+@pytest.mark.parametrize("size", [700, 1 << 20])
+def test_json_arrays_are_split(spark, tmp_path, size):
+    """One large array in small splits: nested objects, brackets and quotes in strings, several arrays a file."""
+    words = ["plain", "}", "{", "]}", '"', '\\', '\\"', '"}', "[{", "a}b{c", "é}ü", "\n}", ""]
+    rows = [{"id": i, "s": words[i % len(words)] * (i % 4), "in": {"a": words[(i * 7) % len(words)], "l": [{"k": "}"}] * (i % 3)}} for i in range(150)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text(json.dumps(rows[:80], ensure_ascii=False))
+    (tmp_path / "in" / "two.json").write_text(json.dumps(rows[80:100], indent=2) + "\n[]\n" + json.dumps(rows[100:]) + "\n")
+    (tmp_path / "in" / "none.json").write_text(" [ ] ")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        schema = T.StructType.fromDDL("id BIGINT, s STRING, `in` STRUCT<a: STRING, l: ARRAY<STRUCT<k: STRING>>>")
+        got = delimited.read_json_array(spark, str(tmp_path / "in"), schema).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.asDict(True) for r in got), key=lambda r: r["id"]) == rows
