@@ -1,8 +1,9 @@
-"""Token counts: words by a compiled transducer, counts by memoised merges.
+"""Token counts by compiled transducers.
 
-The transducer (:mod:`pretokens`) finds where words start; its chunks' state maps compose by a prefix scan. The count of a
-word is the length of its exact BPE merge, worked out with its ids when the word is first met and remembered. The counts
-of all words are summed by one more prefix scan, whose differences at the text ends are the counts of the texts.
+One machine (:mod:`pretokens`) finds where words start; its chunks' state maps compose by a prefix scan. A second one
+(:mod:`token_machine`) reads the bytes of a word, and each of its transitions carries how many tokens it adds. Sums of
+words met before are remembered. The sums of all words go through one more prefix scan, whose differences at the text ends
+are the counts of the texts. No ids are made.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from geoscore.llm.bpe import Words, split_all, vocabulary
 from geoscore.llm.common import by_batch, grouped_by_size
 from geoscore.llm.pretokens import pretokens
+from geoscore.llm.token_machine import machine
 
 
 @lru_cache(4)
 def _emitted(path: str) -> Words:
-    book = vocabulary(path)
-    return Words(lambda word: len(book.encode_word(word)))
+    return Words(machine(path).tokens)
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:
@@ -37,6 +38,7 @@ def count_texts(texts: list[str], path: str) -> np.ndarray:
         of_piece += np.fromiter((s is not None for _, s in owners), np.int64, len(owners))
         np.add.at(out, np.fromiter((n for n, _ in owners), np.int64, len(owners)), of_piece)
         emitted.trim()
+        machine(path).trim()
     return out
 
 
