@@ -2,9 +2,10 @@
 
 Rules and candidate cutoffs are fixed beforehand. For every stratum, rule and cutoff, the good documents of a labelled
 holdout that the cutoff would reject are counted; the exact binomial test says whether the true share of good documents
-rejected is below ``limit``. All these tests share ``error`` evenly (Bonferroni), so with probability 1 - ``error`` no
-chosen cutoff in any stratum rejects more than ``limit`` of that stratum's good documents. Of the cutoffs that pass, the
-strictest is used; a rule without one is off in that stratum. Everything is a DataFrame expression.
+rejected is below ``limit``. The cutoffs of a rule are nested, so they are tested in a fixed order, from the most lenient
+on, and the first that fails ends the rule; only rules and strata share ``error`` evenly (Bonferroni). So with probability
+1 - ``error`` no chosen cutoff in any stratum rejects more than ``limit`` of that stratum's good documents. Of the cutoffs
+that pass, the strictest is used; a rule without one is off in that stratum. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -139,8 +140,8 @@ def cutoffs(holdout: DataFrame, stratum: str, measures: str = "measures", rules:
     counted = holdout.where(~base_failed(m)).groupBy(F.col(stratum).alias("stratum")).agg(
         F.count(F.lit(1)).alias("n"), *fired
     )
-    # One row holds the number of strata; each of their tests gets an even share of the error.
-    tests = counted.agg((F.count(F.lit(1)) * len(candidates)).alias("tests"))
+    # One row holds the number of strata; each rule in each of them gets an even share of the error.
+    tests = counted.agg((F.count(F.lit(1)) * len(rules)).alias("tests"))
     rows = F.explode(F.array(*[
         F.struct(F.lit(rule.name).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k"))
         for i, (rule, c) in enumerate(candidates)
@@ -149,6 +150,7 @@ def cutoffs(holdout: DataFrame, stratum: str, measures: str = "measures", rules:
         "stratum", F.col("r.rule").alias("rule"), F.col("r.cutoff").alias("cutoff"),
         (log_binomial_tail(F.col("n"), F.col("r.k"), limit) <= math.log(error) - F.log("tests")).alias("passes"),
     )
+    # A more lenient cutoff rejects no more, so it passes wherever a stricter one does: the order never stops before it.
     chosen = [F.min(F.when((F.col("rule") == x.name) & F.col("passes"), F.col("cutoff"))).alias(x.name) for x in rules]
     return tested.groupBy("stratum").agg(*chosen)
 
@@ -220,7 +222,7 @@ WITH w AS (
   SELECT lang, count(*) AS n, [{rows}] AS r FROM f
   WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang
 ), flat AS (
-  SELECT lang, n, (SELECT count(*) * {len(candidates)} FROM counted) AS tests, unnest(r, recursive := true) FROM counted
+  SELECT lang, n, (SELECT count(*) * {len(RULES)} FROM counted) AS tests, unnest(r, recursive := true) FROM counted
 ), tested AS (
   SELECT lang, rule, cutoff, CASE WHEN k >= n * {limit} THEN false ELSE {tail} <= {error} / tests END AS passes FROM flat
 ), chosen AS (SELECT lang, {chosen} FROM tested GROUP BY lang)

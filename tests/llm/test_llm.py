@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from conftest import SMALL
 from geoscore.llm import (
     bag_minhash, bpe, cotraining, embedding_dedup, id_coder, id_files, line_dedup, main_text, mixing, quality_rules,
-    token_counts,
+    token_counts, token_machine,
 )
 from geoscore.llm.common import tables
 from geoscore.llm.queries import ORACLES, QUERIES
@@ -99,6 +99,19 @@ def test_random_texts_split_like_the_library():
     assert [x.tolist() for x in id_files.encode_words(texts, WORD_BPE)] == [e.ids for e in word.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_machine_counts_what_merges_give():
+    """Sums along transitions against the merges, over random words of many kinds, long ones, and prefixes in any order."""
+    book, machine = bpe.vocabulary(BYTE_BPE), token_machine.Machine(bpe.vocabulary(BYTE_BPE))
+    random = np.random.default_rng(9)
+    kinds = [list("thanredingo'"), list("aab "), list("  \n\t"), list("éü漢字🙂a"), list("0123456789-=_")]
+    words = ["".join(random.choice(kinds[k % 5], random.integers(1, 70))) for k in range(4000)] + ["x" * 3000, "ab" * 2000, " " * 999, "", "\x00\x7f"]
+    for word in words:
+        assert machine.tokens(word) == len(book.encode_word(word)), word
+    machine.clear()
+    assert [machine.tokens(w) for w in reversed(words)] == [len(book.encode_word(w)) for w in reversed(words)]
+    assert min(machine.added) < 0  # a longer prefix may have fewer tokens
+
+
 def test_scan_and_heap_merge_alike():
     book = bpe.vocabulary(BYTE_BPE)
     random = np.random.default_rng(4)
@@ -268,6 +281,35 @@ def test_cutoffs_reject_few_good_documents(spark):
     assert none.where(F.col(kept)).count() == 3041
 
 
+def test_rules_fire_in_the_sql_too(spark):
+    """Enough labels in two of three languages: rules reject beyond the base, and the SQL says the same row by row."""
+    random = np.random.default_rng(12)
+    rows = []
+    for i in range(1700):
+        junk = i % 10 == 3
+        words = [f"w{x}" + ("#*" if junk and k % 2 else "") + "longer" * (i % 17 == 5) for k, x in enumerate(random.integers(0, 9999, 60))]
+        lines = [" ".join(words[k : k + 6]) for k in range(0, 60, 6)] + ["again and again"] * (5 if i % 13 == 2 else 0)
+        rows.append((i, "\n".join(lines), "en" if i < 800 else "de" if i < 1600 else None, "s", 1))
+    labels = [(i, int(i % 10 != 3 and i % 13 != 2 and i % 17 != 5)) for i in range(1650)]
+    docs, known = spark.createDataFrame(rows, DOCUMENTS).repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")
+    out, m, kept = quality_rules.judged(docs, known)
+    ours = {r["doc_id"]: (r[kept], r["base"]) for r in out.withColumn("base", quality_rules.base_failed(F.col(m))).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", known.toPandas())
+    theirs = con.sql(quality_rules.ORACLE_SQL)
+    at = {c: k for k, c in enumerate(theirs.columns)}
+    assert ours == {r[at["doc_id"]]: (r[at["kept"]], r[at["base_failed"]]) for r in theirs.fetchall()}
+    rejected = [i for i, (k, base) in ours.items() if not k and not base]
+    assert len(rejected) > 100 and not any(known for i, known in labels if known and i in set(rejected))
+    # 459 good labels are enough for one stratum, 458 are not.
+    for n, fires in ((458, False), (459, True)):
+        clean = [r for r in rows if r[0] % 10 != 3 and r[0] % 13 != 2 and r[0] % 17 != 5][:n]
+        few = spark.createDataFrame([(r[0], r[1], "en", r[3], r[4]) for r in clean] + [(9000, " ".join(f"#*#*{k}" for k in range(60)), "en", "s", 1)], DOCUMENTS)
+        out, _, kept = quality_rules.judged(few, spark.createDataFrame([(r[0], 1) for r in clean], "doc_id long, quality int"))
+        assert {r["doc_id"]: r[kept] for r in out.collect()}[9000] != fires
+
+
 def test_quality_edge_rows(odd, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out, m, kept = quality_rules.judged(odd, labels)
