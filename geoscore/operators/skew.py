@@ -13,6 +13,7 @@ from geoscore.session import store_once
 HOT_FLOOR = 1_000_000
 MAX_HOT = 1024
 MAX_PIECES = 4096
+SPREAD = 32  # pieces of every key in a join that does not count keys
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
@@ -111,6 +112,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], floor: i
     return a.join(b, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str], pieces: int = SPREAD) -> DataFrame:
+    """Inner equi-join of a large table with one that has few rows per key and little of the left's size in all.
+
+    Every key, however many there are, is cut into ``pieces`` by a hash of the left's columns ``by``, which should tell
+    its rows apart, and the right side is copied to each piece. So the left is read once and no keys are counted. What is
+    still uneven after that is left to the adaptive skew join.
+    """
+    at = F.pmod(F.xxhash64(*by), F.lit(pieces)).cast("int")
+    copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return left.withColumn("_piece", at).join(copies, [*keys, "_piece"]).drop("_piece")
+
+
 def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows in one total order, cut into sorted ranges; adds ``_part`` (range number) and ``_pos`` (row in range).
 

@@ -59,7 +59,9 @@ def station_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def station_places(spark: SparkSession, sf: str, place: str = "s_nationkey") -> DataFrame:
-    """Station to location; by nation or (through the nation table) by region."""
+    """Station to location; by nation, (through the nation table) by region, or each station by itself."""
+    if place == "stnid":
+        return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("stnid"), F.col("s_suppkey").alias("place"))
     stations = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("stnid"), "s_nationkey")
     if place == "s_nationkey":
         return stations.withColumnRenamed("s_nationkey", "place")
@@ -110,7 +112,9 @@ def daily_sql(place: str = "s_nationkey") -> str:
     """Common tables ``wx``, ``raw_daily`` and ``daily``."""
     source = "wx JOIN supplier ON stnid = s_suppkey"
     key = "s_nationkey"
-    if place != "s_nationkey":
+    if place == "stnid":
+        source, key = "wx", "stnid"
+    elif place != "s_nationkey":
         source, key = source + " JOIN nation ON s_nationkey = n_nationkey", "n_regionkey"
     means = ", ".join(f"avg({'temp' if m == 'temp_mean' else m}) AS {m}" for m in METRICS)
     return (
@@ -156,16 +160,16 @@ def feels_like_sql(t: str, rh: str = "rh", w: str = "wdsp") -> str:
     )
 
 
-def classed_sql(place: str = "s_nationkey") -> str:
+def classed_sql(place: str = "s_nationkey", hot_day: int = 28, prcp: int = 5, sndp: int = 50) -> str:
     """Adds ``felt``, ``classed`` (flags, class, degree days) to :func:`daily_sql`."""
     feel = ", ".join(f"{feels_like_sql(t)} AS {t}_feel" for t in ("temp_max", "temp_min", "temp_mean"))
     return daily_sql(place) + f""",
 felt AS (SELECT *, {feel} FROM daily),
-f1 AS (SELECT *, CASE WHEN temp_min_feel > 18 OR temp_max_feel > 28 THEN 1
-                      WHEN NOT (temp_min_feel > 18 OR temp_max_feel > 28) THEN 0 END AS h0 FROM felt),
+f1 AS (SELECT *, CASE WHEN temp_min_feel > 18 OR temp_max_feel > {hot_day} THEN 1
+                      WHEN NOT (temp_min_feel > 18 OR temp_max_feel > {hot_day}) THEN 0 END AS h0 FROM felt),
 f2 AS (SELECT *, CASE WHEN h0 = 0 AND (temp_min_feel < 0 OR temp_max_feel < 12) THEN 1
                       WHEN NOT (h0 = 0 AND (temp_min_feel < 0 OR temp_max_feel < 12)) THEN 0 END AS c0 FROM f1),
-f3 AS (SELECT *, CASE WHEN h0 = 0 AND c0 = 0 AND (prcp > 5 OR sndp > 50 OR i_rain_drizzle >= 0.5 OR i_snow_ice >= 0.5)
+f3 AS (SELECT *, CASE WHEN h0 = 0 AND c0 = 0 AND (prcp > {prcp} OR sndp > {sndp} OR i_rain_drizzle >= 0.5 OR i_snow_ice >= 0.5)
                  THEN 1 ELSE 0 END AS elements, coalesce(h0, 0) AS hot, coalesce(c0, 0) AS cold FROM f2),
 classed AS (SELECT *, CASE WHEN hot + cold + elements > 0 THEN 0 ELSE 1 END AS pleasant,
   CASE WHEN hot + cold + elements = 0 THEN 'pleasant' WHEN hot = 1 THEN 'hot' WHEN cold = 1 THEN 'cold'

@@ -16,7 +16,7 @@ from geoscore.operators.neighbours import nearest_feature
 from geoscore.operators.rank import global_rank, group_rank, percent_of_max, rescale
 from geoscore.operators.reshape import crosswalk, stack, unpivot
 from geoscore.operators.series import fill_down
-from geoscore.operators.skew import attach, salted_join
+from geoscore.operators.skew import attach, salted_join, spread_join
 from geoscore.session import store_once
 
 TEMPERATURES = ("temp_max", "temp_min", "temp_mean")
@@ -24,8 +24,11 @@ TEMPERATURES = ("temp_max", "temp_min", "temp_mean")
 
 def daily_by_location(weather: DataFrame, mapping: DataFrame, entity: str, station: str, date: str,
                       metrics: Sequence[str], distance: str | None = None) -> DataFrame:
-    """Station days to location days by mean (inverse-distance weighted with ``distance``), then low/high filled."""
-    joined = salted_join(weather, mapping, [station])
+    """Station days to location days by mean (inverse-distance weighted with ``distance``), then low/high filled.
+
+    The weather is read once: a station's days are spread by date, and ``mapping``, a row per station and location, is copied.
+    """
+    joined = spread_join(weather, mapping, [station], [date])
     if distance is None:
         means = [F.avg(finite(F.col(m))).alias(m) for m in metrics]
     else:
@@ -53,7 +56,7 @@ def exact_or_approx(weather: DataFrame, exact: DataFrame, approximate: DataFrame
     flagged = approximate.select(entity, *station).unionByName(exact.select(entity, *station)).distinct().join(
         exact.select(entity, *station).distinct().withColumn("_own", F.lit(True)), [entity, *station], "left"
     )
-    joined = salted_join(weather, flagged, list(station))
+    joined = spread_join(weather, flagged, list(station), [date])
     own = F.coalesce(F.col("_own"), F.lit(False))
     return joined.groupBy(entity, date).agg(*[
         F.coalesce(F.avg(F.when(own, finite(F.col(m)))), F.avg(finite(F.col(m)))).alias(m) for m in metrics

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoscore.functions import binning as B, dates as D, geo as G, gsod as N, text as H
-from geoscore.functions.weather import day_curve, excess_degree_days, heat_index
+from geoscore.functions.weather import day_curve, excess_degree_days, excess_degree_hours, heat_index
 from geoscore.operators import classify as C, columns as P, rank as R
+from geoscore.operators.classify import WORLD_LIMITS
 from geoscore.operators.impute import missing_flag
 from geoscore.operators.series import hourly_expand
 from geoscore.plans.bindings import (
     CUST_SQL, WX_SQL, class_days, classed_sql, customers, daily, daily_sql, degree_days_sql, feels_like_sql,
     heat_index_sql, station_days,
 )
-from geoscore.plans.composites import felt
+from geoscore.plans.composites import classified_days, felt
 from geoscore.plans.registry import query, r, rounded, table
 
 
@@ -347,6 +348,21 @@ def excess_degree_days_query(spark: SparkSession, sf: str) -> DataFrame:
     return P.expand_struct(days, excess_degree_days(F.col("temp_min"), F.col("temp_max"))).drop("temp_min", "temp_max")
 
 
+@query("excess_degree_hours", f"""WITH {daily_sql()}, e AS (SELECT place, date, (temp_max - temp_min) / 2 AS a, temp_min AS lo, temp_max AS hi,
+temp_min + (temp_max - temp_min) / 2 - 18 AS mid FROM daily), t AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, mid / nullif(a, 0)))) AS theta FROM e),
+h AS (SELECT *, CASE WHEN lo >= 18 THEN mid WHEN hi <= 18 THEN 0 ELSE (mid * (pi() - theta) + a * sin(theta)) / pi() END AS hot FROM t WHERE lo IS NOT NULL AND hi IS NOT NULL)
+SELECT place, date, round_even((hot + CASE WHEN lo >= 18 THEN 0 WHEN hi <= 18 THEN -mid ELSE hot - mid END) * 24, 2) AS edh FROM daily LEFT JOIN h USING (place, date)""")
+def excess_degree_hours_query(spark: SparkSession, sf: str) -> DataFrame:
+    return daily(spark, sf).select("place", "date", excess_degree_hours(F.col("temp_min"), F.col("temp_max")).alias("edh"))
+
+
+@query("classify_world", f"WITH {classed_sql('stnid', 30, 3, 30)} SELECT place, date, hot, cold, elements, pleasant, class FROM classed")
+def classify_world(spark: SparkSession, sf: str) -> DataFrame:
+    """Every station by itself, by the limits for the whole world."""
+    days = classified_days(daily(spark, sf, "stnid"), WORLD_LIMITS)
+    return days.select("place", "date", "hot", "cold", "elements", "pleasant", "class")
+
+
 @query("feels_like", f"WITH {daily_sql()} SELECT place, date, " + ", ".join(
     f"{feels_like_sql(t)} AS {t}_feel" for t in ("temp_max", "temp_min", "temp_mean")) + " FROM daily")
 def feels_like_query(spark: SparkSession, sf: str) -> DataFrame:

@@ -226,34 +226,34 @@ def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(I.impute_knn(store_once(supplier_days(spark, sf)), ["entity"], "value").select("entity", "date", "predicted"), "predicted")
 
 
-MONTHLY_SQL = """SELECT c_nationkey AS nation, CAST(month(o_orderdate) AS DOUBLE) * 30 AS yday, CAST(year(o_orderdate) AS DOUBLE) AS year,
-CAST(count(*) AS DOUBLE) AS n, CAST(sum(round(o_totalprice)) AS DOUBLE) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3"""
-POOLED_SQL = f"""mon AS (SELECT *, CAST(nation * 3 AS DOUBLE) AS lat, CAST((nation * 7) % 25 AS DOUBLE) AS lon,
-CASE WHEN (nation + CAST(yday AS INT)//30 + CAST(year AS INT)) % 7 <> 0 THEN n END AS a,
-CASE WHEN (nation + CAST(yday AS INT)//30 + CAST(year AS INT)) % 5 <> 0 THEN total END AS b FROM ({MONTHLY_SQL}))"""
+MONTHLY_SQL = """SELECT l_suppkey AS station, CAST(month(l_shipdate) AS DOUBLE) * 30 AS yday, CAST(year(l_shipdate) AS DOUBLE) AS year,
+CAST(count(*) AS DOUBLE) AS n, CAST(sum(round(l_quantity)) AS DOUBLE) AS total FROM lineitem GROUP BY 1, 2, 3"""
+POOLED_SQL = f"""mon AS (SELECT *, CAST((station * 3) % 180 - 90 AS DOUBLE) AS lat, CAST((station * 7) % 360 - 180 AS DOUBLE) AS lon,
+CASE WHEN (station + CAST(yday AS INT)//30 + CAST(year AS INT)) % 29 <> 0 THEN n END AS a,
+CASE WHEN (station + CAST(yday AS INT)//30 + CAST(year AS INT)) % 31 <> 0 THEN total END AS b FROM ({MONTHLY_SQL}))"""
 
 
 def pooled_knn_sql(target: str) -> str:
-    return f"""{target}_rank AS (SELECT m.nation, m.yday, m.year, t.{target} AS v, rank() OVER (PARTITION BY m.nation, m.yday, m.year ORDER BY
+    return f"""{target}_rank AS (SELECT m.station, m.yday, m.year, t.{target} AS v, rank() OVER (PARTITION BY m.station, m.yday, m.year ORDER BY
 (m.lat-t.lat)*(m.lat-t.lat) + (m.lon-t.lon)*(m.lon-t.lon) + (m.yday-t.yday)*(m.yday-t.yday) + (m.year-t.year)*(m.year-t.year)) AS k
 FROM mon m, mon t WHERE m.{target} IS NULL AND t.{target} IS NOT NULL),
-{target}_mean AS (SELECT nation, yday, year, avg(v) AS p_{target} FROM {target}_rank WHERE k <= 5 GROUP BY 1, 2, 3)"""
+{target}_mean AS (SELECT station, yday, year, avg(v) AS p_{target} FROM {target}_rank WHERE k <= 5 GROUP BY 1, 2, 3)"""
 
 
 @query("impute_knn_pooled", f"""WITH {POOLED_SQL}, {pooled_knn_sql('a')}, {pooled_knn_sql('b')}
-SELECT nation, yday, year, round(coalesce(a, p_a), 4) AS a, round(coalesce(b, p_b), 4) AS b FROM mon LEFT JOIN a_mean USING (nation, yday, year) LEFT JOIN b_mean USING (nation, yday, year)""")
+SELECT station, yday, year, round(coalesce(a, p_a), 4) AS a, round(coalesce(b, p_b), 4) AS b FROM mon LEFT JOIN a_mean USING (station, yday, year) LEFT JOIN b_mean USING (station, yday, year)""")
 def impute_knn_pooled(spark: SparkSession, sf: str) -> DataFrame:
-    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
-    monthly = table(spark, sf, "orders").join(people, "o_custkey").groupBy(
-        "nation", (F.month("o_orderdate") * 30).cast("double").alias("yday"), F.year("o_orderdate").cast("double").alias("year")
-    ).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.round("o_totalprice")).alias("total"))
-    key = F.col("nation") + (F.col("yday") / 30).cast("int") + F.col("year").cast("int")
+    """Months of all stations as one pool, which grows with the stations."""
+    monthly = table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("station"), (F.month("l_shipdate") * 30).cast("double").alias("yday"), F.year("l_shipdate").cast("double").alias("year")
+    ).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.round("l_quantity")).alias("total"))
+    key = F.col("station") + (F.col("yday") / 30).cast("int") + F.col("year").cast("int")
     holes = monthly.withColumns({
-        "lat": (F.col("nation") * 3).cast("double"), "lon": ((F.col("nation") * 7) % 25).cast("double"),
-        "a": F.when(key % 7 != 0, F.col("n")), "b": F.when(key % 5 != 0, F.col("total")),
+        "lat": ((F.col("station") * 3) % 180 - 90).cast("double"), "lon": ((F.col("station") * 7) % 360 - 180).cast("double"),
+        "a": F.when(key % 29 != 0, F.col("n")), "b": F.when(key % 31 != 0, F.col("total")),
     }).drop("n", "total")
     out = I.impute_knn_pooled(holes, ["a", "b"])
-    return rounded(out.select("nation", "yday", "year", "a", "b"), "a", "b", digits=4)
+    return rounded(out.select("station", "yday", "year", "a", "b"), "a", "b", digits=4)
 
 
 @query("merge_predicted", f"""WITH {SDAY_SQL}, {FIT_SQL} SELECT entity, date, value, 'observed' AS flag FROM sday WHERE value IS NOT NULL

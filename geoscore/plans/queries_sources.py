@@ -85,6 +85,25 @@ def fixed_width_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("station_history", """SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS usaf, s_name AS station, 'US' AS ctry,
+round((s_suppkey * 59 + 3) % 180 - 90, 3)::DOUBLE AS lat, CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_nationkey * 10 AS DOUBLE) END AS elev,
+CAST(DATE '1990-01-01' + CAST(s_suppkey % 365 AS INT) AS DATE) AS begin, CASE WHEN s_suppkey % 5 <> 0 THEN DATE '2018-12-31' END AS "end" FROM supplier""")
+def station_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A station list with text and a title before its records, blank and coded missing values."""
+    path = scratch_path(spark, "history")
+    key = F.col("s_suppkey")
+    put = lambda c, width: F.rpad(c.cast("string"), width, " ")
+    line = F.concat(
+        F.lpad(key.cast("string"), 6, "0"), F.lit(" 99999 "), put(F.col("s_name"), 29), F.lit(" US   CA KXXX  "),
+        F.format_string("%+07.3f", ((key * 59 + 3) % 180 - 90).cast("double")), F.lit(" "), F.format_string("%+08.3f", key.cast("double") % 180), F.lit(" "),
+        F.when(key % 9 == 0, "-999.0 ").otherwise(F.format_string("%+07.1f", (F.col("s_nationkey") * 10).cast("double"))), F.lit(" "),
+        F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (key % 365).cast("int")), "yyyyMMdd"), F.lit(" "), F.when(key % 5 == 0, " " * 8).otherwise("20181231"),
+    )
+    head = spark.createDataFrame([("Integrated Surface Database Station History",), ("",), ("USAF   WBAN  STATION NAME",)], "value string")
+    head.unionByName(table(spark, sf, "supplier").select(line.alias("value"))).write.text(path)
+    return fixed_width.read_station_history(spark, path).select("usaf", "station", "ctry", "lat", "elev", "begin", "end")
+
+
 @query("station_years", """SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(c_nationkey AS VARCHAR) AS station, o_orderkey AS id, o_totalprice AS price
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND c_nationkey < 10""")
 def station_years(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from geoscore.operators import rank as R, series as T
 from geoscore.operators.aggregate import concat_group
-from geoscore.operators.skew import attach, global_index, salted_join
+from geoscore.operators.skew import attach, global_index, salted_join, spread_join
 
 
 def skewed(spark, n=3000):
@@ -30,6 +30,19 @@ def test_salted_join_equals_join_on_both_hot_sides(spark):
     assert sets(salted_join(left, right, ["k"], floor=20, right_bounded=True).select("id", "other", "k")) == expected
 
 
+def test_five_thousand_hot_keys_are_spread(spark):
+    """Each key is cut without being counted, so there is no list of hot keys; a third of all rows lies under one."""
+    days = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), "id")
+    places = spark.range(5100).select(F.col("id").alias("k"), (F.col("id") % 9).alias("place")).unionByName(
+        spark.createDataFrame([(7, 100), (None, 1)], "k long, place long")
+    )
+    got = spread_join(days, places, ["k"], ["id"], pieces=16)
+    assert got.columns == ["k", "id", "place"]
+    assert sets(got.select("id", "place")) == sets(days.join(places, "k").select("id", "place"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Range (0, 60000") == 1
+
+
 def test_attach_matches_null_keys_and_keeps_all_rows(spark):
     df = skewed(spark)
     stats = df.groupBy("k").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
