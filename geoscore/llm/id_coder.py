@@ -2,9 +2,13 @@
 
 For each id three predictions are mixed: the id that last followed the same two ids (order 2), the one that last followed
 the same id (order 1), and the frequencies so far (order 0). How far each of the first two is trusted is learned for each
-level of its confidence. The mix gives a part of the coder's range to either prediction and the rest to all ids by the
-frequency of their group, evenly within a group, so an id takes one step of the coder. Every block starts from the same
-empty model and is decoded by itself. Blocks go through the coder side by side, one id of each at a time.
+level of its confidence, the number of times in a row that its context was right. The mix gives a part of the coder's range
+to either prediction and the rest to all ids by the frequency of their group, evenly within a group, so an id takes one step
+of the coder. Every block starts from the same empty model and is decoded by itself.
+
+All that the model says depends on the ids before, so the encoder works it out for a whole block at once: what a context
+saw last by one stable sort, levels and trust by sums. Only the coder's range goes step by step, and in the decoder the
+model too; blocks then go side by side, one id of each at a time.
 """
 
 from __future__ import annotations
@@ -16,12 +20,17 @@ import numpy as np
 U = np.uint64
 TOTAL = 16  # bits of a probability
 MOST_HIT = 3 << (TOTAL - 2)  # most that both predictions together may take of the range
+MOST_FIRST = 63_000  # most that order 1 may take of what order 2 leaves
 SLOTS = 2048  # of the tables of order 1 and 2
+LEVELS = 4
+# Hits and tries, in sixteenths, that each level of confidence starts with.
+START1, START2, START_TRIES = np.array([2, 18, 40, 61]), np.array([3, 42, 83, 120]), 128
 SINGLES, WIDTH_BITS = 256, 8  # ids with a frequency of their own; width of the groups above
 FINE = TOTAL + WIDTH_BITS  # bits of the finest share of the range
 LEAST = 4  # least share of a group, so that no id is left without a share
 RENEW = 256  # ids between two updates of the frequencies
-RATE = 4
+GAIN = 24  # what an id adds to its group's frequency
+COARSE = 8  # bits of a place that the first look for its group leaves out
 FULL, LOW32, TINY = U(0xFFFFFFFFFFFFFFFF), U(1 << 32), U(1 << 28)
 
 
@@ -29,92 +38,182 @@ def _groups(vocabulary: int) -> int:
     return min(vocabulary, SINGLES) + max(0, -(-(vocabulary - SINGLES) >> WIDTH_BITS))
 
 
-class _Model:
+def _group(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids >= SINGLES, SINGLES + ((ids - SINGLES) >> WIDTH_BITS), ids)
+
+
+def _slots(last1: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table places of order 1 and 2 for the two ids before."""
+    by_last = last1 * 40503
+    return (by_last >> 4) % SLOTS, ((by_last + last2 * 25253) >> 3) % SLOTS
+
+
+class _Frequencies:
+    """Order 0: shares of the groups in each lane, worked out anew every RENEW ids."""
+
     def __init__(self, lanes: int, vocabulary: int):
-        self.rows = np.arange(lanes)
         self.n_groups = _groups(vocabulary)
-        self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
-        self.base = self.rows * SLOTS
-        self.ids1, self.ids2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.sure1, self.sure2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
-        self.trust1 = np.tile(np.array([1000, 9000, 20000, 30000], np.int64), lanes)
-        self.trust2 = np.tile(np.array([1000, 16000, 32000, 46000], np.int64), lanes)
-        start = np.ones(self.n_groups, np.int64)
-        start[SINGLES:] = 2
-        self.counts = np.tile(start, (lanes, 1))
-        self.places, self.cells = self.rows * (self.n_groups + 1), self.rows * self.n_groups
-        self.edges = self.rows << (TOTAL + 1)
-        self.steps = 0
-        self._renew()
-
-    def _renew(self) -> None:
-        counts = self.counts
+        self.counts = np.ones((lanes, self.n_groups), np.int64)
+        self.counts[:, SINGLES:] = 2
+        self.places = np.arange(lanes) * (self.n_groups + 1)
+        self.renew()
+
+    def renew(self) -> None:
         spare = (1 << TOTAL) - LEAST * self.n_groups
-        shares = counts * spare // counts.sum(axis=1, keepdims=True) + LEAST
-        ends = np.cumsum(shares, axis=1)
+        shares = self.counts * spare // self.counts.sum(axis=1, keepdims=True) + LEAST
+        ends = np.zeros((len(shares), self.n_groups + 1), np.int64)
+        np.cumsum(shares, axis=1, out=ends[:, 1:])
         ends[:, -1] = 1 << TOTAL
-        self.ends = np.concatenate([np.zeros((len(ends), 1), np.int64), ends], axis=1).reshape(-1)
-        self.flat = (ends + self.edges[:, None]).reshape(-1)
+        self.ends = ends.reshape(-1)
 
-    def predict(self) -> None:
-        self.at1 = self.base + ((self.last1 * 40503) >> 4) % SLOTS
-        self.at2 = self.base + ((self.last1 * 40503 + self.last2 * 25253) >> 3) % SLOTS
-        self.p1, self.p2 = self.ids1.take(self.at1), self.ids2.take(self.at2)
-        self.w1 = (self.rows << 2) + self.sure1.take(self.at1)
-        self.w2 = (self.rows << 2) + self.sure2.take(self.at2)
-        self.a2 = self.trust2.take(self.w2)
-        self.a1 = np.minimum(((1 << TOTAL) - self.a2) * self.trust1.take(self.w1) >> TOTAL, MOST_HIT - self.a2)
-        self.a1[self.p1 == self.p2] = 0
-        self.head = self.a2 + self.a1
-        self.rest = (1 << TOTAL) - self.head
+    def add(self, groups: np.ndarray) -> None:
+        """``groups``: one row per step, one column per lane."""
+        lanes = np.arange(groups.shape[1]) * self.n_groups
+        self.counts += GAIN * np.bincount((groups + lanes).reshape(-1), minlength=self.counts.size).reshape(self.counts.shape)
+
+    def span(self, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' shares begin and end, in the finest places."""
+        return self._span(self.places, ids, groups)
 
-    def group(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        above = ids - SINGLES
-        big = above >= 0
-        return np.where(big, SINGLES + (above >> WIDTH_BITS), ids), big
+    def span_of(self, lanes: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._span(self.places[lanes], ids, groups)
 
-    def span(self, ids: np.ndarray, groups: np.ndarray, big: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of the ids' part of the range behind both predictions."""
-        at = self.places + groups
+    def _span(self, places: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = places + groups
         start, end = self.ends.take(at), self.ends.take(at + 1)
+        big = ids >= SINGLES
         share = end - start
         begin = (start << WIDTH_BITS) + np.where(big, ((ids - SINGLES) & ((1 << WIDTH_BITS) - 1)) * share, 0)
-        stop = np.where(big, begin + share, end << WIDTH_BITS)
-        return self._behind(begin), self._behind(stop)
-
-    def _behind(self, place: np.ndarray) -> np.ndarray:
-        return (self.head << WIDTH_BITS) + (place * self.rest >> TOTAL)
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, groups and whether the groups are wide, for places behind both predictions."""
-        inner = np.maximum(value - (self.head << WIDTH_BITS), 0)
-        place = np.minimum((((inner + 1) << TOTAL) - 1) // self.rest, (1 << FINE) - 1)
-        groups = np.searchsorted(self.flat, (place >> WIDTH_BITS) + self.edges, side="right") - self.cells
-        at = self.places + groups
-        start = self.ends.take(at)
-        big = groups >= SINGLES
-        offset = (place - (start << WIDTH_BITS)) // (self.ends.take(at + 1) - start)
-        return np.where(big, SINGLES + ((groups - SINGLES) << WIDTH_BITS) + offset, groups), groups, big
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, groups: np.ndarray) -> None:
-        self.trust2[self.w2] = self.a2 + ((np.where(hit2, MOST_HIT - 200, 300) - self.a2) >> RATE)
-        tried = np.flatnonzero(~hit2 & (self.a1 > 0))
-        places = self.w1.take(tried)
-        old = self.trust1.take(places)
-        self.trust1[places] = old + ((np.where(hit1.take(tried), 63000, 300) - old) >> RATE)
-        for table, sure, at, said in ((self.ids1, self.sure1, self.at1, self.p1), (self.ids2, self.sure2, self.at2, self.p2)):
-            right = said == ids
-            level = sure.take(at)
-            stays = right | (level > 1)
-            sure[at] = np.where(right, np.minimum(level + 1, 3), np.where(stays, level - 1, 1))
-            new = np.flatnonzero(~stays)
-            table[at.take(new)] = ids.take(new)
-        self.counts.reshape(-1)[self.cells + groups] += 24
+        return begin, np.where(big, begin + share, end << WIDTH_BITS)
+
+
+def _trust(hits: np.ndarray, tries: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
+    # Division of doubles rounds alike everywhere, so both sides come to the same number.
+    return 1 + (most * (16 * hits + start) / (16 * tries + START_TRIES)).astype(np.int64)
+
+
+def _first(trust: np.ndarray, a2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """Share of the range for order 1, behind that of order 2; none if both say the same, else never none."""
+    a1 = np.minimum(1 + (((1 << TOTAL) - a2) * trust >> TOTAL), MOST_HIT - a2)
+    return np.where(p1 == p2, 0, a1)
+
+
+def _behind(place: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A finest place in the part of the range that both predictions leave."""
+    return (head << WIDTH_BITS) + (place * ((1 << TOTAL) - head) >> TOTAL)
+
+
+def _seen(ids: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a block: the id that its slot saw last (0: none), and how often in a row the slot was right."""
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    sorted_slots, sorted_ids, k = slots[order], ids[order], np.arange(len(ids))
+    first = np.append(True, sorted_slots[1:] != sorted_slots[:-1])
+    said = np.where(first, 0, np.append(0, sorted_ids[:-1]))
+    begins = np.maximum.accumulate(np.where(first, k, 0))
+    wrong = np.maximum.accumulate(np.where(said != sorted_ids, k, -1))
+    level = np.minimum(k - 1 - np.maximum(np.append(-1, wrong[:-1]), begins - 1), LEVELS - 1)
+    p, levels = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+    p[order], levels[order] = said, level
+    return p, levels
+
+
+def _learned(levels: np.ndarray, hit: np.ndarray, counts: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
+    """Trust at each place of a block, from the tries (where ``counts``) and hits of its level before."""
+    order = np.argsort(levels.astype(np.uint8), kind="stable")
+    tried, sorted_levels = counts[order], levels[order]
+    right = tried & hit[order]
+    tries, hits = np.cumsum(tried) - tried, np.cumsum(right) - right
+    # Sums begin anew where a level begins.
+    begins = np.minimum(np.searchsorted(sorted_levels, np.arange(LEVELS)), len(levels) - 1)
+    tries, hits = tries - tries[begins][sorted_levels], hits - hits[begins][sorted_levels]
+    out = np.empty(len(levels), np.int64)
+    out[order] = _trust(hits, tries, start[sorted_levels], most)
+    return out
+
+
+def _predicted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each id of a block: the shares of order 2 and 1, and which of them is right (2, 1 or 0)."""
+    last1 = np.append(0, ids[:-1])
+    last2 = np.append(0, last1[:-1])
+    slots1, slots2 = _slots(last1, last2)
+    (p1, level1), (p2, level2) = _seen(ids, slots1), _seen(ids, slots2)
+    hit2, hit1 = p2 == ids, p1 == ids
+    a2 = _learned(level2, hit2, np.ones(len(ids), bool), START2, MOST_HIT - 200)
+    a1 = _first(_learned(level1, hit1, ~hit2 & (p1 != p2), START1, MOST_FIRST), a2, p1, p2)
+    return a2, a1, np.where(hit2, 2, np.where(hit1, 1, 0))
+
+
+class _Model:
+    """The same model one id at a time, for the decoder."""
+
+    def __init__(self, lanes: int, vocabulary: int):
+        self.rows = np.arange(lanes)
+        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.base, self.cells = self.rows * SLOTS, self.rows * LEVELS
+        self.ids1, self.ids2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.level1, self.level2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
+        self.start1, self.start2 = np.tile(START1, lanes), np.tile(START2, lanes)
+        self.hits1, self.hits2, self.tries1, self.tries2 = (np.zeros(lanes * LEVELS, np.int64) for _ in range(4))
+        self.order0 = _Frequencies(lanes, vocabulary)
+        self.groups: list[np.ndarray] = []
+        self._look()
+
+    def _look(self) -> None:
+        """For every coarse place of every lane, the group that it lies in."""
+        f = self.order0
+        coarse = 1 << (TOTAL - COARSE)
+        inner = f.ends.reshape(len(self.rows), -1)[:, 1:]
+        at = ((inner + (1 << COARSE) - 1) >> COARSE) + (self.rows * (coarse + 1))[:, None]
+        seen = np.bincount(at.reshape(-1), minlength=len(self.rows) * (coarse + 1)).reshape(len(self.rows), -1)
+        self.first_group = np.minimum(np.cumsum(seen, axis=1), f.n_groups - 1).reshape(-1)
+        self.coarse_rows = self.rows * (coarse + 1)
+
+    def predict(self) -> None:
+        at1, at2 = _slots(self.last1, self.last2)
+        self.at1, self.at2 = self.base + at1, self.base + at2
+        self.p1, self.p2 = self.ids1.take(self.at1), self.ids2.take(self.at2)
+        self.w1, self.w2 = self.cells + self.level1.take(self.at1), self.cells + self.level2.take(self.at2)
+        self.a2 = _trust(self.hits2.take(self.w2), self.tries2.take(self.w2), self.start2.take(self.w2), MOST_HIT - 200)
+        trust = _trust(self.hits1.take(self.w1), self.tries1.take(self.w1), self.start1.take(self.w1), MOST_FIRST)
+        self.a1 = _first(trust, self.a2, self.p1, self.p2)
+        self.head = self.a2 + self.a1
+
+    def find(self, value: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and groups of some lanes, for places behind both predictions."""
+        head, f = self.head[lanes], self.order0
+        inner = np.maximum(value - (head << WIDTH_BITS), 0)
+        # Whole numbers this small are divided exactly as doubles, and faster.
+        place = np.minimum(((((inner + 1) << TOTAL) - 1) / ((1 << TOTAL) - head)).astype(np.int64), (1 << FINE) - 1)
+        whole, row = place >> WIDTH_BITS, f.places[lanes]
+        at = self.coarse_rows[lanes] + (whole >> COARSE)
+        low, high = self.first_group.take(at), self.first_group.take(at + 1)
+        # The group is the last one that begins at or before the place.
+        while (low < high).any():
+            middle = (low + high + 1) >> 1
+            begun = f.ends.take(row + middle) <= whole
+            low, high = np.where(begun, middle, low), np.where(begun, high, middle - 1)
+        start = f.ends.take(row + low)
+        offset = ((place - (start << WIDTH_BITS)) / (f.ends.take(row + low + 1) - start)).astype(np.int64)
+        return np.where(low >= SINGLES, SINGLES + ((low - SINGLES) << WIDTH_BITS) + offset, low), low
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, groups: np.ndarray) -> None:
+        right1 = self.p1 == ids
+        self.tries2[self.w2] += 1
+        self.hits2[self.w2] += hit2
+        tried = ~hit2 & (self.p1 != self.p2)
+        self.tries1[self.w1] += tried
+        self.hits1[self.w1] += tried & right1
+        self.level1[self.at1] = np.where(right1, np.minimum(self.w1 - self.cells + 1, LEVELS - 1), 0)
+        self.level2[self.at2] = np.where(hit2, np.minimum(self.w2 - self.cells + 1, LEVELS - 1), 0)
+        self.ids1[self.at1] = ids
+        self.ids2[self.at2] = ids
+        self.groups.append(groups)
         self.last2, self.last1 = self.last1, ids
-        self.steps += 1
-        if self.steps % RENEW == 0:
-            self._renew()
+        if len(self.groups) == RENEW:
+            self.order0.add(np.stack(self.groups))
+            self.order0.renew()
+            self._look()
+            self.groups = []
 
 
 class _Encoder:
@@ -122,10 +221,10 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
         self.out, self.n = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
 
-    def put(self, start: np.ndarray, stop: np.ndarray) -> None:
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
         unit = self.range >> U(FINE)
-        self.low += unit * start.astype(np.uint64)
-        self.range = unit * (stop - start).astype(np.uint64)
+        self.low += unit * start
+        self.range = unit * size
         settled = (self.low ^ (self.low + self.range)) < LOW32
         ready = np.flatnonzero(settled | (self.range < TINY))
         if len(ready):
@@ -158,9 +257,9 @@ class _Decoder:
         self.unit = self.range >> U(FINE)
         return np.minimum((self.code - self.low) // self.unit, U((1 << FINE) - 1)).astype(np.int64)
 
-    def take(self, start: np.ndarray, stop: np.ndarray) -> None:
-        self.low += self.unit * start.astype(np.uint64)
-        self.range = self.unit * (stop - start).astype(np.uint64)
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.low += self.unit * start
+        self.range = self.unit * size
         settled = (self.low ^ (self.low + self.range)) < LOW32
         ready = np.flatnonzero(settled | (self.range < TINY))
         if len(ready):
@@ -172,49 +271,56 @@ class _Decoder:
             self.low[ready], self.range[ready] = low << U(32), width << U(32)
 
 
-def _part(model: _Model, hit2: np.ndarray, hit1: np.ndarray, begin: np.ndarray, stop: np.ndarray):
-    a2, head = model.a2 << WIDTH_BITS, model.head << WIDTH_BITS
-    return (
-        np.where(hit2, 0, np.where(hit1, a2, begin)), np.where(hit2, a2, np.where(hit1, head, stop))
-    )
-
-
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """The payload of each block. A block shorter than the longest one is coded with zeros after its end."""
     lanes, steps = len(blocks), max(map(len, blocks))
-    grid = np.zeros((lanes, steps), np.int64)
-    for row, block in zip(grid, blocks):
-        row[: len(block)] = block
-    grid = np.ascontiguousarray(grid.T)
-    model, coder = _Model(lanes, vocabulary), _Encoder(lanes, steps + 8)
-    for ids in grid:
-        model.predict()
-        hit2 = ids == model.p2
-        hit1 = (ids == model.p1) & ~hit2
-        groups, big = model.group(ids)
-        coder.put(*_part(model, hit2, hit1, *model.span(ids, groups, big)))
-        model.update(ids, hit2, hit1, groups)
+    grid = np.zeros((lanes, steps), np.int32)
+    second, first, kind = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint8)
+    padded = np.zeros(steps, np.int64)
+    for lane, block in enumerate(blocks):
+        padded[: len(block)], padded[len(block) :] = block, 0
+        grid[lane] = padded
+        second[lane], first[lane], kind[lane] = _predicted(padded)
+    order0, coder = _Frequencies(lanes, vocabulary), _Encoder(lanes, steps + 8)
+    for begin in range(0, steps, RENEW):
+        now = slice(begin, min(begin + RENEW, steps))
+        ids, a2, right = grid[:, now].T.astype(np.int64), second[:, now].T.astype(np.int64), kind[:, now].T
+        head = a2 + first[:, now].T
+        groups = _group(ids)
+        start, stop = (_behind(x, head) for x in order0.span(ids, groups))
+        start = np.where(right == 2, 0, np.where(right == 1, a2 << WIDTH_BITS, start)).astype(np.uint64)
+        stop = np.where(right == 2, a2 << WIDTH_BITS, np.where(right == 1, head << WIDTH_BITS, stop)).astype(np.uint64)
+        for from_, size in zip(start, stop - start):
+            coder.put(from_, size)
+        order0.add(groups)
+        order0.renew()
     return coder.finish()
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
     lanes, steps = len(payloads), max(sizes)
     model, coder = _Model(lanes, vocabulary), _Decoder(payloads)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     for k in range(steps):
         model.predict()
         value = coder.value()
-        hit2 = value < model.a2 << WIDTH_BITS
-        hit1 = (value < model.head << WIDTH_BITS) & ~hit2
-        ids, groups, big = model.find(value)
-        coder.take(*_part(model, hit2, hit1, *model.span(ids, groups, big)))
-        hit = hit2 | hit1
-        if hit.any():
-            ids = np.where(hit2, model.p2, np.where(hit1, model.p1, ids)).astype(np.int64)
-            groups = model.group(ids)[0]
+        second, both = model.a2 << WIDTH_BITS, model.head << WIDTH_BITS
+        hit2 = value < second
+        behind = np.flatnonzero(value >= both)
+        ids = np.where(hit2, model.p2, model.p1).astype(np.int64)
+        start, stop = np.where(hit2, 0, second), np.where(hit2, second, both)
+        groups = _group(ids)
+        if len(behind):
+            found, of = model.find(value[behind], behind)
+            ids[behind], groups[behind] = found, of
+            begin, end = model.order0.span_of(behind, found, of)
+            head = model.head[behind]
+            start[behind], stop[behind] = _behind(begin, head), _behind(end, head)
+        coder.take(start.astype(np.uint64), (stop - start).astype(np.uint64))
         out[k] = ids
-        model.update(ids, hit2, hit1, groups)
-    return [out[:n, i].copy() for i, n in enumerate(sizes)]
+        # An id behind both predictions may still equal one that had no share of the range.
+        model.update(ids, model.p2 == ids, groups)
+    return [out[:n, i].astype(np.int64) for i, n in enumerate(sizes)]
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -24,8 +24,8 @@ from geoscore.llm.common import grouped_by_size
 from geoscore.llm.id_coder import checksum, decode_blocks, encode_blocks, joined_crc
 from geoscore.llm.pretokens import pretokens, sections
 
-BLOCK = 8192  # ids
-LANES = 1024  # blocks that are coded side by side
+BLOCK = 4096  # ids
+LANES = 2048  # blocks that are coded side by side
 FORMAT = (
     "part int, block int, first long, n_ids int, vocabulary int, crc32 long, doc_numbers array<long>, doc_ids array<long>, "
     "doc_sizes array<int>, payload binary"

@@ -135,6 +135,9 @@ def test_coder_round_trip_and_checksum(spark, tmp_path):
     payloads = id_coder.encode_blocks(blocks, 49_408)
     for got, want in zip(id_coder.decode_blocks(payloads, [len(b) for b in blocks], 49_408), blocks):
         assert (got == want).all()
+    # Predictions that were wrong for very long and are right at last, and ids that never leave one context.
+    long = np.concatenate([np.stack([np.full(20_000, 5), random.integers(0, 49_408, 20_000)], 1).reshape(-1), np.tile([5, 6], 300), np.full(999, 8)])
+    assert (id_coder.decode_blocks(id_coder.encode_blocks([long, long[:50]], 49_408), [len(long), 50], 49_408)[0] == long).all()
     # Each block alone gives the same ids.
     assert (id_coder.decode_blocks(payloads[1:2], [700], 49_408)[0] == blocks[1]).all()
     a, b = bytes(random.integers(0, 256, 90, dtype=np.uint8)), b"tail of it"
