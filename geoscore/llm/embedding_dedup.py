@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from geoscore.llm.common import tables as scratch
 from geoscore.llm.components import components
@@ -29,8 +30,14 @@ def _projections(size: int) -> tuple[np.ndarray, np.ndarray]:
     return random.standard_normal((size, TABLES * HASHES)), random.random(TABLES * HASHES) * WIDTH
 
 
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest value near one, so that no square is too large or small."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True))[1])
+
+
 def _signatures(matrix: np.ndarray) -> np.ndarray:
     """One 64-bit bucket name per row and table."""
+    matrix = _scaled(matrix)
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     along, shift = _projections(matrix.shape[1])
     cells = np.floor((unit @ along + shift) / WIDTH).astype(np.int64).reshape(len(matrix), TABLES, HASHES)
@@ -105,7 +112,7 @@ def _compare(least: float):
             for names, rows in frame.groupby(key, sort=False):
                 if len(rows) < 2:
                     continue
-                matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                matrix = _scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
                 matrix /= np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
                 found = one(
                     rows["cid"].to_numpy(), rows["rep"].to_numpy(), rows["copies"].to_numpy(), matrix, np.stack(rows["buckets"].to_numpy()),
@@ -141,8 +148,11 @@ def linked_vectors(vectors: DataFrame, least: float = 0.98, key: str = "vec_id",
     if they are equal, else vectors of one component; each gives a row. With the default tables a pair at the very threshold is missed with a chance of
     about two in a million, closer pairs less often.
     """
+    # Vectors of 32-bit floats stay so until they are compared, all others become doubles: nothing is rounded.
+    given = vectors.select(vector).schema[0].dataType
+    kind = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
     rows = vectors.select(
-        F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<float>").alias("embedding")
+        F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast(f"array<{kind}>").alias("embedding")
     )
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(
@@ -157,7 +167,7 @@ def linked_vectors(vectors: DataFrame, least: float = 0.98, key: str = "vec_id",
         # The number of a class is read from the stored table only, where it no longer changes.
         named = distinct.select(F.monotonically_increasing_id().alias("cid"), "rep", "copies", "label", "embedding")
         hashed = own.store(named.mapInArrow(
-            _hash, f"cid long, rep long, copies long, label {kinds}, embedding array<float>, buckets array<long>"
+            _hash, f"cid long, rep long, copies long, label {kinds}, embedding array<{kind}>, buckets array<long>"
         ), "hashed")
         entries = hashed.select(
             "cid", "label", F.size("embedding").alias("size"), F.posexplode("buckets").alias("table", "bucket")

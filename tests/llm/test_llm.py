@@ -421,6 +421,17 @@ def test_vectors(spark):
     assert embedding_dedup.linked_vectors(table.limit(0)).count() == 0
 
 
+def test_double_vectors_are_not_rounded(spark):
+    """Values that 32-bit floats cannot tell apart or hold."""
+    x = [1.0, 2.0, 3.0]
+    rows = [(1, x, 0), (2, [1.0, 2.0, 3.0 + 1e-12], 0), (3, [1e300, 2e300, 3e300], 0), (4, [1e-300, 2e-300, 3e-300], 0), (5, [1e300, -1e300, 0.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.linked_vectors(table).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+    narrow = table.where("vec_id < 3").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    assert {r["n_links"] for r in embedding_dedup.linked_vectors(narrow).collect()} == {1}
+
+
 def bags_of(docs):
     return {i: (WORDS.findall(t or "")) for i, t in docs if i is not None}
 
