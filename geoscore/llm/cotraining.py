@@ -139,7 +139,7 @@ class Model(NamedTuple):
 Surest = Callable[[list[np.ndarray], float], list[tuple[np.ndarray, np.ndarray]]]
 
 
-def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest | None = None, lost: float = 0.005) -> Model:
+def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest | None = None, lost: float = 0.005, rounds: int = ROUNDS) -> Model:
     """``y``: 1 good, 0 bad. A fifth of the rows is kept back for calibration.
 
     ``surest`` takes the views' weights and the share of good labels, and gives for each view the features (of both
@@ -156,12 +156,12 @@ def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest | No
     views = (text, meta)
     taught = [(view[base], y[base].astype(float)) for view in views]
     weights: list[np.ndarray | None] = [None, None]
-    for turn in range(ROUNDS + 1):
+    for turn in range(rounds + 1):
         for v in (0, 1):
             rows, labels = taught[v]
             trust = np.where(np.arange(len(rows)) < len(base), 1.0, 0.3)
             weights[v] = _fit(rows, labels, trust, weights[v])
-        if turn == ROUNDS or surest is None:
+        if turn == rounds or surest is None:
             break
         picked = surest(weights, good)
         if not any(len(labels) for _, labels in picked):
@@ -173,9 +173,9 @@ def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest | No
     truth = y[held].astype(float)
     calibration = (*_calibrate(text[held] @ weights[0], truth), *_calibrate(meta[held] @ weights[1], truth))
     model = Model(weights[0], weights[1], calibration, prior, 0.0)
-    both = model.scores(text[known], meta[known])[2]
-    # Few good documents may fall under the cutoff.
-    return model._replace(cutoff=float(min(0.5, np.quantile(both[y[known] == 1], lost))))
+    both = model.scores(text[held], meta[held])[2]
+    # Few good documents may fall under the cutoff; rows that the model was trained on do not say how many will.
+    return model._replace(cutoff=float(min(0.5, np.quantile(both[truth == 1], lost))))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -218,17 +218,17 @@ class Unlabelled:
     surest counts. Only ids and scores meet the labels, so features are never shuffled.
     """
 
-    def __init__(self, stored: DataFrame, labels: DataFrame, own: Tables):
-        self.stored, self.labels, self.own = stored, labels.select("doc_id"), own
+    def __init__(self, stored: DataFrame, labels: DataFrame, own: Tables, per_round: int = PER_ROUND):
+        self.stored, self.labels, self.own, self.per_round = stored, labels.select("doc_id"), own, per_round
         self.left = self._unknown(stored.select("doc_id")).distinct().count()
-        # At most ROUNDS times twice PER_ROUND ids.
+        # At most twice ``per_round`` ids a round.
         self.taken: set[int] = set()
 
     def _unknown(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.labels, "doc_id", "left_anti")
 
     def surest(self, weights: list[np.ndarray], good: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        n = min(PER_ROUND, self.left // 4)
+        n = min(self.per_round, self.left // 4)
         n_bad = max(1, round(n * (1 - good))) if n else 0
         # View, sign of the score, how many.
         sides = [(v, sign, most) for v in (0, 1) for sign, most in ((-1, n_bad), (1, n - n_bad))]
@@ -285,8 +285,11 @@ class Unlabelled:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
-    """Fit on at most ``labelled`` labelled documents, chosen by hash of the id, and the surest of all others."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
+    """Fit on at most ``labelled`` labelled documents, chosen by hash of the id, and the surest of all others.
+
+    In each of ``rounds`` rounds each view labels at most ``per_round`` documents, the surest of the whole table.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled).select(
         "doc_id", F.col("y").cast("int").alias("y")
@@ -304,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
         # The number of a row is read from the stored table only, where it no longer changes.
         rows = _rows(docs).where("doc_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
         stored = own.store(_features(rows, "row", "long"), "features")
-        model = train(text, meta, y, Unlabelled(stored, labels, own).surest)
+        model = train(text, meta, y, Unlabelled(stored, labels, own, per_round).surest, rounds=rounds)
         own.keep_only()
     return model
 
