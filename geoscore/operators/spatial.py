@@ -143,7 +143,7 @@ def polygon_cells(polygons: DataFrame, polygon_id: str, rings: str = "rings", ma
         return cells.where(F.col("_inside") | (F.size("_edges") > 0))
 
     whole = F.col("_edges")
-    cells = useful(
+    cells = (
         boxed
         .withColumn("_cx", F.explode(F.sequence(_cell(F.col("_xmin"), level), _cell(F.col("_xmax"), level))))
         .withColumn("_cy", F.explode(F.sequence(_cell(F.col("_ymin"), level), _cell(F.col("_ymax"), level))))
@@ -155,10 +155,11 @@ def polygon_cells(polygons: DataFrame, polygon_id: str, rings: str = "rings", ma
     # One number says whether any outline is long; short ones stay one lazy step.
     longest = boxed.agg(F.max(F.size("_edges"))).first()[0] or 0
     if longest <= most:
-        return cells
+        return useful(cells)
     done: list[DataFrame] = []
     for _ in range(halvings):
-        cells = store_once(cells, "cells")
+        # Stored before useless cells go, since a filter on what a lambda makes would make it twice.
+        cells = useful(store_once(cells, "cells"))
         # Cells narrower than the margin would all keep the same sides.
         crowded = (F.size("_edges") > most) & (F.pow(F.lit(2.0), level) > F.lit(float(margin)))
         busy = cells.where(crowded)
@@ -172,12 +173,12 @@ def polygon_cells(polygons: DataFrame, polygon_id: str, rings: str = "rings", ma
             (F.col("_cy") * 2 + F.col("_q.b")).alias("_cy"), F.col("_edges").alias("_all"), "_inside", "_sx", "_sy",
         )
         x, y = _spot()
-        cells = useful(split.select(
+        cells = split.select(
             polygon_id, "_level", "_cx", "_cy", _near_sides(F.col("_all"), margin).alias("_edges"),
             # The way from the parent's spot to the child's stays in the parent, so only the parent's sides can cross it.
             (F.col("_inside") != _changes(F.col("_all"), F.col("_sx"), F.col("_sy"), x, y)).alias("_inside"),
-        ))
-    done.append(cells)
+        )
+    done.append(useful(cells))
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
