@@ -14,6 +14,7 @@ model too; blocks then go side by side, one id of each at a time.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -338,16 +339,23 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+@lru_cache(64)
+def _zeros(power: int) -> list[int]:
+    """The map that appends 2 ** ``power`` zero bits to what a register has read."""
+    if power == 0:
+        return [0xEDB88320] + [1 << k for k in range(31)]
+    half = _zeros(power - 1)
+    return [_times(half, row) for row in half]
+
+
 def joined_crc(first: int, second: int, length: int) -> int:
     """The CRC-32 of two byte strings in a row, from the CRC-32 of each and the length of the second.
 
-    Appending a zero bit is a linear map of the register; its powers append ``length`` zero bytes.
+    Appending a zero bit is a linear map of the register; its powers, worked out once, append ``length`` zero bytes.
     """
-    power = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    bits = length * 8
+    bits, power = length * 8, 0
     while bits:
         if bits & 1:
-            first = _times(power, first)
-        power = [_times(power, row) for row in power]
-        bits >>= 1
+            first = _times(_zeros(power), first)
+        bits, power = bits >> 1, power + 1
     return first ^ second
