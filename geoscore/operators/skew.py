@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,6 +14,8 @@ from geoscore.session import store_once
 HOT_FLOOR = 1_000_000
 MAX_HOT = 1024
 MAX_PIECES = 4096
+PAIRS_PER_PIECE = 20_000_000  # that a join dealt by its pairs makes in one piece of a key
+ROWS_PER_TASK = 500_000  # where rows are dealt to a stated number of tasks
 SPREAD = 32  # pieces of every key in a join that does not count keys
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -112,6 +115,36 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], floor: i
     return a.join(b, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
 
 
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_weight: Column, right_weight: Column,
+               most: int = PAIRS_PER_PIECE) -> DataFrame:
+    """Inner equi-join that is dealt by the pairs it makes, for keys that have many rows on both sides.
+
+    A row's weight says for how many it stands; a pair of rows is worth the product. A key is cut into pieces of about ``most`` pairs:
+    as many on the left as it has rows there, the rest on the right. The pieces are dealt to a stated number of tasks, since
+    the pairs, not the bytes read, are the work. Both sides are read twice: store them first. They must not share
+    column names other than the keys.
+    """
+    keys = list(keys)
+
+    def sizes(df: DataFrame, weight: Column, side: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r" + side), F.sum(weight.cast("double")).alias("_w" + side))
+
+    pieces = F.greatest(F.lit(1.0), F.ceil(F.col("_wl") * F.col("_wr") / F.lit(float(most))))
+    cuts = sizes(left, left_weight, "l").join(sizes(right, right_weight, "r"), keys).withColumn(
+        "_fl", F.least(pieces, F.col("_rl"), F.lit(MAX_PIECES)).cast("int")
+    ).withColumn("_fr", F.least(F.ceil(pieces / F.col("_fl")), F.col("_rr"), F.lit(MAX_PIECES)).cast("int")).select(*keys, "_fl", "_fr")
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*df.columns), F.col("_f" + own)).cast("int")
+        copied = df.join(cuts, keys).withColumn("_s" + own, at).withColumn(
+            "_s" + other, F.explode(F.sequence(F.lit(0), F.col("_f" + other) - 1))
+        )
+        return copied.drop("_fl", "_fr").repartition(tasks, *keys, "_sl", "_sr")
+
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(left, "l", "r").join(cut(right, "r", "l"), [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str], pieces: int = SPREAD) -> DataFrame:
     """Inner equi-join of a large table with one that has few rows per key and little of the left's size in all.
 
@@ -124,6 +157,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequ
     return left.withColumn("_piece", at).join(copies, [*keys, "_piece"]).drop("_piece")
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, most: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` dealt by its keys to so many tasks that one gets about ``most`` of its ``rows``, for keys of few rows each.
+
+    The number of tasks is stated, so it grows with the rows and is not lowered to the number of cores."""
+    tasks = max(math.ceil(rows / most), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows in one total order, cut into sorted ranges; adds ``_part`` (range number) and ``_pos`` (row in range).
 

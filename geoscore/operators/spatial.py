@@ -15,12 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoscore.functions.geo import EARTH_RADIUS_KM, finite, haversine_km, snap, unit_vector
-from geoscore.operators.skew import HOT_FLOOR, attach, salted_join, with_scalars
+from geoscore.operators.skew import HOT_FLOOR, PAIRS_PER_PIECE, attach, block_join, salted_join, with_scalars
 from geoscore.session import store_once
 
 _CELLS_ACROSS = 4  # a polygon's box spans at most this many cells (plus one) of its own grid level, each way
 _SIDES = 16  # a cell with more sides is cut in four
 _HALVINGS = 24  # how often at most: where very many sides meet in one spot, its cell keeps them all
+_IDS = 256  # ids of one spot that are held in one row
 # The spot whose state a cell knows: odd fractions of its width and height, so that no real outline runs through it.
 _SPOT = (0.41421356237309503, 0.2360679774997897)
 
@@ -242,34 +243,52 @@ def region_lookup(points: DataFrame, regions: DataFrame, point_id: str, region_n
     return points.join(named, point_id, "left")
 
 
+def _spots(df: DataFrame, key: str, lat: str, lon: str, side: str) -> DataFrame:
+    """Distinct coordinates, their place on the unit sphere, and lists of the ids there, of about ``_IDS`` each.
+
+    A spot with more ids has several rows, told apart by a hash of the id.
+    """
+    at = ["_lat" + side, "_lon" + side]
+    located = df.select(F.struct(key).alias("_id"), *[finite(F.col(c).cast("double")).alias(n) for c, n in zip((lat, lon), at)]).dropna(subset=at)
+    crowded = located.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / F.lit(_IDS)).alias("_lists")).where(F.col("_lists") > 1)
+    listed = located.join(crowded, at, "left").withColumn("_list", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_lists")), F.lit(0)))
+    return listed.groupBy(*at, "_list").agg(F.collect_list("_id").alias("_ids" + side)).drop("_list").withColumns(
+        {n + side: v for n, v in unit_vector(F.col(at[0]), F.col(at[1])).items()}
+    )
+
+
 def radius_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, lat: str = "lat",
-                lon: str = "lon", floor: int = HOT_FLOOR) -> DataFrame:
+                lon: str = "lon", floor: int = PAIRS_PER_PIECE, digits: int | None = None) -> DataFrame:
     """All (left id, right id, distance) within a great-circle distance.
 
     Cells are cubes around the globe, twice the radius wide: a right point reaches at most two per axis, and the
-    poles and the date line are nothing special.
+    poles and the date line are nothing special. Points at one spot are compared once, and the work of a cell is cut into
+    pieces of about ``floor`` pairs of points. Pairs well within the straight-line limit need no further test.
+    ``digits`` rounds the distances.
     """
-    chord = 2 * math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2)) * (1 + 1e-9) + 1e-12
+    half = math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2))
+    chord, sure = 2 * half * (1 + 1e-9) + 1e-12, 2 * half * (1 - 1e-9) - 1e-12
     width = F.lit(2 * chord)
-
-    def located(df: DataFrame, key: str, side: str) -> DataFrame:
-        return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-            key, F.col(lat).cast("double").alias("_lat" + side), F.col(lon).cast("double").alias("_lon" + side),
-            *[v.alias(n) for n, v in unit_vector(F.col(lat), F.col(lon)).items()],
-        )
-
     axes = ("_x", "_y", "_z")
-    cells_left = located(left, left_id, "1").withColumns(
-        {f"_c{a}": F.floor(F.col(a) / width) for a in axes}
-    ).drop(*axes)
-    cells_right = located(right, right_id, "2")
-    for a in axes:
-        reach = F.sequence(F.floor((F.col(a) - chord) / width), F.floor((F.col(a) + chord) / width))
-        cells_right = cells_right.withColumn(f"_c{a}", F.explode(reach))
-    pairs = salted_join(cells_left, cells_right.drop(*axes), [f"_c{a}" for a in axes], floor)
+    cells = [f"_c{a}" for a in axes]
+    spots_left = store_once(_spots(left, left_id, lat, lon, "1"), "spots")
+    spots_right = store_once(_spots(right, right_id, lat, lon, "2"), "spots")
+    in_left = spots_left.withColumns({c: F.floor(F.col(a + "1") / width) for c, a in zip(cells, axes)})
+    in_right = spots_right
+    for c, a in zip(cells, axes):
+        reach = F.sequence(F.floor((F.col(a + "2") - chord) / width), F.floor((F.col(a + "2") + chord) / width))
+        in_right = in_right.withColumn(c, F.explode(reach))
+    pairs = block_join(in_left, in_right, cells, F.size("_ids1"), F.size("_ids2"), floor)
+    straight = reduce(lambda a, b: a + b, [(F.col(a + "1") - F.col(a + "2")) * (F.col(a + "1") - F.col(a + "2")) for a in axes])
     distance = haversine_km(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2"))
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= F.lit(float(km))) \
-        .select(left_id, right_id, "distance")
+    within = (straight <= F.lit(chord * chord)) & (distance <= F.lit(float(km)))
+    if sure > 0:
+        within = (straight <= F.lit(sure * sure)) | within
+    stated = distance if digits is None else F.round(distance, digits)
+    return pairs.where(within).select("_ids1", "_ids2", stated.alias("distance")) \
+        .select(F.explode("_ids1").alias("_id1"), "_ids2", "distance") \
+        .select("_id1", F.explode("_ids2").alias("_id2"), "distance") \
+        .select(F.col("_id1")[left_id].alias(left_id), F.col("_id2")[right_id].alias(right_id), "distance")
 
 
 def cell_join(left: DataFrame, right: DataFrame, step: float, how: str = "left", lat: str = "lat",

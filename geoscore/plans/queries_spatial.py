@@ -72,7 +72,7 @@ def buffer_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("radius_join", f"""WITH {CUST_SQL}, {SUPP_SQL}, p AS (SELECT cid, sid, {KM_SQL} AS km FROM cust c, supp s)
 SELECT cid, sid, round(km, 6) AS distance FROM p WHERE km <= 600""")
 def radius_join(spark: SparkSession, sf: str) -> DataFrame:
-    return S.radius_join(customers(spark, sf), suppliers(spark, sf), "cid", "sid", 600.0).withColumn("distance", r("distance"))
+    return S.radius_join(customers(spark, sf), suppliers(spark, sf), "cid", "sid", 600.0, digits=6)
 
 
 @query("knn_join", f"""WITH {CUST_SQL}, {SUPP_SQL}, p AS (SELECT cid, sid, (s.lat - c.lat)*(s.lat - c.lat) + (s.lon - c.lon)*(s.lon - c.lon) AS d FROM cust c, supp s),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from geoscore.operators import rank as R, series as T
 from geoscore.operators.aggregate import concat_group
-from geoscore.operators.skew import attach, global_index, salted_join, spread_join
+from geoscore.operators.skew import attach, block_join, dealt, global_index, salted_join, spread_join
 
 
 def skewed(spark, n=3000):
@@ -117,3 +118,20 @@ def test_rescale_edges(spark):
     got = R.rescale(df, {"x": ("a", (100, 0)), "y": ("b", (0, 100))}).collect()
     assert [r["x"] for r in got] == [100.0, 0.0, None]
     assert [r["y"] for r in got] == [50.0, 50.0, 50.0]
+
+
+def test_dealt_takes_as_many_tasks_as_the_rows_need(spark):
+    df = spark.range(4_000).selectExpr("id % 2000 AS k", "id")
+    assert dealt(df, ["k"], 4_000, most=100).rdd.getNumPartitions() == 40
+    once = dealt(df, ["k"], 4_000, most=100).groupBy("k").agg(F.max("id").alias("id"))
+    assert once.count() == 2_000 and once.agg(F.sum("id")).first()[0] == sum(range(2_000, 4_000))
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**9])
+def test_block_join_deals_pairs(spark, most):
+    a = spark.range(300).selectExpr("CASE WHEN id % 10 = 0 THEN id ELSE 0 END AS k", "id AS a", "id % 3 AS wa")
+    b = spark.range(60).selectExpr("CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS k", "id AS b")
+    pairs = block_join(a, b, ["k"], F.col("wa"), F.lit(1), most)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, a.join(b, "k").collect()))
+    largest = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < pairs.count() / 4 or most > 1000

@@ -75,6 +75,18 @@ def test_radius_join(spark, km, floor):
     assert got == {(i, j) for i, la, lo in a for j, lb, lp in b if haversine(la, lo, lb, lp) <= km}
 
 
+def test_radius_join_deals_a_crowded_cell(spark):
+    """All points in one cell, many at one spot and one id given twice: right pairs, in no single task."""
+    a = [(i, 10.0, 20.0) for i in range(1200)] + [(i, 10.0 + i / 1e5, 20.0) for i in range(1200, 1500)] + [(3, 10.0, 20.0), (None, 10.0, 20.0), (-1, None, 1.0)]
+    b = [(i, 10.0, 20.0 + i / 1e4) for i in range(40)] + [(99, 60.0, 20.0)]
+    pairs = S.radius_join(frame(spark, a, "a"), frame(spark, b, "b"), "a", "b", 100.0, floor=2000, digits=3)
+    assert pairs.count() == 1502 * 40 and pairs.where("a = 3").count() == 80 and pairs.where("a IS NULL").count() == 40
+    assert pairs.select("a", "b").distinct().count() == 1501 * 40
+    far = pairs.where("a = 1499 AND b = 39").first()["distance"]
+    assert far == round(haversine(10.01499, 20.0, 10.0, 20.0039), 3)
+    assert pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1502 * 20
+
+
 @pytest.mark.parametrize("k, leaf, floor", [(1, 2, 10), (5, 4, 10**6), (3, None, 10**6), (500, 8, 10**6)])
 def test_knn_join(spark, k, leaf, floor):
     q, p = points(80, 3), points(300, 4)
