@@ -8,10 +8,12 @@ from geoscore.functions.dates import is_leap_day, leap_yday
 from geoscore.functions.geo import snap
 from geoscore.operators import aggregate as A
 from geoscore.operators.columns import nan_to_null
+from geoscore.operators.skew import dealt
 from geoscore.plans.bindings import (
     CUST_SQL, SDAY_SQL, WX_SQL, class_days, classed_sql, customers, daily, daily_sql, station_days, supplier_days,
 )
 from geoscore.plans.registry import query, r, rounded, table
+from geoscore.session import store_once
 
 AS_OF = "DATE '2001-08-01'"
 
@@ -227,10 +229,12 @@ def region_dissolve(spark: SparkSession, sf: str) -> DataFrame:
 SELECT entity, date, CASE WHEN value IS NULL THEN 10.0::DOUBLE END FROM sday)
 SELECT entity, date, max(v) AS v FROM both_ GROUP BY 1, 2""")
 def collapse_max(spark: SparkSession, sf: str) -> DataFrame:
-    days = supplier_days(spark, sf)
+    days = store_once(supplier_days(spark, sf))
     observed = days.select("entity", "date", F.col("value").alias("v"))
     predicted = days.select("entity", "date", F.when(F.col("value").isNull(), 10.0).alias("v"))
-    return A.collapse_max(nan_to_null(observed.unionByName(predicted)), ["entity", "date"], ["v"])
+    # A key has two rows at most, so keys are dealt to as many tasks as the rows need and are not combined before.
+    both = dealt(nan_to_null(observed.unionByName(predicted)), ["entity", "date"], 2 * days.count())
+    return A.collapse_max(both, ["entity", "date"], ["v"])
 
 
 @query("month_totals", """SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
