@@ -126,8 +126,8 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for number, batch in enumerate(batches):
         body = io.BytesIO()
         with tarfile.open(fileobj=body, mode="w:gz") as archive:
-            for station, lines in batch.groupby("station"):
-                data = "\n".join(lines["line"]).encode()
+            for station, lines in batch.groupby("station")["line"]:
+                data = "\n".join(lines).encode()
                 info = tarfile.TarInfo(f"{station}.op")
                 info.size = len(data)
                 archive.addfile(info, io.BytesIO(data))
@@ -140,7 +140,9 @@ def expand_archives(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         F.concat(F.lit("s"), "l_suppkey").alias("station"), F.concat_ws(",", "l_orderkey", "l_partkey", "l_quantity").alias("line")
     )
-    packed = lines.mapInPandas(_packed, "path string, content binary")
+    # A station's lines lie together, so that a member holds many of them; a long station spans ranges and archives.
+    together = lines.repartitionByRange("station", "line").sortWithinPartitions("station")
+    packed = together.mapInPandas(_packed, "path string, content binary")
     field = F.split("line", ",")
     return archives.expand_archive_rows(packed).select(
         "member", field[0].cast("bigint").alias("l_orderkey"), field[1].cast("bigint").alias("l_partkey"), field[2].cast("double").alias("l_quantity")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from geoscore.sources.delimited import typed
@@ -47,30 +49,49 @@ def read_station_years(spark: SparkSession, root: str, years: Sequence[int], sch
     return typed(kept.withColumn("year", F.col("year").cast("string")), full, null_tokens)
 
 
-def _members(content: bytes) -> Iterator[tuple[str, int, str]]:
-    """Lines of all text members of one archive, in order, without unpacking it to disk."""
+def _members(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
+    """Runs of lines of all text members of one archive, in order, without unpacking it to disk: the member's name, the
+    number of the run's first line, the lines."""
     with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
         for member in archive:
             if member.isfile():
-                handle = archive.extractfile(member)
-                for number, line in enumerate(io.TextIOWrapper(handle, encoding="utf-8", errors="replace"), start=1):
-                    yield member.name, number, line.rstrip("\r\n")
+                text, number = io.TextIOWrapper(archive.extractfile(member), encoding="utf-8", errors="replace"), 1
+                while lines := list(islice(text, _LINES_PER_BATCH)):
+                    yield member.name, number, [line.rstrip("\r\n") for line in lines]
+                    number += len(lines)
+
+
+def _batch(path: str, runs: list[tuple[str, int, list[str]]]) -> pa.RecordBatch:
+    """The columns of some runs of one archive; names are written once per run and spread by number."""
+    sizes = np.array([len(lines) for _, _, lines in runs], np.int64)
+    rows = int(sizes.sum())
+    of_run = pa.array(np.repeat(np.arange(len(runs)), sizes))
+    starts = np.array([first for _, first, _ in runs], np.int64) - (np.cumsum(sizes) - sizes)
+    return pa.RecordBatch.from_arrays([
+        pa.array([path], pa.string()).take(pa.array(np.zeros(rows, np.int64))),
+        pa.array([name for name, _, _ in runs], pa.string()).take(of_run),
+        pa.array((np.repeat(starts, sizes) + np.arange(rows)).astype(np.int32)),
+        pa.array([line for _, _, lines in runs for line in lines], pa.string()),
+    ], names=["archive", "member", "line_no", "line"])
 
 
 def expand_archive_rows(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One row per line of every member of every archive: ``archive, member, line_no, line``."""
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, body in zip(batch[path], batch[content]):
-                block: list[tuple[str, str, int, str]] = []
-                for member, number, line in _members(bytes(body)):
-                    block.append((name, member, number, line))
-                    if len(block) == _LINES_PER_BATCH:
-                        yield pd.DataFrame(block, columns=["archive", "member", "line_no", "line"])
-                        block = []
-                yield pd.DataFrame(block, columns=["archive", "member", "line_no", "line"])
-
-    return archives.select(path, content).mapInPandas(
+            for name, body in zip(batch.column(0), batch.column(1)):
+                runs: list[tuple[str, int, list[str]]] = []
+                held = 0
+                for run in _members(body.as_py()):
+                    runs.append(run)
+                    held += len(run[2])
+                    if held >= _LINES_PER_BATCH:
+                        yield _batch(name.as_py(), runs)
+                        runs, held = [], 0
+                if runs:
+                    yield _batch(name.as_py(), runs)
+
+    return archives.select(path, content).mapInArrow(
         lines, "archive string, member string, line_no int, line string"
     )
 

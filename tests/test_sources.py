@@ -9,6 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from geoscore.plans.catalog import QUERIES
 from geoscore.sources import archives, delimited, fixed_width, polygons, sinks
 
 
@@ -154,3 +155,29 @@ def test_json_arrays_are_split(spark, tmp_path, size):
     finally:
         spark.conf.set(key, before)
     assert sorted((r.asDict(True) for r in got), key=lambda r: r["id"]) == rows
+
+
+def test_archive_members_hold_a_station_s_lines_together(spark, tmp_path, monkeypatch):
+    spark.range(30_000).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), (F.col("id") % 3_000).alias("l_suppkey"), F.lit(2.0).alias("l_quantity")
+    ).repartition(2).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    plain = archives.expand_archive_rows
+    monkeypatch.setattr(archives, "expand_archive_rows", lambda packed: seen.append(plain(packed)) or seen[-1])
+    got = QUERIES["expand_archives"](spark, str(tmp_path))
+    assert got.count() == 30_000 and got.where("member != concat('s', l_orderkey % 3000, '.op')").isEmpty()
+    # A new member begins with line 1. Only a station at the end of a range or of an archive is cut.
+    assert seen[0].where("line_no = 1").count() < 3_200
+
+
+def test_lines_of_a_long_member_are_numbered_on(spark):
+    body = io.BytesIO()
+    with tarfile.open(fileobj=body, mode="w:gz") as tar:
+        for name, text in (("a", "x\r\n" * 120_000), ("none", ""), ("b", "\nlast")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    rows = archives.expand_archive_rows(spark.createDataFrame([("p", bytearray(body.getvalue()))], "path string, content binary"))
+    a = rows.where("archive = 'p' AND member = 'a' AND line = 'x'").agg(F.countDistinct("line_no"), F.min("line_no"), F.max("line_no")).first()
+    assert tuple(a) == (120_000, 1, 120_000) and rows.count() == 120_002
+    assert sorted(map(tuple, rows.where("member = 'b'").select("line_no", "line").collect())) == [(1, ""), (2, "last")]
