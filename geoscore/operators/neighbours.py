@@ -4,15 +4,19 @@ Points are held in a tree that is cut at quantiles of the points themselves: a c
 own quarters (or half), and what equals a cut is a part of its own, so every crowded node gets smaller, however unevenly
 its points lie. All queries then walk down the tree together, one join per level: from the nodes still in play, the counts
 and tight boxes give a distance within which k points certainly lie, and every node whose nearest corner is farther is
-dropped. What is finally compared is a few small nodes per query. Repeated coordinates are one location with a count.
+dropped. What is finally compared is a few nodes per query: a block of queries with all locations of a node, in arrays,
+from which only the candidates come back as rows. Groups that fit one node are not cut or walked at all. Repeated
+coordinates are one location with a count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoscore.functions.geo import haversine_km, unit_vector
@@ -21,6 +25,8 @@ from geoscore.operators.skew import HOT_FLOOR, salted_join
 from geoscore.session import store_once
 
 LEVELS_PER_STORE = 2  # steps down between two written frontiers, which keeps plans short
+LEAF = 1024  # a node with no more locations than this is not cut
+BLOCK = 512  # queries that are compared with a node at once
 ACCURACY = 200  # of the quantiles; a part holds up to half a hundredth of its node more than its share
 
 
@@ -72,11 +78,10 @@ def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str],
     also = [c for c in dict.fromkeys(also) if c not in dims]
     boxed = [*dims, *also]
     payload = [c for c in payload if c not in [*by, *boxed]]
-    leaf = leaf or 8 << len(dims)  # a node with no more locations than this is not cut
+    leaf = leaf or LEAF
     marks = [0.25, 0.5, 0.75] if len(dims) <= 3 else [0.5]
-    left = store_once(
-        locations.select(*by, *boxed, F.col(count).cast("bigint").alias("_n"), *payload, F.lit("").alias("_path")), "locations"
-    )
+    left = locations.select(*by, *boxed, F.col(count).cast("bigint").alias("_n"), *payload, F.lit("").alias("_path"))
+    left = store_once(left.dropna(subset=by) if by else left, "locations")  # no query finds a group without a name
     columns = left.columns
     levels: list[DataFrame] = []
     placed: list[DataFrame] = []
@@ -85,10 +90,8 @@ def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str],
         now = store_once(left.groupBy(*node).agg(
             F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_locs"),
             *[F.min(c).alias("_min_" + c) for c in boxed], *[F.max(c).alias("_max_" + c) for c in boxed],
-            *[F.percentile_approx(F.col(c).cast("double"), marks, ACCURACY).alias("_cuts_" + c) for c in boxed],
         ), "nodes")
-        cuts = ["_cuts_" + c for c in boxed]
-        levels.append(now.drop(*cuts))
+        levels.append(now)
         crowded = now.where(F.col("_locs") > leaf)
         if crowded.isEmpty():
             placed.append(left)
@@ -97,7 +100,10 @@ def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str],
         for c in dims:
             differ = differ | (F.col("_min_" + c) < F.col("_max_" + c))
         none = F.lit(None).cast("array<double>")
-        split = crowded.select(
+        cuts = left.join(crowded.select(*node), node, "left_semi").groupBy(*node).agg(
+            *[F.percentile_approx(F.col(c).cast("double"), marks, ACCURACY).alias("_cuts_" + c) for c in boxed]
+        )
+        split = crowded.join(cuts, node).select(
             *[F.col(c).alias("_k_" + c) for c in node], F.lit(True).alias("_cut"), *["_cuts_" + c for c in dims],
             *[F.when(~differ, F.col("_cuts_" + c)).otherwise(none).alias("_cuts_" + c) for c in also],
         )
@@ -124,6 +130,70 @@ def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str],
     return Tree(by, boxed, payload, leaf, len(boxed), levels, places)
 
 
+def _candidates(k: int, dims: int, limited: int, metric: str) -> Callable[..., Column]:
+    """The places ``query * locations + location`` of the pairs in a block that may be among a query's k nearest.
+
+    Columns: the queries' coordinates, the locations', then per limited dimension the queries', the locations' and the limit.
+    A few pairs too many stay where a double does not hold a coordinate exactly; the caller tests them again.
+    """
+    def pick(row: Sequence[np.ndarray]) -> np.ndarray:
+        gaps = [np.abs(q[:, None] - p) for q, p in zip(row[:dims], row[dims : 2 * dims])]
+        total = reduce(np.maximum, gaps) if metric == "chebyshev" else np.sqrt(reduce(np.add, [g * g for g in gaps]))
+        inside, counted = None, total
+        for i in range(2 * dims, 2 * dims + 3 * limited, 3):
+            q, p, most = row[i][:, None], row[i + 1], row[i + 2][:, None]
+            gap, slack = np.abs(q - p), 1e-9 * (np.abs(q) + np.abs(p) + np.abs(most))
+            counted = np.where(gap <= most - slack, counted, np.inf)
+            fits = gap <= most + slack
+            inside = fits if inside is None else inside & fits
+        if total.shape[1] > k:
+            kth = np.partition(counted, k - 1, axis=1)[:, k - 1 : k]
+            slack = 1e-15 * dims * max(float(np.abs(x).max()) for x in row[: 2 * dims])
+            near = total <= kth * (1 + 1e-12) + 4 * slack
+        else:
+            near = np.ones(total.shape, bool)
+        return np.flatnonzero(near if inside is None else near & inside)
+
+    def picked(*columns: pd.Series) -> pd.Series:
+        return pd.Series([pick(row) for row in zip(*columns)], dtype=object)
+
+    picked.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    return F.pandas_udf(picked, "array<bigint>")
+
+
+def _compared(at_leaf: DataFrame, tree: Tree, q_cols: Sequence[str], k: int, dims: Sequence[str], metric: str,
+              within: Mapping[str, str], most: int) -> DataFrame:
+    """Pairs of a query and a location of its nodes, without those that have k nearer locations in the node.
+
+    Blocks are dealt to a stated number of tasks, since the comparisons, not the bytes read, are the work.
+    """
+    at = ["_q_" + c for c in tree.by] + ["_path"]
+    coordinates = list(dict.fromkeys([*dims, *within]))
+    tasks = int(at_leaf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = at_leaf.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("_blocks")).where(F.col("_blocks") > 1)
+    whole = F.coalesce("_blocks", F.lit(1))
+    queries = at_leaf.join(many, at, "left").withColumn("_block", F.pmod(F.xxhash64(*q_cols), whole).cast("int")) \
+        .repartition(tasks, *at, "_block").groupBy(*at, "_block").agg(F.collect_list(F.struct(*q_cols)).alias("_qs"))
+    placed = tree.places.select(
+        *[F.col(c).alias("_q_" + c) for c in tree.by], "_path",
+        F.struct(*[F.col(c).alias("_l_" + c) for c in coordinates], "_n", *[F.col(c).alias("_pl_" + c) for c in tree.payload]).alias("_l"),
+    )
+    locations = placed.join(many, at, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), whole - 1))) \
+        .repartition(tasks, *at, "_block").groupBy(*at, "_block").agg(F.collect_list("_l").alias("_ls"))
+
+    def values(side: str, c: str) -> Column:
+        return F.col(f"_{side}s")[f"_{side}_{c}"].cast("array<double>")
+
+    columns = [values(side, c) for side in "ql" for c in dims]
+    for c, limit in within.items():
+        columns += [values("q", c), values("l", c), values("q", limit)]
+    blocks = queries.join(locations, [*at, "_block"]).withColumn("_hits", _candidates(k, len(dims), len(within), metric)(*columns))
+    size = F.size("_ls")
+    return blocks.select(F.explode(F.transform("_hits", lambda h: F.struct(
+        F.get("_qs", ((h - h % size) / size).cast("int")).alias("q"), F.get("_ls", (h % size).cast("int")).alias("l")
+    ))).alias("_pair")).select("_pair.q.*", "_pair.l.*")
+
+
 def search(tree: Tree, queries: DataFrame, k: int, dims: Sequence[str], metric: str = "euclid",
            within: Mapping[str, str] | None = None, floor: int = HOT_FLOOR) -> DataFrame:
     """Per query location: every location with fewer than ``k`` points strictly nearer, so ties at the end all stay.
@@ -136,9 +206,11 @@ def search(tree: Tree, queries: DataFrame, k: int, dims: Sequence[str], metric:
     by, dims, within = tree.by, list(dims), dict(within or {})
     boxed = list(dict.fromkeys([*dims, *within]))
     q_key = list(dict.fromkeys([*by, *boxed, *within.values()]))
-    start = queries.select(*[F.col(c).alias("_q_" + c) for c in q_key])
     q_cols = ["_q_" + c for c in q_key]
+    start = queries.select(*[F.col(c).alias("_q_" + c) for c in q_key])
+    start = store_once(start.repartition(start.sparkSession.sparkContext.defaultParallelism, *q_cols), "queries")
     node_cols = tree.node_columns
+    tasks = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def prune(frontier: DataFrame) -> DataFrame:
         """Drop the nodes that cannot hold one of a query's k nearest. The bound found one level up already drops most
@@ -150,7 +222,7 @@ def search(tree: Tree, queries: DataFrame, k: int, dims: Sequence[str], metric:
             sure = sure & (F.greatest(F.abs(q - lo), F.abs(hi - q)) <= r)
         scored = frontier.withColumns({
             "_near": _nearest(dims, metric), "_far": F.when(sure, _farthest(dims, metric)).otherwise(F.lit(float("inf"))),
-        }).where(F.col("_near") <= F.col("_limit"))
+        }).where(F.col("_near") <= F.col("_limit")).repartition(tasks, *q_cols)  # few bytes, much work
         by_far = Window.partitionBy(*q_cols).orderBy("_far")
         reached = scored.withColumn("_cum", F.sum("_n").over(by_far)).withColumn(
             "_bound", F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(Window.partitionBy(*q_cols))
@@ -158,43 +230,51 @@ def search(tree: Tree, queries: DataFrame, k: int, dims: Sequence[str], metric:
         limit = F.least("_limit", "_bound")  # ignores a NULL bound: fewer than k points are in play
         return reached.where(F.col("_near") <= limit).select(*q_cols, *node_cols, limit.alias("_limit"))
 
-    tops = tree.levels[0]
-    if by:
-        roots = start.join(tops.withColumnsRenamed({c: "_q_" + c for c in by}), ["_q_" + c for c in by])
-    else:
-        roots = start.crossJoin(F.broadcast(tops))  # without groups the top of the tree is one row
-    frontier = prune(roots.withColumn("_limit", F.lit(float("inf"))))
-    depth = len(tree.levels) - 1
-    for level, below in enumerate(tree.levels[1:]):
-        # A hot parent (at the top all queries share one) meets a bounded number of children. The child side is small
-        # at the top, where Spark broadcasts it; below that a skewed parent is split by the adaptive skew join.
-        children = below.select(
-            *[F.col(c).alias("_k_" + c) for c in by], F.left("_path", F.lit(level * tree.step)).alias("_parent"),
-            F.lit(True).alias("_open"), *[F.col(c).alias("_n_" + c) for c in node_cols],
-        )
-        opened = frontier.withColumn("_open", (F.length("_path") == level * tree.step) & (F.col("_locs") > tree.leaf))
-        same = (opened["_open"] == children["_open"]) & (opened["_path"] == children["_parent"])
-        for c in by:
-            same = same & (opened["_q_" + c] == children["_k_" + c])
-        frontier = prune(opened.join(children, same, "left").select(
-            *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols], "_limit"
-        ))
-        if level % LEVELS_PER_STORE == LEVELS_PER_STORE - 1 or level == depth - 1:
-            frontier = store_once(frontier, "frontier")
-
-    at_leaf = frontier.select(*q_cols, *[F.col("_q_" + c).alias(c) for c in by], "_path")
-    placed = tree.places.select(
-        *by, "_path", *[F.col(c).alias("_l_" + c) for c in boxed], "_n", *[F.col(c).alias("_pl_" + c) for c in tree.payload],
-    )
-    pairs = salted_join(at_leaf, placed, [*by, "_path"], floor, right_bounded=True)
-    for c, limit in within.items():
-        pairs = pairs.where(F.abs(F.col("_l_" + c) - F.col("_q_" + c)) <= F.col("_q_" + limit))
-    pairs = pairs.withColumn("_d", _total([F.abs(F.col("_l_" + d) - F.col("_q_" + d)) for d in dims], metric))
+    def walk(frontier: DataFrame) -> DataFrame:
+        """Down from the tops to the leaves."""
+        frontier = prune(frontier)
+        depth = len(tree.levels) - 1
+        for level, below in enumerate(tree.levels[1:]):
+            # A hot parent (at the top all queries share one) meets a bounded number of children. The child side is small
+            # at the top, where Spark broadcasts it; below that a skewed parent is split by the adaptive skew join.
+            children = below.select(
+                *[F.col(c).alias("_k_" + c) for c in by], F.left("_path", F.lit(level * tree.step)).alias("_parent"),
+                F.lit(True).alias("_open"), *[F.col(c).alias("_n_" + c) for c in node_cols],
+            )
+            opened = frontier.withColumn("_open", (F.length("_path") == level * tree.step) & (F.col("_locs") > tree.leaf))
+            same = (opened["_open"] == children["_open"]) & (opened["_path"] == children["_parent"])
+            for c in by:
+                same = same & (opened["_q_" + c] == children["_k_" + c])
+            frontier = prune(opened.join(children, same, "left").select(
+                *q_cols, *[F.coalesce("_n_" + c, c).alias(c) for c in node_cols], "_limit"
+            ))
+            if level % LEVELS_PER_STORE == LEVELS_PER_STORE - 1 or level == depth - 1:
+                frontier = store_once(frontier, "frontier")
+        return frontier
+
+    def compared(at_leaf: DataFrame) -> DataFrame:
+        pairs = _compared(at_leaf, tree, q_cols, k, dims, metric, within, min(floor, BLOCK))
+        for c, limit in within.items():
+            pairs = pairs.where(F.abs(F.col("_l_" + c) - F.col("_q_" + c)) <= F.col("_q_" + limit))
+        return pairs.withColumn("_d", _total([F.abs(F.col("_l_" + d) - F.col("_q_" + d)) for d in dims], metric))
+
+    by_distance = Window.partitionBy(*q_cols).orderBy("_d")
+    upto = by_distance.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at_leaf = start.withColumn("_path", F.lit(""))
+    if len(tree.levels) > 1:
+        tops = tree.levels[0]
+        if by:
+            roots = start.join(tops.withColumnsRenamed({c: "_q_" + c for c in by}), ["_q_" + c for c in by])
+        else:
+            roots = start.crossJoin(F.broadcast(tops))  # without groups the top of the tree is one row
+        crowded = F.col("_locs") > tree.leaf
+        tall = roots.where(crowded)
+        left = walk(tall.withColumn("_limit", F.lit(float("inf"))))
+        at_leaf = roots.where(~crowded).select(*q_cols, "_path").unionByName(left.select(*q_cols, "_path"))
+    pairs = compared(at_leaf)
     # Every location stands for at least one point, so one with k nearer locations is out. Spark applies this rank limit
     # inside each task before the shuffle; the exact test on point counts is left to the few rows that remain.
-    by_distance = Window.partitionBy(*q_cols).orderBy("_d")
     pairs = pairs.withColumn("_r", F.rank().over(by_distance)).where(F.col("_r") <= k).drop("_r")
-    upto = by_distance.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     level_with = Window.partitionBy(*q_cols, "_d")
     closer = F.sum("_n").over(upto) - F.sum("_n").over(level_with)
     return pairs.withColumn("_closer", closer).where(F.col("_closer") < k).select(

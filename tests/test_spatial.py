@@ -313,3 +313,18 @@ def test_sides_that_meet_in_one_spot(spark):
     points = spark.createDataFrame([(i, float(y), float(x)) for i, (x, y) in enumerate(spots)], "p long, lat double, lon double")
     got = {r["p"] for r in S.polygon_point_pairs(points, areas, "p", "area").collect()}
     assert got == {i for i, (x, y) in enumerate(spots) if inside([fan], x, y)}
+
+
+def test_groups_that_fit_a_node_are_compared_in_blocks(spark):
+    """No cuts and no way down for them; a spot without a group is met by no query; ties at the end all stay."""
+    rows = [(g, i % 37, i // 37, float(i % 5)) for g in (1, 2, None) for i in range(500)]
+    known = spark.createDataFrame(rows, "g long, x int, y int, v double").withColumn("_n", F.lit(1))
+    tree = K.quantile_tree(known, ["g"], ["x", "y"], payload=["v"])
+    assert len(tree.levels) == 1 and tree.places.where("g IS NULL").isEmpty()
+    queries = spark.createDataFrame([(1, 5, 5), (2, -9, 40), (3, 1, 1), (None, 1, 1)], "g long, x int, y int")
+    got = sorted(tuple(r) for r in K.search(tree, queries, 4, ["x", "y"], floor=1).select("_q_g", "_l_x", "_l_y", "v", "_d").collect())
+    want = []
+    for g, x, y in ((1, 5, 5), (2, -9, 40)):
+        near = sorted((b - x) ** 2 + (c - y) ** 2 for a, b, c, _ in rows if a == g)
+        want += [(g, b, c, v, (b - x) ** 2 + (c - y) ** 2) for a, b, c, v in rows if a == g and (b - x) ** 2 + (c - y) ** 2 <= near[3]]
+    assert got == sorted(want)
