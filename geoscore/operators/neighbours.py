@@ -5,8 +5,9 @@ own quarters (or half), and what equals a cut is a part of its own, so every cro
 its points lie. All queries then walk down the tree together, one join per level: from the nodes still in play, the counts
 and tight boxes give a distance within which k points certainly lie, and every node whose nearest corner is farther is
 dropped. What is finally compared is a few nodes per query: a block of queries with all locations of a node, in arrays,
-from which only the candidates come back as rows. Groups that fit one node are not cut or walked at all. Repeated
-coordinates are one location with a count.
+from which only the candidates come back as rows. Inside a large block, bunches of queries are compared with cells of
+locations, nearest cells first, and only with the cells that the distance found there leaves. Groups that fit one node are
+not cut or walked at all. Repeated coordinates are one location with a count.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from geoscore.session import store_once
 LEVELS_PER_STORE = 2  # steps down between two written frontiers, which keeps plans short
 LEAF = 1024  # a node with no more locations than this is not cut
 BLOCK = 512  # queries that are compared with a node at once
+WIDE_DIMS = 4  # from here on boxes prune so little that walking costs more than comparing: nodes and blocks are larger
+WIDE_LEAF, WIDE_BLOCK = 32_768, 2048
+CELL, BUNCH = 256, 64  # locations and queries that are looked at together inside a large block
 ACCURACY = 200  # of the quantiles; a part holds up to half a hundredth of its node more than its share
 
 
@@ -78,7 +82,7 @@ def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str],
     also = [c for c in dict.fromkeys(also) if c not in dims]
     boxed = [*dims, *also]
     payload = [c for c in payload if c not in [*by, *boxed]]
-    leaf = leaf or LEAF
+    leaf = leaf or (LEAF if len(dims) < WIDE_DIMS else WIDE_LEAF)
     marks = [0.25, 0.5, 0.75] if len(dims) <= 3 else [0.5]
     left = locations.select(*by, *boxed, F.col(count).cast("bigint").alias("_n"), *payload, F.lit("").alias("_path"))
     left = store_once(left.dropna(subset=by) if by else left, "locations")  # no query finds a group without a name
@@ -130,29 +134,72 @@ def quantile_tree(locations: DataFrame, by: Sequence[str], dims: Sequence[str],
     return Tree(by, boxed, payload, leaf, len(boxed), levels, places)
 
 
+def _together(row: Sequence[np.ndarray], most: int) -> list[np.ndarray]:
+    """The places of the points with these coordinates, cut at medians of the widest dimension into parts of up to ``most``."""
+    out, left = [], [np.arange(len(row[0]))]
+    while left:
+        part = left.pop()
+        if len(part) <= most:
+            out.append(part)
+            continue
+        widest = max((x[part] for x in row), key=np.ptp)
+        order = np.argpartition(widest, len(part) // 2)
+        left += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+    return out
+
+
 def _candidates(k: int, dims: int, limited: int, metric: str) -> Callable[..., Column]:
     """The places ``query * locations + location`` of the pairs in a block that may be among a query's k nearest.
 
     Columns: the queries' coordinates, the locations', then per limited dimension the queries', the locations' and the limit.
     A few pairs too many stay where a double does not hold a coordinate exactly; the caller tests them again.
     """
-    def pick(row: Sequence[np.ndarray]) -> np.ndarray:
-        gaps = [np.abs(q[:, None] - p) for q, p in zip(row[:dims], row[dims : 2 * dims])]
-        total = reduce(np.maximum, gaps) if metric == "chebyshev" else np.sqrt(reduce(np.add, [g * g for g in gaps]))
+    def combined(gaps: Sequence[np.ndarray]) -> np.ndarray:
+        return reduce(np.maximum, gaps) if metric == "chebyshev" else np.sqrt(reduce(np.add, [g * g for g in gaps]))
+
+    def part(row: Sequence[np.ndarray], queries: np.ndarray, locations: np.ndarray) -> list[np.ndarray]:
+        """The block's columns for some of its queries and locations."""
+        of = [queries] * dims + [locations] * dims + [queries, locations, queries] * limited
+        return [x[places] for x, places in zip(row, of)]
+
+    def compare(row: Sequence[np.ndarray], slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs may be wanted, and up to which distance those of each query lie."""
+        total = combined([np.abs(q[:, None] - p) for q, p in zip(row[:dims], row[dims : 2 * dims])])
         inside, counted = None, total
         for i in range(2 * dims, 2 * dims + 3 * limited, 3):
             q, p, most = row[i][:, None], row[i + 1], row[i + 2][:, None]
-            gap, slack = np.abs(q - p), 1e-9 * (np.abs(q) + np.abs(p) + np.abs(most))
-            counted = np.where(gap <= most - slack, counted, np.inf)
-            fits = gap <= most + slack
+            gap, spare = np.abs(q - p), 1e-9 * (np.abs(q) + np.abs(p) + np.abs(most))
+            counted = np.where(gap <= most - spare, counted, np.inf)
+            fits = gap <= most + spare
             inside = fits if inside is None else inside & fits
         if total.shape[1] > k:
-            kth = np.partition(counted, k - 1, axis=1)[:, k - 1 : k]
-            slack = 1e-15 * dims * max(float(np.abs(x).max()) for x in row[: 2 * dims])
-            near = total <= kth * (1 + 1e-12) + 4 * slack
+            upto = np.partition(counted, k - 1, axis=1)[:, k - 1 : k] * (1 + 1e-12) + 4 * slack
+            near = total <= upto
         else:
+            upto = np.full((len(total), 1), np.inf)
             near = np.ones(total.shape, bool)
-        return np.flatnonzero(near if inside is None else near & inside)
+        return near if inside is None else near & inside, upto
+
+    def pick(row: Sequence[np.ndarray]) -> np.ndarray:
+        n_locations = len(row[dims])
+        slack = 1e-15 * dims * max(float(np.abs(x).max()) for x in row[: 2 * dims])
+        if n_locations <= LEAF:
+            return np.flatnonzero(compare(row, slack)[0])
+        at = row[dims : 2 * dims]
+        cells = _together(at, CELL)
+        boxes = [(np.array([x[c].min() for c in cells]), np.array([x[c].max() for c in cells])) for x in at]
+        out = []
+        for bunch in _together(row[:dims], BUNCH):
+            near = combined([np.maximum(np.maximum(low - q[bunch, None], q[bunch, None] - high), 0.0)
+                             for q, (low, high) in zip(row[:dims], boxes)])
+            first = np.argsort(near.max(axis=0))
+            enough = 1 + int(np.searchsorted(np.cumsum([len(cells[c]) for c in first]), k, side="right"))
+            upto = compare(part(row, bunch, np.concatenate([cells[c] for c in first[:enough]])), slack)[1]
+            reached = np.flatnonzero((near <= upto + 4 * slack).any(axis=0))
+            some = np.concatenate([cells[c] for c in reached])
+            q, p = np.nonzero(compare(part(row, bunch, some), slack)[0])
+            out.append(bunch[q] * n_locations + some[p])
+        return np.concatenate(out)
 
     def picked(*columns: pd.Series) -> pd.Series:
         return pd.Series([pick(row) for row in zip(*columns)], dtype=object)
@@ -253,7 +300,8 @@ def search(tree: Tree, queries: DataFrame, k: int, dims: Sequence[str], metric:
         return frontier
 
     def compared(at_leaf: DataFrame) -> DataFrame:
-        pairs = _compared(at_leaf, tree, q_cols, k, dims, metric, within, min(floor, BLOCK))
+        most = BLOCK if len(dims) < WIDE_DIMS else WIDE_BLOCK
+        pairs = _compared(at_leaf, tree, q_cols, k, dims, metric, within, min(floor, most))
         for c, limit in within.items():
             pairs = pairs.where(F.abs(F.col("_l_" + c) - F.col("_q_" + c)) <= F.col("_q_" + limit))
         return pairs.withColumn("_d", _total([F.abs(F.col("_l_" + d) - F.col("_q_" + d)) for d in dims], metric))

@@ -149,6 +149,33 @@ def test_pooled_impute_keeps_all_rows(spark):
     assert got == {0.0: (1.0, 2.0), 1.0: (1.0, 2.0), 5.0: (4.0, 8.0)}
 
 
+@pytest.mark.parametrize("metric, k", [("euclid", 5), ("chebyshev", 3), ("euclid", 1700)])
+@pytest.mark.parametrize("limited", [False, True])
+def test_wide_pools_are_one_node_with_cells(spark, metric, k, limited):
+    """Four dimensions: nothing is walked, and cells that are left out hold no neighbour, ties and far queries included."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    dims = ["lat", "lon", "yday", "year"]
+    p = np.unique(np.stack([rng.integers(-9, 9, 1800), rng.integers(-18, 18, 1800), rng.integers(1, 5, 1800) * 30, rng.integers(2000, 2004, 1800)], 1), axis=0)
+    q = np.unique(np.concatenate([p[:70], p[:70] + [0, 0, 7, 0], rng.integers(-500, 3000, (30, 4))]), axis=0)
+    kinds = "lat double, lon double, yday double, year double"
+    points_ = spark.createDataFrame([(*map(float, x), 1) for x in p], kinds + ", _n long")
+    queries_ = spark.createDataFrame([(*map(float, x), 0.5 + n % 3) for n, x in enumerate(q)], kinds + ", most double")
+    tree = K.quantile_tree(points_, [], dims)
+    assert len(p) > K.LEAF and len(tree.levels) == 1
+    found = K.search(tree, queries_, k, dims, metric, {"year": "most"} if limited else None).collect()
+    got = {}
+    for r in found:
+        got.setdefault(tuple(r["_q_" + c] for c in dims), set()).add(tuple(r["_l_" + c] for c in dims))
+    for n, x in enumerate(q):
+        gaps = np.abs(p - x)
+        inside = gaps[:, 3] <= 0.5 + n % 3 if limited else np.ones(len(p), bool)
+        far = gaps[inside].max(axis=1) if metric == "chebyshev" else (gaps[inside] ** 2).sum(axis=1)
+        upto = np.sort(far)[k - 1] if len(far) >= k else np.inf
+        assert got.get(tuple(map(float, x)), set()) == {tuple(map(float, y)) for y in p[inside][far <= upto]}
+
+
 def test_linear_fit_and_its_degenerate_forms(spark):
     import numpy as np
 
