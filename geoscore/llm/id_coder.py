@@ -3,12 +3,13 @@
 For each id three predictions are mixed: the id that last followed the same two ids (order 2), the one that last followed
 the same id (order 1), and the frequencies so far (order 0). How far each of the first two is trusted is learned for each
 level of its confidence, the number of times in a row that its context was right. The mix gives a part of the coder's range
-to either prediction and the rest to all ids by the frequency of their group, evenly within a group, so an id takes one step
-of the coder. Every block starts from the same empty model and is decoded by itself.
+to either prediction and the rest to all ids by the frequency of their group, evenly within a group. Every block starts from
+the same empty model and is decoded by itself.
 
-All that the model says depends on the ids before, so the encoder works it out for a whole block at once: what a context
-saw last by one stable sort, levels and trust by sums. Only the coder's range goes step by step, and in the decoder the
-model too; blocks then go side by side, one id of each at a time.
+Blocks go side by side, one id of each at a time; writer and reader step the same model. Contexts learn at every id, trust
+and frequencies after rounds of ids. Frequencies are parts of ``PLACES`` and a table per block says whose part each place is,
+so no group is searched for. The coder's numbers are whole and below 2 ** 48, where doubles reckon exactly. Steps write into
+arrays made once, since making them takes longer than what is reckoned.
 """
 
 from __future__ import annotations
@@ -18,310 +19,300 @@ from functools import lru_cache
 
 import numpy as np
 
-U = np.uint64
-TOTAL = 16  # bits of a probability
-MOST_HIT = 3 << (TOTAL - 2)  # most that both predictions together may take of the range
-MOST_FIRST = 63_000  # most that order 1 may take of what order 2 leaves
-SLOTS = 2048  # of the tables of order 1 and 2
+WHOLE = 1 << 16  # of the range that predictions take parts of
+MOST_HIT = 15 << 12  # most that both predictions together may take of it
+SLOTS = 1024  # of the tables of order 1 and 2, a power of two
 LEVELS = 4
 # Hits and tries, in sixteenths, that each level of confidence starts with.
 START1, START2, START_TRIES = np.array([2, 18, 40, 61]), np.array([3, 42, 83, 120]), 128
-SINGLES, WIDTH_BITS = 256, 8  # ids with a frequency of their own; width of the groups above
-FINE = TOTAL + WIDTH_BITS  # bits of the finest share of the range
-LEAST = 4  # least share of a group, so that no id is left without a share
-RENEW = 256  # ids between two updates of the frequencies
+SINGLES, WIDTH = 256, 256  # ids with a frequency of their own; least width of the groups above
+PLACES = 1 << 12  # parts that the frequencies are given in
+SPAN_BITS = PLACES.bit_length()
 GAIN = 24  # what an id adds to its group's frequency
-COARSE = 8  # bits of a place that the first look for its group leaves out
-FULL, LOW32, TINY = U(0xFFFFFFFFFFFFFFFF), U(1 << 32), U(1 << 28)
+ROUND, LAST_ROUND = 64, 512  # ids between two updates of trust and frequencies, at first and at last
+WORD, TINY, TOP = float(1 << 16), float(1 << 32), float(1 << 48)  # what leaves the coder at once; least and most of its range
 
 
-def _groups(vocabulary: int) -> int:
-    return min(vocabulary, SINGLES) + max(0, -(-(vocabulary - SINGLES) >> WIDTH_BITS))
+def _width(vocabulary: int) -> int:
+    """Ids in a group; many ids have wider groups, so that there are always far fewer groups than places."""
+    width = WIDTH
+    while SINGLES + vocabulary // width >= PLACES // 2:
+        width *= 2
+    return width
 
 
-def _group(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids >= SINGLES, SINGLES + ((ids - SINGLES) >> WIDTH_BITS), ids)
+def _group(ids: np.ndarray, width: int) -> np.ndarray:
+    return np.where(ids >= SINGLES, SINGLES + (ids - SINGLES) // width, ids)
 
 
-def _slots(last1: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table places of order 1 and 2 for the two ids before."""
-    by_last = last1 * 40503
-    return (by_last >> 4) % SLOTS, ((by_last + last2 * 25253) >> 3) % SLOTS
-
-
-class _Frequencies:
-    """Order 0: shares of the groups in each lane, worked out anew every RENEW ids."""
-
-    def __init__(self, lanes: int, vocabulary: int):
-        self.n_groups = _groups(vocabulary)
-        self.counts = np.ones((lanes, self.n_groups), np.int64)
-        self.counts[:, SINGLES:] = 2
-        self.places = np.arange(lanes) * (self.n_groups + 1)
-        self.renew()
-
-    def renew(self) -> None:
-        spare = (1 << TOTAL) - LEAST * self.n_groups
-        shares = self.counts * spare // self.counts.sum(axis=1, keepdims=True) + LEAST
-        ends = np.zeros((len(shares), self.n_groups + 1), np.int64)
-        np.cumsum(shares, axis=1, out=ends[:, 1:])
-        ends[:, -1] = 1 << TOTAL
-        self.ends = ends.reshape(-1)
-
-    def add(self, groups: np.ndarray) -> None:
-        """``groups``: one row per step, one column per lane."""
-        lanes = np.arange(groups.shape[1]) * self.n_groups
-        self.counts += GAIN * np.bincount((groups + lanes).reshape(-1), minlength=self.counts.size).reshape(self.counts.shape)
-
-    def span(self, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids' shares begin and end, in the finest places."""
-        return self._span(self.places, ids, groups)
-
-    def span_of(self, lanes: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._span(self.places[lanes], ids, groups)
-
-    def _span(self, places: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = places + groups
-        start, end = self.ends.take(at), self.ends.take(at + 1)
-        big = ids >= SINGLES
-        share = end - start
-        begin = (start << WIDTH_BITS) + np.where(big, ((ids - SINGLES) & ((1 << WIDTH_BITS) - 1)) * share, 0)
-        return begin, np.where(big, begin + share, end << WIDTH_BITS)
-
-
-def _trust(hits: np.ndarray, tries: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
-    # Division of doubles rounds alike everywhere, so both sides come to the same number.
-    return 1 + (most * (16 * hits + start) / (16 * tries + START_TRIES)).astype(np.int64)
-
-
-def _first(trust: np.ndarray, a2: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """Share of the range for order 1, behind that of order 2; none if both say the same, else never none."""
-    a1 = np.minimum(1 + (((1 << TOTAL) - a2) * trust >> TOTAL), MOST_HIT - a2)
-    return np.where(p1 == p2, 0, a1)
-
-
-def _behind(place: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """A finest place in the part of the range that both predictions leave."""
-    return (head << WIDTH_BITS) + (place * ((1 << TOTAL) - head) >> TOTAL)
-
-
-def _seen(ids: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a block: the id that its slot saw last (0: none), and how often in a row the slot was right."""
-    order = np.argsort(slots.astype(np.uint16), kind="stable")
-    sorted_slots, sorted_ids, k = slots[order], ids[order], np.arange(len(ids))
-    first = np.append(True, sorted_slots[1:] != sorted_slots[:-1])
-    said = np.where(first, 0, np.append(0, sorted_ids[:-1]))
-    begins = np.maximum.accumulate(np.where(first, k, 0))
-    wrong = np.maximum.accumulate(np.where(said != sorted_ids, k, -1))
-    level = np.minimum(k - 1 - np.maximum(np.append(-1, wrong[:-1]), begins - 1), LEVELS - 1)
-    p, levels = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-    p[order], levels[order] = said, level
-    return p, levels
-
-
-def _learned(levels: np.ndarray, hit: np.ndarray, counts: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
-    """Trust at each place of a block, from the tries (where ``counts``) and hits of its level before."""
-    order = np.argsort(levels.astype(np.uint8), kind="stable")
-    tried, sorted_levels = counts[order], levels[order]
-    right = tried & hit[order]
-    tries, hits = np.cumsum(tried) - tried, np.cumsum(right) - right
-    # Sums begin anew where a level begins.
-    begins = np.minimum(np.searchsorted(sorted_levels, np.arange(LEVELS)), len(levels) - 1)
-    tries, hits = tries - tries[begins][sorted_levels], hits - hits[begins][sorted_levels]
-    out = np.empty(len(levels), np.int64)
-    out[order] = _trust(hits, tries, start[sorted_levels], most)
+def _rounds(steps: int) -> list[tuple[int, int]]:
+    """Rounds of ids, which grow with what was seen before."""
+    out, begin = [], 0
+    while begin < steps:
+        end = min(steps, begin + min(max(begin, ROUND), LAST_ROUND))
+        out.append((begin, end))
+        begin = end
     return out
 
 
-def _predicted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each id of a block: the shares of order 2 and 1, and which of them is right (2, 1 or 0)."""
-    last1 = np.append(0, ids[:-1])
-    last2 = np.append(0, last1[:-1])
-    slots1, slots2 = _slots(last1, last2)
-    (p1, level1), (p2, level2) = _seen(ids, slots1), _seen(ids, slots2)
-    hit2, hit1 = p2 == ids, p1 == ids
-    a2 = _learned(level2, hit2, np.ones(len(ids), bool), START2, MOST_HIT - 200)
-    a1 = _first(_learned(level1, hit1, ~hit2 & (p1 != p2), START1, MOST_FIRST), a2, p1, p2)
-    return a2, a1, np.where(hit2, 2, np.where(hit1, 1, 0))
-
-
 class _Model:
-    """The same model one id at a time, for the decoder."""
-
-    def __init__(self, lanes: int, vocabulary: int):
-        self.rows = np.arange(lanes)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.base, self.cells = self.rows * SLOTS, self.rows * LEVELS
-        self.ids1, self.ids2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.level1, self.level2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
-        self.start1, self.start2 = np.tile(START1, lanes), np.tile(START2, lanes)
+    """What all three orders say of the next id of every lane."""
+
+    def __init__(self, lanes: int, vocabulary: int, searched: bool):
+        self.lanes, self.group_width, self.searched = lanes, _width(vocabulary), searched
+        self.n_groups = int(_group(np.array(vocabulary - 1), self.group_width)) + 1
+        rows = np.arange(lanes)
+        self.slots, self.cells = rows * SLOTS, rows * LEVELS
+        self.held1, self.held2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # LEVELS * id + level
+        self.last, self.mixed = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)  # the last id, and that before times a constant
         self.hits1, self.hits2, self.tries1, self.tries2 = (np.zeros(lanes * LEVELS, np.int64) for _ in range(4))
-        self.order0 = _Frequencies(lanes, vocabulary)
-        self.groups: list[np.ndarray] = []
-        self._look()
-
-    def _look(self) -> None:
-        """For every coarse place of every lane, the group that it lies in."""
-        f = self.order0
-        coarse = 1 << (TOTAL - COARSE)
-        inner = f.ends.reshape(len(self.rows), -1)[:, 1:]
-        at = ((inner + (1 << COARSE) - 1) >> COARSE) + (self.rows * (coarse + 1))[:, None]
-        seen = np.bincount(at.reshape(-1), minlength=len(self.rows) * (coarse + 1)).reshape(len(self.rows), -1)
-        self.first_group = np.minimum(np.cumsum(seen, axis=1), f.n_groups - 1).reshape(-1)
-        self.coarse_rows = self.rows * (coarse + 1)
+        self.group_rows, self.place_rows = rows * self.n_groups, rows * PLACES
+        self.counts = np.ones((lanes, self.n_groups))
+        self.counts[:, SINGLES:] = 2
+        numbers = np.arange(self.n_groups)
+        self.first_id = np.where(numbers >= SINGLES, SINGLES + (numbers - SINGLES) * self.group_width, numbers).astype(float)
+        self.width = np.where(numbers >= SINGLES, float(self.group_width), 1.0)
+        self.seen1, self.seen2 = (np.zeros((LAST_ROUND, lanes), np.int32) for _ in range(2))
+        self.k = 0
+        self.at1, self.at2, self.cell = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.p1, self.p2, self.new, self.plain, self.surest = (np.zeros(lanes, np.int32) for _ in range(5))
+        self.second, self.both, self.left = (np.zeros(lanes) for _ in range(3))
+        self.flag = np.zeros(lanes, bool)
+        self._renew()
+
+    def _renew(self) -> None:
+        self.share2 = 1 + np.floor((MOST_HIT - 200) * self._ratio(self.hits2, self.tries2, START2))
+        self.share1 = self._ratio(self.hits1, self.tries1, START1)
+        # Every group has one place at least, the rest go by counts.
+        ends = np.zeros((self.lanes, self.n_groups + 1), np.int32)
+        sums = np.cumsum(self.counts, axis=1)
+        ends[:, 1:] = sums * ((PLACES - self.n_groups) / sums[:, -1:])
+        ends[:, -1] = PLACES - self.n_groups
+        ends += np.arange(self.n_groups + 1, dtype=np.int32)
+        sizes = ends[:, 1:] - ends[:, :-1]
+        self.spans = (ends[:, :-1] * (2 * PLACES) + sizes).reshape(-1)  # where the group's places begin, and how many
+        if self.searched:
+            self.group_at = np.repeat(np.tile(np.arange(self.n_groups, dtype=np.uint16), self.lanes), sizes.reshape(-1))
+
+    @staticmethod
+    def _ratio(hits: np.ndarray, tries: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return (16 * hits + np.tile(start, len(hits) // LEVELS)) / (16 * tries + START_TRIES)
 
     def predict(self) -> None:
-        at1, at2 = _slots(self.last1, self.last2)
-        self.at1, self.at2 = self.base + at1, self.base + at2
-        self.p1, self.p2 = self.ids1.take(self.at1), self.ids2.take(self.at2)
-        self.w1, self.w2 = self.cells + self.level1.take(self.at1), self.cells + self.level2.take(self.at2)
-        self.a2 = _trust(self.hits2.take(self.w2), self.tries2.take(self.w2), self.start2.take(self.w2), MOST_HIT - 200)
-        trust = _trust(self.hits1.take(self.w1), self.tries1.take(self.w1), self.start1.take(self.w1), MOST_FIRST)
-        self.a1 = _first(trust, self.a2, self.p1, self.p2)
-        self.head = self.a2 + self.a1
-
-    def find(self, value: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and groups of some lanes, for places behind both predictions."""
-        head, f = self.head[lanes], self.order0
-        inner = np.maximum(value - (head << WIDTH_BITS), 0)
-        # Whole numbers this small are divided exactly as doubles, and faster.
-        place = np.minimum(((((inner + 1) << TOTAL) - 1) / ((1 << TOTAL) - head)).astype(np.int64), (1 << FINE) - 1)
-        whole, row = place >> WIDTH_BITS, f.places[lanes]
-        at = self.coarse_rows[lanes] + (whole >> COARSE)
-        low, high = self.first_group.take(at), self.first_group.take(at + 1)
-        # The group is the last one that begins at or before the place.
-        while (low < high).any():
-            middle = (low + high + 1) >> 1
-            begun = f.ends.take(row + middle) <= whole
-            low, high = np.where(begun, middle, low), np.where(begun, high, middle - 1)
-        start = f.ends.take(row + low)
-        offset = ((place - (start << WIDTH_BITS)) / (f.ends.take(row + low + 1) - start)).astype(np.int64)
-        return np.where(low >= SINGLES, SINGLES + ((low - SINGLES) << WIDTH_BITS) + offset, low), low
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, groups: np.ndarray) -> None:
-        right1 = self.p1 == ids
-        self.tries2[self.w2] += 1
-        self.hits2[self.w2] += hit2
-        tried = ~hit2 & (self.p1 != self.p2)
-        self.tries1[self.w1] += tried
-        self.hits1[self.w1] += tried & right1
-        self.level1[self.at1] = np.where(right1, np.minimum(self.w1 - self.cells + 1, LEVELS - 1), 0)
-        self.level2[self.at2] = np.where(hit2, np.minimum(self.w2 - self.cells + 1, LEVELS - 1), 0)
-        self.ids1[self.at1] = ids
-        self.ids2[self.at2] = ids
-        self.groups.append(groups)
-        self.last2, self.last1 = self.last1, ids
-        if len(self.groups) == RENEW:
-            self.order0.add(np.stack(self.groups))
-            self.order0.renew()
-            self._look()
-            self.groups = []
-
-
-class _Encoder:
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
-        self.out, self.n = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
-
-    def put(self, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range >> U(FINE)
-        self.low += unit * start
-        self.range = unit * size
-        settled = (self.low ^ (self.low + self.range)) < LOW32
-        ready = np.flatnonzero(settled | (self.range < TINY))
-        if len(ready):
-            low, width = self.low[ready], self.range[ready]
-            width = np.where(settled[ready], width, (U(0) - low) & (TINY - U(1)))
-            self.out[ready, self.n[ready]] = low >> U(32)
-            self.n[ready] += 1
-            self.low[ready], self.range[ready] = low << U(32), width << U(32)
-
-    def finish(self) -> list[bytes]:
-        rows = np.arange(len(self.low))
-        for _ in range(2):
-            self.out[rows, self.n] = self.low >> U(32)
-            self.n += 1
-            self.low = self.low << U(32)
-        return [row[:n].astype("<u4").tobytes() for row, n in zip(self.out, self.n)]
-
-
-class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        words = [np.frombuffer(p, "<u4") for p in payloads]
-        self.words = np.zeros((len(words), max(map(len, words)) + 2), np.uint64)
-        for i, w in enumerate(words):
-            self.words[i, : len(w)] = w
-        self.at = np.full(len(words), 2)
-        self.low, self.range = np.zeros(len(words), np.uint64), np.full(len(words), FULL)
-        self.code = (self.words[:, 0] << U(32)) | self.words[:, 1]
-
-    def value(self) -> np.ndarray:
-        self.unit = self.range >> U(FINE)
-        return np.minimum((self.code - self.low) // self.unit, U((1 << FINE) - 1)).astype(np.int64)
-
-    def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        self.low += self.unit * start
-        self.range = self.unit * size
-        settled = (self.low ^ (self.low + self.range)) < LOW32
-        ready = np.flatnonzero(settled | (self.range < TINY))
-        if len(ready):
-            low, width = self.low[ready], self.range[ready]
-            width = np.where(settled[ready], width, (U(0) - low) & (TINY - U(1)))
-            at = np.minimum(self.at[ready], self.words.shape[1] - 1)
-            self.code[ready] = (self.code[ready] << U(32)) | self.words[ready, at]
-            self.at[ready] += 1
-            self.low[ready], self.range[ready] = low << U(32), width << U(32)
+        new, first, second, left = self.new, self.both, self.second, self.left
+        np.multiply(self.last, np.int32(40503), out=new)
+        np.right_shift(new, 4, out=self.plain)
+        self.plain &= SLOTS - 1
+        np.add(self.plain, self.slots, out=self.at1)
+        new += self.mixed
+        new >>= 3
+        new &= SLOTS - 1
+        np.add(new, self.slots, out=self.at2)
+        self.now1, self.now2 = self.seen1[self.k], self.seen2[self.k]
+        for held, at, now, said, share, out in (
+            (self.held1, self.at1, self.now1, self.p1, self.share1, first), (self.held2, self.at2, self.now2, self.p2, self.share2, second),
+        ):
+            held.take(at, out=now, mode="clip")
+            np.right_shift(now, 2, out=said)
+            np.bitwise_and(now, LEVELS - 1, out=new)
+            np.add(new, self.cells, out=self.cell)
+            share.take(self.cell, out=out, mode="clip")
+        # Order 1 has a share of what order 2 leaves, none if both say the same.
+        np.subtract(WHOLE, second, out=left)
+        first *= left
+        np.floor(first, out=first)
+        first += 1
+        np.subtract(MOST_HIT, second, out=left)
+        np.minimum(first, left, out=first)
+        np.equal(self.p1, self.p2, out=self.flag)
+        np.copyto(first, 0, where=self.flag)
+        first += second  # now that of both
+
+    def parts(self, width: np.ndarray, end2: np.ndarray, end1: np.ndarray, unit: np.ndarray) -> None:
+        """Of the coder's range: where the parts of order 2 and of both predictions end, and one place of what is left."""
+        np.multiply(width, 1 / WHOLE, out=unit)
+        np.floor(unit, out=unit)
+        np.multiply(unit, self.second, out=end2)
+        np.multiply(unit, self.both, out=end1)
+        np.subtract(width, end1, out=unit)
+        unit *= 1 / PLACES
+        np.floor(unit, out=unit)
+
+    def update(self, ids: np.ndarray) -> None:
+        np.left_shift(ids, 2, out=self.plain)
+        np.add(self.plain, LEVELS - 1, out=self.surest)
+        for held, at, now, said in ((self.held1, self.at1, self.now1, self.p1), (self.held2, self.at2, self.now2, self.p2)):
+            np.add(now, 1, out=self.new)
+            np.minimum(self.new, self.surest, out=self.new)
+            np.not_equal(said, ids, out=self.flag)
+            np.copyto(self.new, self.plain, where=self.flag)
+            held[at] = self.new
+        np.multiply(self.last, np.int32(25253), out=self.mixed)
+        self.last = ids
+        self.k += 1
+
+    def end_round(self, ids: np.ndarray, groups: np.ndarray) -> None:
+        """``ids`` and their ``groups``: one row per step of the round, one column per lane."""
+        n = len(self.tries2)
+        for k in range(0, self.k, ROUND):
+            now = slice(k, min(k + ROUND, self.k))
+            seen1, seen2 = self.seen1[now], self.seen2[now]
+            p1, p2 = seen1 >> 2, seen2 >> 2
+            hit2 = p2 == ids[now]
+            asked = (p1 != p2) & ~hit2
+            # Levels by what came of them: for order 2 missed or hit, for order 1 not asked, missed or hit.
+            came2 = np.bincount(((seen2 & (LEVELS - 1)) + self.cells + n * hit2).reshape(-1), minlength=2 * n)
+            came1 = (seen1 & (LEVELS - 1)) + self.cells + n * asked + n * (asked & (p1 == ids[now]))
+            came1 = np.bincount(came1.reshape(-1), minlength=3 * n)
+            self.tries2 += came2[:n] + came2[n:]
+            self.hits2 += came2[n:]
+            self.tries1 += came1[n : 2 * n] + came1[2 * n :]
+            self.hits1 += came1[2 * n :]
+        # Lane by lane, so that a lane's counts stay at hand.
+        at = np.ascontiguousarray(groups.T) + self.group_rows[:, None]
+        self.counts += GAIN * np.bincount(at.reshape(-1), minlength=self.counts.size).reshape(self.counts.shape)
+        self.k = 0
+        self._renew()
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """The payload of each block. A block shorter than the longest one is coded with zeros after its end."""
     lanes, steps = len(blocks), max(map(len, blocks))
     grid = np.zeros((lanes, steps), np.int32)
-    second, first, kind = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint8)
-    padded = np.zeros(steps, np.int64)
-    for lane, block in enumerate(blocks):
-        padded[: len(block)], padded[len(block) :] = block, 0
-        grid[lane] = padded
-        second[lane], first[lane], kind[lane] = _predicted(padded)
-    order0, coder = _Frequencies(lanes, vocabulary), _Encoder(lanes, steps + 8)
-    for begin in range(0, steps, RENEW):
-        now = slice(begin, min(begin + RENEW, steps))
-        ids, a2, right = grid[:, now].T.astype(np.int64), second[:, now].T.astype(np.int64), kind[:, now].T
-        head = a2 + first[:, now].T
-        groups = _group(ids)
-        start, stop = (_behind(x, head) for x in order0.span(ids, groups))
-        start = np.where(right == 2, 0, np.where(right == 1, a2 << WIDTH_BITS, start)).astype(np.uint64)
-        stop = np.where(right == 2, a2 << WIDTH_BITS, np.where(right == 1, head << WIDTH_BITS, stop)).astype(np.uint64)
-        for from_, size in zip(start, stop - start):
-            coder.put(from_, size)
-        order0.add(groups)
-        order0.renew()
-    return coder.finish()
+    for row, block in zip(grid, blocks):
+        row[: len(block)] = block
+    grid = np.ascontiguousarray(grid.T)
+    model = _Model(lanes, vocabulary, searched=False)
+    low, width = np.zeros(lanes), np.full(lanes, TOP)
+    end2, end1, unit, part, offset, of_group = (np.zeros(lanes) for _ in range(6))
+    span, field, at = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, np.int64)
+    flag = np.zeros(lanes, bool)
+    room = 2 * steps + 8  # an id takes less than two words
+    out, rows, n = np.zeros(lanes * room, np.int32), np.arange(lanes) * room, np.zeros(lanes, np.int64)
+    for begin, end in _rounds(steps):
+        groups = _group(grid[begin:end], model.group_width)
+        for ids, group in zip(grid[begin:end], groups):
+            model.predict()
+            model.parts(width, end2, end1, unit)
+            # The rest of the range for order 0: a group's places, and the id's even part of them.
+            np.add(group, model.group_rows, out=at)
+            model.spans.take(at, out=span, mode="clip")
+            np.copyto(at, group)
+            np.bitwise_and(span, 2 * PLACES - 1, out=field)
+            np.multiply(unit, field, out=part)
+            model.width.take(at, out=of_group, mode="clip")
+            part /= of_group
+            np.floor(part, out=part)
+            np.right_shift(span, SPAN_BITS, out=field)
+            unit *= field
+            unit += end1
+            model.first_id.take(at, out=of_group, mode="clip")
+            np.subtract(ids, of_group, out=offset)
+            offset *= part
+            unit += offset
+            end1 -= end2
+            np.equal(model.p1, ids, out=flag)
+            np.copyto(unit, end2, where=flag)
+            np.copyto(part, end1, where=flag)
+            np.equal(model.p2, ids, out=flag)
+            np.copyto(unit, 0, where=flag)
+            np.copyto(part, end2, where=flag)
+            low += unit
+            width, part = part, width
+            model.update(ids)
+            over = np.flatnonzero(low >= TOP)
+            if len(over):
+                low[over] -= TOP
+                out[rows[over] + n[over] - 1] += 1
+            few = np.flatnonzero(width < TINY)
+            while len(few):
+                of = low[few]
+                word = np.floor(of * (1 / TINY))
+                out[rows[few] + n[few]] = word
+                n[few] += 1
+                low[few] = (of - word * TINY) * WORD
+                width[few] *= WORD
+                few = few[width[few] < TINY]
+        model.end_round(grid[begin:end], groups)
+    # One more word names a place inside the range that is left.
+    out[rows + n] = np.ceil(low * (1 / TINY))
+    out = out.reshape(lanes, room)[:, : n.max() + 1]
+    over = np.flatnonzero((out >> 16).any(axis=1))
+    while len(over):
+        carry = out[over] >> 16
+        out[over] &= 0xFFFF
+        out[over, :-1] += carry[:, 1:]
+        over = over[(out[over] >> 16).any(axis=1)]
+    return [row[: k + 1].astype("<u2").tobytes() for row, k in zip(out, n)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
     lanes, steps = len(payloads), max(sizes)
-    model, coder = _Model(lanes, vocabulary), _Decoder(payloads)
-    out = np.zeros((steps, lanes), np.int32)
-    for k in range(steps):
-        model.predict()
-        value = coder.value()
-        second, both = model.a2 << WIDTH_BITS, model.head << WIDTH_BITS
-        hit2 = value < second
-        behind = np.flatnonzero(value >= both)
-        ids = np.where(hit2, model.p2, model.p1).astype(np.int64)
-        start, stop = np.where(hit2, 0, second), np.where(hit2, second, both)
-        groups = _group(ids)
-        if len(behind):
-            found, of = model.find(value[behind], behind)
-            ids[behind], groups[behind] = found, of
-            begin, end = model.order0.span_of(behind, found, of)
-            head = model.head[behind]
-            start[behind], stop[behind] = _behind(begin, head), _behind(end, head)
-        coder.take(start.astype(np.uint64), (stop - start).astype(np.uint64))
-        out[k] = ids
-        # An id behind both predictions may still equal one that had no share of the range.
-        model.update(ids, model.p2 == ids, groups)
-    return [out[:n, i].astype(np.int64) for i, n in enumerate(sizes)]
+    room = max(map(len, payloads)) // 2 + 8
+    words = np.zeros((lanes, room))
+    for row, payload in zip(words, payloads):
+        row[: len(payload) // 2] = np.frombuffer(payload, "<u2")
+    code, width = (words[:, 0] * WORD + words[:, 1]) * WORD + words[:, 2], np.full(lanes, TOP)
+    at_word, last_word = np.arange(lanes) * room + 3, np.arange(1, lanes + 1) * room - 1
+    words = words.reshape(-1)
+    model = _Model(lanes, vocabulary, searched=True)
+    grid = np.zeros((steps, lanes), np.int32)
+    end2, end1, unit, part, place, rest, wide, found = (np.zeros(lanes) for _ in range(8))
+    span, field, at, group_at = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    group, flag = np.zeros(lanes, np.uint16), np.zeros(lanes, bool)
+    for begin, end in _rounds(steps):
+        for ids in grid[begin:end]:
+            model.predict()
+            model.parts(width, end2, end1, unit)
+            np.subtract(code, end1, out=rest)
+            np.divide(rest, unit, out=place)
+            np.maximum(place, 0, out=place)
+            np.minimum(place, PLACES - 1, out=place)
+            np.copyto(at, place, casting="unsafe")
+            at += model.place_rows
+            model.group_at.take(at, out=group, mode="clip")
+            np.copyto(group_at, group)
+            np.add(group_at, model.group_rows, out=at)
+            model.spans.take(at, out=span, mode="clip")
+            np.bitwise_and(span, 2 * PLACES - 1, out=field)
+            np.multiply(unit, field, out=part)
+            model.width.take(group_at, out=wide, mode="clip")
+            part /= wide
+            np.floor(part, out=part)
+            np.right_shift(span, SPAN_BITS, out=field)
+            unit *= field
+            rest -= unit
+            np.divide(rest, part, out=place)
+            np.floor(place, out=place)
+            wide -= 1
+            np.minimum(place, wide, out=place)
+            model.first_id.take(group_at, out=found, mode="clip")
+            found += place
+            place *= part
+            rest -= place
+            # Only behind the parts of both predictions was the id one of order 0.
+            np.less(code, end1, out=flag)
+            end1 -= end2
+            np.copyto(ids, found, casting="unsafe")
+            np.copyto(ids, model.p1, where=flag)
+            np.copyto(part, end1, where=flag)
+            np.subtract(code, end2, out=rest, where=flag)
+            np.less(code, end2, out=flag)
+            np.copyto(ids, model.p2, where=flag)
+            np.copyto(part, end2, where=flag)
+            np.copyto(rest, code, where=flag)
+            code, rest = rest, code
+            width, part = part, width
+            model.update(ids)
+            few = np.flatnonzero(width < TINY)
+            while len(few):
+                from_ = np.minimum(at_word[few], last_word[few])
+                code[few] = code[few] * WORD + words[from_]
+                at_word[few] += 1
+                width[few] *= WORD
+                few = few[width[few] < TINY]
+        model.end_round(grid[begin:end], _group(grid[begin:end], model.group_width))
+    return [grid[:n, i].astype(np.int64) for i, n in enumerate(sizes)]
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -8,7 +8,9 @@ itself, so any task can read any block, and a damaged block is found by its chec
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,63 +18,145 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from geoscore.llm.bpe import Words
+from geoscore.llm.bpe import _byte_letters
 from geoscore.llm.common import grouped_by_size
 from geoscore.llm.id_coder import checksum, decode_blocks, encode_blocks, joined_crc
-from geoscore.llm.pretokens import pretokens, sections
+from geoscore.llm.pretokens import WHITE, pretokens
 
 BLOCK = 4096  # ids
 LANES = 2048  # blocks that are coded side by side
+SPACES = frozenset(WHITE)
+KEPT, LONGEST = 400_000, 100  # chunks remembered by a task before the older ones go, and characters of one
 FORMAT = (
     "part int, block int, first long, n_ids int, vocabulary int, crc32 long, doc_numbers array<long>, doc_ids array<long>, "
     "doc_sizes array<int>, payload binary"
 )
 
 
+class _Chunks(dict):
+    """Remembers the packed ids of pieces of text, an unknown one gives None. When there are too many, those not met
+    since the last time are forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        found = self.older.pop(chunk, None)
+        if found is not None:
+            self[chunk] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > KEPT:
+            self.older = dict(self)
+            self.clear()
+
+
 @lru_cache(2)
 def _library(path: str):
+    """The tokenizer, what encodes a pretoken with it, and the ids of the chunks met so far."""
     from tokenizers import Tokenizer
 
     book = Tokenizer.from_file(path)
-    known = Words(lambda word: np.array(book.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-    return book, known
+    if "ByteLevel" not in json.dumps(json.loads(book.to_str())["pre_tokenizer"]):
+        return book, lambda word: book.encode(word, add_special_tokens=False).ids, _Chunks()
+    letters, model = _byte_letters(), book.model
+
+    def ids_of(word: str) -> list[int]:
+        # A pretoken is normal and whole, so of the library's steps only the bytes' letters and the merges are left.
+        return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+
+    return book, ids_of, _Chunks()
+
+
+def _encode_chunks(chunks: list[str], path: str) -> list[bytes]:
+    """The packed ids of distinct chunks. Pretokens are found in all new ones at once, the library encodes each distinct one."""
+    _, ids_of, known = _library(path)
+
+    def of_word(word: str) -> bytes:
+        found = known[word]
+        if found is None:
+            ids = ids_of(word)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= LONGEST:
+                known[word] = found
+        return found
+
+    packed = list(map(known.__getitem__, chunks))
+    mixed = []
+    for i in [i for i, ids in enumerate(packed) if ids is None]:
+        if chunks[i].isalpha():
+            packed[i] = of_word(chunks[i])
+        else:
+            mixed.append(i)
+    if mixed:
+        words, begins = pretokens([chunks[i] for i in mixed], spaced=False)
+        begins = begins.tolist()
+        for i, a, b in zip(mixed, begins, begins[1:]):
+            packed[i] = b"".join([of_word(w) for w in words[a : b - 1] if ord(w[0]) not in SPACES])
+            if len(chunks[i]) <= LONGEST:
+                known[chunks[i]] = packed[i]
+    known.trim()
+    return packed
+
+
+def _split(pieces: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All chunks of the pieces, and where the chunks of each piece begin (and the end).
+
+    Chunks end at white space of ASCII and where a letter a-z is followed by another character of ASCII, which always is
+    the end of a pretoken.
+    """
+    text = np.frombuffer("".join(pieces).encode(), np.uint8)
+    ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces], dtype=np.int64)
+    letter, other = (text >= 97) & (text <= 122), (text > 32) & (text < 128)
+    other &= ~letter
+    cuts = np.flatnonzero(letter[:-1] & other[1:]) + 1
+    text = np.insert(text, cuts, 32)
+    # A cut between two pieces adds a space to the first one's end.
+    offsets = np.append(0, ends + np.searchsorted(cuts, ends, side="right"))
+    held = pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(offsets), pa.py_buffer(text))
+    split = pc.ascii_split_whitespace(held)
+    return split.flatten(), split.offsets.to_numpy()
 
 
 def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids that the tokenizer file's library gives for each whole text, without added special tokens.
 
-    For lower-casing tokenizers that drop white space: pretokens are found for all texts at once, and the library
-    encodes each distinct one.
+    For lower-casing tokenizers that drop white space: texts are cut into chunks, and each distinct chunk is looked up once.
     """
-    book, known = _library(path)
-    special = {t.content: i for i, t in book.get_added_tokens_decoder().items()}
+    special = {t.content: i for i, t in _library(path)[0].get_added_tokens_decoder().items()}
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-    pieces, owners = [], []
-    for n, text in enumerate(texts):
-        for k, part in enumerate(cut.split(text) if cut else [text]):
+    pieces: list[str] = []
+    plans: list[list[int | np.ndarray]] = []
+    for text in texts:
+        plan: list[int | np.ndarray] = []
+        for k, part in enumerate(cut.split(text) if any(map(text.__contains__, special)) else [text]):
             if k % 2:
-                pieces.append("")
-                owners.append((n, special[part]))
-            elif part:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for section in sections(plain.lower()):
-                    pieces.append(section)
-                    owners.append((n, None))
-    out: list[list[bytes]] = [[] for _ in texts]
-    if pieces:
-        words, begins = pretokens(pieces, spaced=False)
-        packed = list(map(known.__getitem__, words))
-        places = begins.tolist()
-        for (n, token), a, b in zip(owners, places, places[1:]):
-            if token is None:
-                out[n] += packed[a : b - 1]
+                plan.append(np.array([special[part]], "<u4"))
             else:
-                out[n].append(int(token).to_bytes(4, "little"))
-        known.trim()
-    return [np.frombuffer(b"".join(x), "<u4") for x in out]
+                plan.append(len(pieces))
+                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                pieces.append(plain.lower())
+        plans.append(plan)
+    chunks, begins = _split(pieces)
+    coded = chunks.dictionary_encode()
+    distinct = pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+    packed = _encode_chunks(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), path)
+    tokens = np.frombuffer(b"".join(packed), "<u4")
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    places = coded.indices.to_numpy()
+    taken = sizes[places]
+    ends = np.append(0, np.cumsum(taken))
+    shift = (np.cumsum(sizes) - sizes)[places] - ends[:-1]
+    ids = tokens[np.repeat(shift, taken) + np.arange(ends[-1])]
+    bounds = ends[begins].tolist()
+    out = [[ids[bounds[x] : bounds[x + 1]] if isinstance(x, int) else x for x in plan] for plan in plans]
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
 class _Part:
@@ -134,7 +218,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
         part = _Part(TaskContext.get().partitionId(), vocabulary, block)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in grouped_by_size(texts, 1 << 20):
+            for a, b in grouped_by_size(texts, 1 << 22):
                 for name, ids in zip(names[a:b], encode_words(texts[a:b], tokenizer)):
                     part.add(name, np.append(ids, np.uint32(end_id)))
                 if part.held >= block * LANES:
