@@ -8,7 +8,7 @@ the same empty model and is decoded by itself.
 
 Blocks go side by side, one id of each at a time; writer and reader step the same model. Contexts learn at every id, trust
 and frequencies after rounds of ids. Frequencies are parts of ``PLACES`` and a table per block says whose part each place is,
-so no group is searched for. The coder's numbers are whole and below 2 ** 48, where doubles reckon exactly. Steps write into
+so no group is searched for. The coder's numbers are whole and at most 2 ** 52, where doubles reckon exactly. Steps write into
 arrays made once, since making them takes longer than what is reckoned.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 
 WHOLE = 1 << 16  # of the range that predictions take parts of
 MOST_HIT = 15 << 12  # most that both predictions together may take of it
-SLOTS = 1024  # of the tables of order 1 and 2, a power of two
+SLOTS = 512  # of the tables of order 1 and 2, a power of two
 LEVELS = 4
 # Hits and tries, in sixteenths, that each level of confidence starts with.
 START1, START2, START_TRIES = np.array([2, 18, 40, 61]), np.array([3, 42, 83, 120]), 128
@@ -29,8 +29,9 @@ SINGLES, WIDTH = 256, 256  # ids with a frequency of their own; least width of t
 PLACES = 1 << 12  # parts that the frequencies are given in
 SPAN_BITS = PLACES.bit_length()
 GAIN = 24  # what an id adds to its group's frequency
-ROUND, LAST_ROUND = 64, 512  # ids between two updates of trust and frequencies, at first and at last
-WORD, TINY, TOP = float(1 << 16), float(1 << 32), float(1 << 48)  # what leaves the coder at once; least and most of its range
+ROUND, LAST_ROUND = 64, 1024  # ids between two updates of trust and frequencies, at first and at last
+WORD, TINY, TOP = float(1 << 24), float(1 << 28), float(1 << 52)  # what leaves the coder at once; least and most of its range
+WORD_BITS, WORD_BYTES = 24, 3
 
 
 def _width(vocabulary: int) -> int:
@@ -61,28 +62,35 @@ class _Model:
     def __init__(self, lanes: int, vocabulary: int, searched: bool):
         self.lanes, self.group_width, self.searched = lanes, _width(vocabulary), searched
         self.n_groups = int(_group(np.array(vocabulary - 1), self.group_width)) + 1
-        rows = np.arange(lanes)
-        self.slots, self.cells = rows * SLOTS, rows * LEVELS
-        self.held1, self.held2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # LEVELS * id + level
+        if self.group_width > PLACES:
+            raise ValueError(f"a vocabulary of {vocabulary} ids leaves some without a share of the range")
+        rows, orders = np.arange(lanes), np.arange(2)[:, None]
+        # Of order 1 and 2: LEVELS * id + level in every slot, and hits and tries by level.
+        self.slots, self.cells = (orders * lanes + rows) * SLOTS, (orders * lanes + rows) * LEVELS
+        self.held = np.empty(2 * lanes * SLOTS, np.int32)
+        self.held.fill(0)
+        self.hits, self.tries = np.zeros((2, lanes * LEVELS), np.int64), np.zeros((2, lanes * LEVELS), np.int64)
+        self.starts = np.stack([np.tile(START1, lanes), np.tile(START2, lanes)])
         self.last, self.mixed = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)  # the last id, and that before times a constant
-        self.hits1, self.hits2, self.tries1, self.tries2 = (np.zeros(lanes * LEVELS, np.int64) for _ in range(4))
-        self.group_rows, self.place_rows = rows * self.n_groups, rows * PLACES
+        self.group_rows, self.place_rows, self.results = rows * self.n_groups, rows * PLACES, rows * (3 * LEVELS)
         self.counts = np.ones((lanes, self.n_groups))
         self.counts[:, SINGLES:] = 2
         numbers = np.arange(self.n_groups)
         self.first_id = np.where(numbers >= SINGLES, SINGLES + (numbers - SINGLES) * self.group_width, numbers).astype(float)
         self.width = np.where(numbers >= SINGLES, float(self.group_width), 1.0)
-        self.seen1, self.seen2 = (np.zeros((LAST_ROUND, lanes), np.int32) for _ in range(2))
-        self.k = 0
-        self.at1, self.at2, self.cell = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.p1, self.p2, self.new, self.plain, self.surest = (np.zeros(lanes, np.int32) for _ in range(5))
-        self.second, self.both, self.left = (np.zeros(lanes) for _ in range(3))
-        self.flag = np.zeros(lanes, bool)
+        self.seen, self.k = np.zeros((LAST_ROUND, 2, lanes), np.int32), 0
+        self.at, self.cell = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int64)
+        self.said, self.new = np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32)
+        self.shares, self.wrong = np.zeros((2, lanes)), np.zeros((2, lanes), bool)
+        self.plain, self.surest, self.same, self.left = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, bool), np.zeros(lanes)
+        self.both, self.second = self.shares
+        self.said1, self.said2 = self.said
         self._renew()
 
     def _renew(self) -> None:
-        self.share2 = 1 + np.floor((MOST_HIT - 200) * self._ratio(self.hits2, self.tries2, START2))
-        self.share1 = self._ratio(self.hits1, self.tries1, START1)
+        # For order 2 the share itself, for order 1 that of what order 2 leaves.
+        self.share = (16 * self.hits + self.starts) / (16 * self.tries + START_TRIES)
+        self.share[1] = 1 + np.floor((MOST_HIT - 200) * self.share[1])
         # Every group has one place at least, the rest go by counts.
         ends = np.zeros((self.lanes, self.n_groups + 1), np.int32)
         sums = np.cumsum(self.counts, axis=1)
@@ -94,29 +102,20 @@ class _Model:
         if self.searched:
             self.group_at = np.repeat(np.tile(np.arange(self.n_groups, dtype=np.uint16), self.lanes), sizes.reshape(-1))
 
-    @staticmethod
-    def _ratio(hits: np.ndarray, tries: np.ndarray, start: np.ndarray) -> np.ndarray:
-        return (16 * hits + np.tile(start, len(hits) // LEVELS)) / (16 * tries + START_TRIES)
-
     def predict(self) -> None:
-        new, first, second, left = self.new, self.both, self.second, self.left
-        np.multiply(self.last, np.int32(40503), out=new)
-        np.right_shift(new, 4, out=self.plain)
-        self.plain &= SLOTS - 1
-        np.add(self.plain, self.slots, out=self.at1)
-        new += self.mixed
-        new >>= 3
-        new &= SLOTS - 1
-        np.add(new, self.slots, out=self.at2)
-        self.now1, self.now2 = self.seen1[self.k], self.seen2[self.k]
-        for held, at, now, said, share, out in (
-            (self.held1, self.at1, self.now1, self.p1, self.share1, first), (self.held2, self.at2, self.now2, self.p2, self.share2, second),
-        ):
-            held.take(at, out=now, mode="clip")
-            np.right_shift(now, 2, out=said)
-            np.bitwise_and(now, LEVELS - 1, out=new)
-            np.add(new, self.cells, out=self.cell)
-            share.take(self.cell, out=out, mode="clip")
+        by_last, slot, first, second, left = self.plain, self.new, self.both, self.second, self.left
+        np.multiply(self.last, np.int32(40503), out=by_last)
+        np.right_shift(by_last, 4, out=slot[0])
+        by_last += self.mixed
+        np.right_shift(by_last, 3, out=slot[1])
+        slot &= SLOTS - 1
+        np.add(slot, self.slots, out=self.at)
+        self.now = self.seen[self.k]
+        self.held.take(self.at, out=self.now, mode="clip")
+        np.right_shift(self.now, 2, out=self.said)
+        np.bitwise_and(self.now, LEVELS - 1, out=self.new)
+        np.add(self.new, self.cells, out=self.cell)
+        self.share.take(self.cell, out=self.shares, mode="clip")
         # Order 1 has a share of what order 2 leaves, none if both say the same.
         np.subtract(WHOLE, second, out=left)
         first *= left
@@ -124,8 +123,8 @@ class _Model:
         first += 1
         np.subtract(MOST_HIT, second, out=left)
         np.minimum(first, left, out=first)
-        np.equal(self.p1, self.p2, out=self.flag)
-        np.copyto(first, 0, where=self.flag)
+        np.equal(self.said1, self.said2, out=self.same)
+        np.copyto(first, 0, where=self.same)
         first += second  # now that of both
 
     def parts(self, width: np.ndarray, end2: np.ndarray, end1: np.ndarray, unit: np.ndarray) -> None:
@@ -141,33 +140,32 @@ class _Model:
     def update(self, ids: np.ndarray) -> None:
         np.left_shift(ids, 2, out=self.plain)
         np.add(self.plain, LEVELS - 1, out=self.surest)
-        for held, at, now, said in ((self.held1, self.at1, self.now1, self.p1), (self.held2, self.at2, self.now2, self.p2)):
-            np.add(now, 1, out=self.new)
-            np.minimum(self.new, self.surest, out=self.new)
-            np.not_equal(said, ids, out=self.flag)
-            np.copyto(self.new, self.plain, where=self.flag)
-            held[at] = self.new
+        np.add(self.now, 1, out=self.new)
+        np.minimum(self.new, self.surest, out=self.new)
+        np.not_equal(self.said, ids, out=self.wrong)
+        np.copyto(self.new, self.plain, where=self.wrong)
+        self.held[self.at] = self.new
         np.multiply(self.last, np.int32(25253), out=self.mixed)
         self.last = ids
         self.k += 1
 
     def end_round(self, ids: np.ndarray, groups: np.ndarray) -> None:
         """``ids`` and their ``groups``: one row per step of the round, one column per lane."""
-        n = len(self.tries2)
         for k in range(0, self.k, ROUND):
             now = slice(k, min(k + ROUND, self.k))
-            seen1, seen2 = self.seen1[now], self.seen2[now]
-            p1, p2 = seen1 >> 2, seen2 >> 2
-            hit2 = p2 == ids[now]
-            asked = (p1 != p2) & ~hit2
-            # Levels by what came of them: for order 2 missed or hit, for order 1 not asked, missed or hit.
-            came2 = np.bincount(((seen2 & (LEVELS - 1)) + self.cells + n * hit2).reshape(-1), minlength=2 * n)
-            came1 = (seen1 & (LEVELS - 1)) + self.cells + n * asked + n * (asked & (p1 == ids[now]))
-            came1 = np.bincount(came1.reshape(-1), minlength=3 * n)
-            self.tries2 += came2[:n] + came2[n:]
-            self.hits2 += came2[n:]
-            self.tries1 += came1[n : 2 * n] + came1[2 * n :]
-            self.hits1 += came1[2 * n :]
+            seen = self.seen[now]
+            said, level = seen >> 2, (seen & (LEVELS - 1)).astype(np.int8)
+            hit = (said == ids[now, None]).view(np.int8)
+            # What came of them: not asked, missed or hit; order 1 is asked where order 2 missed and said something else.
+            came = 1 + hit
+            came[:, 0] *= (said[:, 0] != said[:, 1]) & (hit[:, 1] == 0)
+            came *= LEVELS
+            came += level
+            for order in range(2):
+                x = np.bincount((came[:, order] + self.results).reshape(-1), minlength=3 * self.tries.shape[1])
+                x = x.reshape(self.lanes, 3, LEVELS)
+                self.tries[order] += (x[:, 1] + x[:, 2]).reshape(-1)
+                self.hits[order] += x[:, 2].reshape(-1)
         # Lane by lane, so that a lane's counts stay at hand.
         at = np.ascontiguousarray(groups.T) + self.group_rows[:, None]
         self.counts += GAIN * np.bincount(at.reshape(-1), minlength=self.counts.size).reshape(self.counts.shape)
@@ -211,10 +209,10 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             offset *= part
             unit += offset
             end1 -= end2
-            np.equal(model.p1, ids, out=flag)
+            np.equal(model.said1, ids, out=flag)
             np.copyto(unit, end2, where=flag)
             np.copyto(part, end1, where=flag)
-            np.equal(model.p2, ids, out=flag)
+            np.equal(model.said2, ids, out=flag)
             np.copyto(unit, 0, where=flag)
             np.copyto(part, end2, where=flag)
             low += unit
@@ -237,24 +235,28 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     # One more word names a place inside the range that is left.
     out[rows + n] = np.ceil(low * (1 / TINY))
     out = out.reshape(lanes, room)[:, : n.max() + 1]
-    over = np.flatnonzero((out >> 16).any(axis=1))
+    over = np.flatnonzero((out >> WORD_BITS).any(axis=1))
     while len(over):
-        carry = out[over] >> 16
-        out[over] &= 0xFFFF
+        carry = out[over] >> WORD_BITS
+        out[over] &= int(WORD) - 1
         out[over, :-1] += carry[:, 1:]
-        over = over[(out[over] >> 16).any(axis=1)]
-    return [row[: k + 1].astype("<u2").tobytes() for row, k in zip(out, n)]
+        over = over[(out[over] >> WORD_BITS).any(axis=1)]
+    return [row[: k + 1].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WORD_BYTES].tobytes() for row, k in zip(out, n)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
     lanes, steps = len(payloads), max(sizes)
-    room = max(map(len, payloads)) // 2 + 8
-    words = np.zeros((lanes, room))
+    room = max(map(len, payloads)) // WORD_BYTES + 4
+    words = np.zeros((lanes, room, 4), np.uint8)
     for row, payload in zip(words, payloads):
-        row[: len(payload) // 2] = np.frombuffer(payload, "<u2")
-    code, width = (words[:, 0] * WORD + words[:, 1]) * WORD + words[:, 2], np.full(lanes, TOP)
-    at_word, last_word = np.arange(lanes) * room + 3, np.arange(1, lanes + 1) * room - 1
+        n = len(payload) // WORD_BYTES
+        row[:n, :WORD_BYTES] = np.frombuffer(payload, np.uint8, n * WORD_BYTES).reshape(n, WORD_BYTES)
+    words = words.view("<u4").reshape(lanes, room)
+    # The code is two words and four bits, so four bits are read ahead.
+    code = words[:, 0] * TINY + words[:, 1] * 16.0 + (words[:, 2] >> 20)
+    words[:, :-1] = (words[:, :-1] << 4 & 0xFFFFFF) | words[:, 1:] >> 20
     words = words.reshape(-1)
+    width, at_word = np.full(lanes, TOP), np.arange(lanes) * room + 2
     model = _Model(lanes, vocabulary, searched=True)
     grid = np.zeros((steps, lanes), np.int32)
     end2, end1, unit, part, place, rest, wide, found = (np.zeros(lanes) for _ in range(8))
@@ -294,11 +296,11 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> l
             np.less(code, end1, out=flag)
             end1 -= end2
             np.copyto(ids, found, casting="unsafe")
-            np.copyto(ids, model.p1, where=flag)
+            np.copyto(ids, model.said1, where=flag)
             np.copyto(part, end1, where=flag)
             np.subtract(code, end2, out=rest, where=flag)
             np.less(code, end2, out=flag)
-            np.copyto(ids, model.p2, where=flag)
+            np.copyto(ids, model.said2, where=flag)
             np.copyto(part, end2, where=flag)
             np.copyto(rest, code, where=flag)
             code, rest = rest, code
@@ -306,13 +308,13 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> l
             model.update(ids)
             few = np.flatnonzero(width < TINY)
             while len(few):
-                from_ = np.minimum(at_word[few], last_word[few])
-                code[few] = code[few] * WORD + words[from_]
-                at_word[few] += 1
+                at_few = at_word[few]
+                code[few] = code[few] * WORD + words.take(at_few, mode="clip")
+                at_word[few] = at_few + 1
                 width[few] *= WORD
                 few = few[width[few] < TINY]
         model.end_round(grid[begin:end], _group(grid[begin:end], model.group_width))
-    return [grid[:n, i].astype(np.int64) for i, n in enumerate(sizes)]
+    return [row[:n] for row, n in zip(np.ascontiguousarray(grid.T), sizes)]
 
 
 def checksum(ids: np.ndarray) -> int:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,79 +31,80 @@ from geoscore.llm.pretokens import WHITE, pretokens
 BLOCK = 4096  # ids
 LANES = 2048  # blocks that are coded side by side
 SPACES = frozenset(WHITE)
-KEPT, LONGEST = 400_000, 100  # chunks remembered by a task before the older ones go, and characters of one
+KEPT, KEPT_BYTES, LONGEST = 500_000, 1 << 26, 100  # chunks remembered by a task before half of them go, bytes of all and of one
 FORMAT = (
     "part int, block int, first long, n_ids int, vocabulary int, crc32 long, doc_numbers array<long>, doc_ids array<long>, "
     "doc_sizes array<int>, payload binary"
 )
 
 
-class _Chunks(dict):
-    """Remembers the packed ids of pieces of text, an unknown one gives None. When there are too many, those not met
-    since the last time are forgotten."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        found = self.older.pop(chunk, None)
-        if found is not None:
-            self[chunk] = found
-        return found
+class _Chunks:
+    """The ids of chunks of text met so far, as columns: chunks, where their ids lie in ``tokens``, and how often they
+    were met. When there are too many, those met most often stay."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[list[int], list[int]]]):
+        self.encode = encode
+        self.keep(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def keep(self, chunks: pa.Array, starts: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, met: np.ndarray) -> None:
+        self.chunks, self.starts, self.sizes, self.tokens, self.met = chunks, starts, sizes, tokens, met
+
+    def find(self, chunks: pa.Array) -> np.ndarray:
+        """The places of chunks; new ones are encoded, each distinct one once."""
+        at = pc.index_in(chunks, value_set=self.chunks).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            coded = chunks.take(pa.array(new)).dictionary_encode()
+            fresh = coded.dictionary
+            at[new] = len(self.chunks) + coded.indices.to_numpy()
+            joined = pa.LargeListArray.from_arrays([0, len(fresh)], fresh)
+            ids, lengths = self.encode(pc.binary_join(joined, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
+            sizes = np.array(lengths, np.int64)
+            self.keep(
+                pa.concat_arrays([self.chunks, fresh]), np.append(self.starts, len(self.tokens) + np.cumsum(sizes) - sizes),
+                np.append(self.sizes, sizes), np.append(self.tokens, np.array(ids, np.uint32)), np.append(self.met, np.zeros(len(fresh), np.int64)),
+            )
+        self.met += np.bincount(at, minlength=len(self.met))
+        return at
 
     def trim(self) -> None:
-        if len(self) > KEPT:
-            self.older = dict(self)
-            self.clear()
+        if len(self.chunks) > KEPT or self.chunks.nbytes > KEPT_BYTES:
+            short = np.flatnonzero(pc.binary_length(self.chunks).to_numpy() <= LONGEST)
+            stay = np.sort(short[np.argsort(-self.met[short], kind="stable")[: KEPT // 2]])
+            sizes = self.sizes[stay]
+            ends = np.cumsum(sizes)
+            tokens = self.tokens[np.repeat(self.starts[stay] - ends + sizes, sizes) + np.arange(sizes.sum())]
+            self.keep(self.chunks.take(pa.array(stay)), ends - sizes, sizes, tokens, self.met[stay] // 2)
 
 
 @lru_cache(2)
 def _library(path: str):
-    """The tokenizer, what encodes a pretoken with it, and the ids of the chunks met so far."""
+    """The tokenizer, and the chunks it has encoded."""
     from tokenizers import Tokenizer
 
     book = Tokenizer.from_file(path)
-    if "ByteLevel" not in json.dumps(json.loads(book.to_str())["pre_tokenizer"]):
-        return book, lambda word: book.encode(word, add_special_tokens=False).ids, _Chunks()
     letters, model = _byte_letters(), book.model
+    bytes_first = "ByteLevel" in json.dumps(json.loads(book.to_str())["pre_tokenizer"])
 
     def ids_of(word: str) -> list[int]:
+        if not bytes_first:
+            return book.encode(word, add_special_tokens=False).ids
         # A pretoken is normal and whole, so of the library's steps only the bytes' letters and the merges are left.
-        return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
-
-    return book, ids_of, _Chunks()
-
-
-def _encode_chunks(chunks: list[str], path: str) -> list[bytes]:
-    """The packed ids of distinct chunks. Pretokens are found in all new ones at once, the library encodes each distinct one."""
-    _, ids_of, known = _library(path)
-
-    def of_word(word: str) -> bytes:
-        found = known[word]
-        if found is None:
-            ids = ids_of(word)
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= LONGEST:
-                known[word] = found
-        return found
-
-    packed = list(map(known.__getitem__, chunks))
-    mixed = []
-    for i in [i for i, ids in enumerate(packed) if ids is None]:
-        if chunks[i].isalpha():
-            packed[i] = of_word(chunks[i])
-        else:
-            mixed.append(i)
-    if mixed:
-        words, begins = pretokens([chunks[i] for i in mixed], spaced=False)
-        begins = begins.tolist()
-        for i, a, b in zip(mixed, begins, begins[1:]):
-            packed[i] = b"".join([of_word(w) for w in words[a : b - 1] if ord(w[0]) not in SPACES])
-            if len(chunks[i]) <= LONGEST:
-                known[chunks[i]] = packed[i]
-    known.trim()
-    return packed
+        return [t.id for t in model.tokenize(word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(letters))]
+
+    def encode(chunks: list[str]) -> tuple[list[int], list[int]]:
+        """All ids of distinct chunks, and how many each has. Pretokens are found in all mixed ones at once."""
+        found = [ids_of(chunk) if chunk.isalpha() else None for chunk in chunks]
+        mixed = [i for i, ids in enumerate(found) if ids is None]
+        if mixed:
+            words, begins = pretokens([chunks[i] for i in mixed], spaced=False)
+            known = {w: [] if ord(w[0]) in SPACES else ids_of(w) for w in set(words)}
+            begins = begins.tolist()
+            for i, a, b in zip(mixed, begins, begins[1:]):
+                found[i] = list(chain.from_iterable(map(known.__getitem__, words[a : b - 1])))
+        return list(chain.from_iterable(found)), list(map(len, found))
+
+    return book, _Chunks(encode)
 
 
 def _split(pieces: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -127,9 +129,10 @@ def _split(pieces: list[str]) -> tuple[pa.Array, np.ndarray]:
 def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids that the tokenizer file's library gives for each whole text, without added special tokens.
 
-    For lower-casing tokenizers that drop white space: texts are cut into chunks, and each distinct chunk is looked up once.
+    For lower-casing tokenizers that drop white space: texts are cut into chunks, and the library encodes new ones only.
     """
-    special = {t.content: i for i, t in _library(path)[0].get_added_tokens_decoder().items()}
+    book, known = _library(path)
+    special = {t.content: i for i, t in book.get_added_tokens_decoder().items()}
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
     pieces: list[str] = []
     plans: list[list[int | np.ndarray]] = []
@@ -144,16 +147,12 @@ def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
                 pieces.append(plain.lower())
         plans.append(plan)
     chunks, begins = _split(pieces)
-    coded = chunks.dictionary_encode()
-    distinct = pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
-    packed = _encode_chunks(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), path)
-    tokens = np.frombuffer(b"".join(packed), "<u4")
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    places = coded.indices.to_numpy()
-    taken = sizes[places]
+    at = known.find(chunks)
+    taken = known.sizes[at]
     ends = np.append(0, np.cumsum(taken))
-    shift = (np.cumsum(sizes) - sizes)[places] - ends[:-1]
-    ids = tokens[np.repeat(shift, taken) + np.arange(ends[-1])]
+    shift = known.starts[at] - ends[:-1]
+    ids = known.tokens[np.repeat(shift, taken) + np.arange(ends[-1])]
+    known.trim()
     bounds = ends[begins].tolist()
     out = [[ids[bounds[x] : bounds[x + 1]] if isinstance(x, int) else x for x in plan] for plan in plans]
     return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
@@ -218,7 +217,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
         part = _Part(TaskContext.get().partitionId(), vocabulary, block)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in grouped_by_size(texts, 1 << 22):
+            for a, b in grouped_by_size(texts, 1 << 23):
                 for name, ids in zip(names[a:b], encode_words(texts[a:b], tokenizer)):
                     part.add(name, np.append(ids, np.uint32(end_id)))
                 if part.held >= block * LANES:
@@ -245,9 +244,9 @@ def decoded(blocks: DataFrame) -> DataFrame:
                 streams = decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows], rows[0]["vocabulary"])
                 out: dict[str, list] = {k: [] for k in ("part", "doc_number", "doc_id", "at", "ids")}
                 for r, ids in zip(rows, streams):
-                    if checksum(ids) != r["crc32"]:
-                        raise ValueError(f"part {r['part']}, block {r['block']}: wrong checksum")
                     packed, at = ids.astype("<u4").tobytes(), 0
+                    if zlib.crc32(packed) != r["crc32"]:
+                        raise ValueError(f"part {r['part']}, block {r['block']}: wrong checksum")
                     for number, doc_id, n in zip(r["doc_numbers"], r["doc_ids"], r["doc_sizes"]):
                         values = (r["part"], number, doc_id, r["first"] + at, packed[4 * at : 4 * (at + n)])
                         for column, value in zip(out.values(), values):

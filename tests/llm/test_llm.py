@@ -171,6 +171,44 @@ def test_id_files(spark, odd, empty, tmp_path, block):
     assert id_files.document_digests(spark, none).count() == 0
 
 
+def test_chunks_are_cut_where_the_library_cuts():
+    book, random = Tokenizer.from_file(WORD_BPE), np.random.default_rng(12)
+    letters = list("abz  \x1c\x1f\x00\x7f\t\n\u2003'.,-09½²éß×÷—ǅΣİ漢🙂\u0301") + ["don't", "<|endoftext|>", "<|ENDOFTEXT|>", "it's'", "x.1"]
+    texts = ["".join(random.choice(letters, random.integers(0, 40))) for _ in range(2000)] + ["", " ", "\u3000", "x" * 3000]
+    assert [x.tolist() for x in id_files.encode_words(texts, WORD_BPE)] == [e.ids for e in book.encode_batch(texts, add_special_tokens=False)]
+    assert id_files.encode_words([], WORD_BPE) == [] and [len(x) for x in id_files.encode_words(["", " "], WORD_BPE)] == [0, 0]
+
+
+def test_chunks_met_often_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(id_files, "KEPT", 200)
+    book, known = id_files._library.__wrapped__(WORD_BPE)
+    monkeypatch.setattr(id_files, "_library", lambda path: (book, known))
+    often = ["the", "of", "water"]
+    asked, encode = [], known.encode
+    known.encode = lambda chunks: (asked.extend(chunks), encode(chunks))[1]
+    for k in range(5):
+        text = " ".join(often * 9 + [f"{'abcdefghij'[k]}{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(150)] + ["y" * 500 + str(k)])
+        assert id_files.encode_words([text], WORD_BPE)[0].tolist() == book.encode(text, add_special_tokens=False).ids
+        assert len(known.chunks) <= 200 and max(map(len, known.chunks.to_pylist())) <= max(id_files.LONGEST, 501)
+    assert Counter(asked)["the"] == Counter(asked)["water"] == 1
+
+
+@pytest.mark.parametrize("vocabulary", [1, 256, 257, 49_408, 3_000_000])
+def test_coder_at_its_bounds(vocabulary):
+    random = np.random.default_rng(vocabulary)
+    top = vocabulary - 1
+    blocks = [
+        random.integers(0, vocabulary, 3000), np.full(4096, top), np.zeros(2000, np.int64), np.tile([top, 0, top // 2], 900),
+        # A long run, then what its contexts have never seen, over and over.
+        np.concatenate([np.append(np.full(300, min(3, top)), x) for x in random.integers(0, vocabulary, 12)]), np.array([top]),
+    ]
+    payloads = id_coder.encode_blocks(blocks, vocabulary)
+    for got, want in zip(id_coder.decode_blocks(payloads, [len(b) for b in blocks], vocabulary), blocks):
+        assert (got == want).all()
+    # What is foreseen takes next to nothing: of 4096 equal ids under a sixth of a bit each.
+    assert len(payloads[1]) < 4096 // 8 // 6 * 1.5
+
+
 def test_token_operators_on_an_empty_table(empty):
     assert token_counts.token_counts(empty, BYTE_BPE).count() == 0
     assert bpe.encode(empty, BYTE_BPE).count() == 0 and bpe.digests(empty, BYTE_BPE).count() == 0
