@@ -81,8 +81,8 @@ class _Model:
         self.seen, self.k = np.zeros((LAST_ROUND, 2, lanes), np.int32), 0
         self.at, self.cell = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int64)
         self.said, self.new = np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32)
-        self.shares, self.wrong = np.zeros((2, lanes)), np.zeros((2, lanes), bool)
-        self.plain, self.surest, self.same, self.left = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, bool), np.zeros(lanes)
+        self.shares, self.left, self.plain = np.zeros((2, lanes)), np.zeros(lanes), np.zeros(lanes, np.int32)
+        self.right, self.differ = np.zeros((2, lanes), bool), np.zeros(lanes, bool)
         self.both, self.second = self.shares
         self.said1, self.said2 = self.said
         self._renew()
@@ -123,8 +123,8 @@ class _Model:
         first += 1
         np.subtract(MOST_HIT, second, out=left)
         np.minimum(first, left, out=first)
-        np.equal(self.said1, self.said2, out=self.same)
-        np.copyto(first, 0, where=self.same)
+        np.not_equal(self.said1, self.said2, out=self.differ)
+        first *= self.differ
         first += second  # now that of both
 
     def parts(self, width: np.ndarray, end2: np.ndarray, end1: np.ndarray, unit: np.ndarray) -> None:
@@ -137,13 +137,16 @@ class _Model:
         unit *= 1 / PLACES
         np.floor(unit, out=unit)
 
+    def compare(self, ids: np.ndarray) -> None:
+        np.equal(self.said, ids, out=self.right)
+
     def update(self, ids: np.ndarray) -> None:
+        """After ``compare``. A slot that was right grows surer, another one begins anew."""
         np.left_shift(ids, 2, out=self.plain)
-        np.add(self.plain, LEVELS - 1, out=self.surest)
-        np.add(self.now, 1, out=self.new)
-        np.minimum(self.new, self.surest, out=self.new)
-        np.not_equal(self.said, ids, out=self.wrong)
-        np.copyto(self.new, self.plain, where=self.wrong)
+        np.copyto(self.new, self.plain)
+        few = self.right.reshape(-1).nonzero()[0]
+        now = self.now.reshape(-1)[few]
+        self.new.reshape(-1)[few] = np.minimum(now + 1, now | (LEVELS - 1))
         self.held[self.at] = self.new
         np.multiply(self.last, np.int32(25253), out=self.mixed)
         self.last = ids
@@ -184,7 +187,6 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     low, width = np.zeros(lanes), np.full(lanes, TOP)
     end2, end1, unit, part, offset, of_group = (np.zeros(lanes) for _ in range(6))
     span, field, at = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, np.int64)
-    flag = np.zeros(lanes, bool)
     room = 2 * steps + 8  # an id takes less than two words
     out, rows, n = np.zeros(lanes * room, np.int32), np.arange(lanes) * room, np.zeros(lanes, np.int64)
     for begin, end in _rounds(steps):
@@ -209,19 +211,15 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             offset *= part
             unit += offset
             end1 -= end2
-            np.equal(model.said1, ids, out=flag)
-            np.copyto(unit, end2, where=flag)
-            np.copyto(part, end1, where=flag)
-            np.equal(model.said2, ids, out=flag)
-            np.copyto(unit, 0, where=flag)
-            np.copyto(part, end2, where=flag)
+            model.compare(ids)
+            few = model.right[0].nonzero()[0]
+            unit[few], part[few] = end2[few], end1[few]
+            few = model.right[1].nonzero()[0]
+            unit[few], part[few] = 0, end2[few]
             low += unit
             width, part = part, width
             model.update(ids)
-            over = np.flatnonzero(low >= TOP)
-            if len(over):
-                low[over] -= TOP
-                out[rows[over] + n[over] - 1] += 1
+            # Below TOP plus its range; what is above TOP is carried into the word before, at last.
             few = np.flatnonzero(width < TINY)
             while len(few):
                 of = low[few]
@@ -235,6 +233,9 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     # One more word names a place inside the range that is left.
     out[rows + n] = np.ceil(low * (1 / TINY))
     out = out.reshape(lanes, room)[:, : n.max() + 1]
+    carry = out >> WORD_BITS
+    out &= int(WORD) - 1
+    out[:, :-1] += carry[:, 1:]
     over = np.flatnonzero((out >> WORD_BITS).any(axis=1))
     while len(over):
         carry = out[over] >> WORD_BITS
@@ -293,18 +294,17 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> l
             place *= part
             rest -= place
             # Only behind the parts of both predictions was the id one of order 0.
-            np.less(code, end1, out=flag)
-            end1 -= end2
             np.copyto(ids, found, casting="unsafe")
-            np.copyto(ids, model.said1, where=flag)
-            np.copyto(part, end1, where=flag)
-            np.subtract(code, end2, out=rest, where=flag)
-            np.less(code, end2, out=flag)
-            np.copyto(ids, model.said2, where=flag)
-            np.copyto(part, end2, where=flag)
-            np.copyto(rest, code, where=flag)
+            np.less(code, end1, out=flag)
+            few = flag.nonzero()[0]
+            of, end_of = code[few], end2[few]
+            second = of < end_of
+            ids[few] = np.where(second, model.said2[few], model.said1[few])
+            part[few] = np.where(second, end_of, end1[few] - end_of)
+            rest[few] = np.where(second, of, of - end_of)
             code, rest = rest, code
             width, part = part, width
+            model.compare(ids)
             model.update(ids)
             few = np.flatnonzero(width < TINY)
             while len(few):
